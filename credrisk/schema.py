@@ -117,3 +117,12 @@ DOMAINS = {
     **{c: (0, None) for c in PAY_AMT_COLS},
     RAW_TARGET: [0, 1],
 }
+# Factor names of the score explanation, in display order.
+FACTOR_NAMES = ["Credit Utilization", "Recent Payment Status (Sep)", "Avg Payment Delay (6 months)",
+                "Payment Coverage", "Credit Limit (Higher = safer)"]
+
+# Deterministic scorecard (FIXTURES.md §3): intercept and coefficients of
+# max(PAY_0,0), max(PAY_2,0), UTIL_RATE and PAY_RATIO; score rounded to 4 dp.
+SCORECARD = {"intercept": -2.2, "pay0": 0.45, "pay2": 0.15, "util": 0.3, "ratio": -0.5}
+# Leaderboard group names.
+GROUP_BASELINE, GROUP_IMBALANCE, GROUP_TUNED = "1. Baseline", "2. Imbalance Handled", "3. Tuned"
