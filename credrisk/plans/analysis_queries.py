@@ -100,10 +100,11 @@ def q_features_score(spark, d):
 
 
 @register("prep_log1p", with_clients(
-    "SELECT ID, " + ", ".join(f"ln(1 + {c}) AS {c}" for c in PAY_AMT_COLS) + " FROM clients"))
+    "SELECT ID, " + ", ".join(f"round(ln(1 + {c}), 9) AS {c}" for c in PAY_AMT_COLS) + " FROM clients"))
 def q_prep_log1p(spark, d):
-    """log(1 + x) on the six payment amounts."""
-    return log1p_cols(clients(spark, d).select("ID", *PAY_AMT_COLS), PAY_AMT_COLS)
+    """log(1 + x) on the six payment amounts (9 dp)."""
+    out = log1p_cols(clients(spark, d).select("ID", *PAY_AMT_COLS), PAY_AMT_COLS)
+    return out.select("ID", *[F.round(c, 9).alias(c) for c in PAY_AMT_COLS])
 
 
 # --- recodes ------------------------------------------------------------------------
