@@ -1 +1,264 @@
-"""Placeholder."""
+"""Model queries: preparation, MLlib fits, importances, oversampling, model
+persistence and registry, batch and stream scoring, results document."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..operators import evaluation as ev
+from ..operators import models as mdl
+from ..operators import sampling as smp
+from ..operators.ingest import feature_matrix
+from ..operators.leaderboard import comparison_rows, confusion_by_model, leaderboard, union_boards
+from ..operators.prep import preparation
+from ..operators.scoring import scorecard_score, with_tier
+from ..operators.smote import knn_lists, smote
+from ..schema import FEATURES, SMOTE_RATIO
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources.clients import client_view
+from ..sources.io import REGISTRY
+from ..sources.tables import table
+from ..streaming.scoring_stream import run_file_stream
+from . import oracle_sql as S
+from .catalog import featured, register
+from .evaluation_queries import CARDS, FT, SPLIT_CTE, _card_preds, _card_preds_sql, _div0, _split, score_sql
+from .oracle_sql import with_clients
+
+BY_NAME = {c.name: c for c in mdl.CONFIGS}
+
+
+def _matrix_split(spark, d):
+    """(ID, 32 features, DEFAULT, label, split, fold), persisted once."""
+    m = feature_matrix(featured(spark, d, "train"))
+    return cut_lineage(m.join(_split(spark, d).select("ID", "split", "fold"), "ID"))
+
+
+def _fit_predict(spark, d, name: str):
+    cfg = BY_NAME[name]
+    data = _matrix_split(spark, d)
+    model = mdl.fit(cfg, smp.train_part(data))
+    return mdl.predictions(model, smp.test_part(data), cfg)
+
+
+# --- preparation ------------------------------------------------------------------------
+def _prepared(spark, d, kind: str):
+    data = _matrix_split(spark, d)
+    fitted = preparation(kind).fit(smp.train_part(data))
+    return fitted.transform(data).select("ID", "split", vector_to_array("features").alias("features"))
+
+
+@register("prep_linear")
+def q_prep_linear(spark, d):
+    """Linear preparation (Yeo-Johnson, log1p, scaling, one-hot) fitted on train, all rows."""
+    return _prepared(spark, d, "linear")
+
+
+@register("prep_tree")
+def q_prep_tree(spark, d):
+    """Tree preparation (one-hot + pass-through) fitted on train, all rows."""
+    return _prepared(spark, d, "tree")
+
+
+# --- single fits (test-split predictions) ----------------------------------------------------
+@register("model_logistic")
+def q_model_logistic(spark, d):
+    """Baseline logistic regression: test-split probability and class at 0.5."""
+    return _fit_predict(spark, d, "Logistic Regression")
+
+
+@register("model_tree")
+def q_model_tree(spark, d):
+    """Baseline decision tree (depth 6): test-split predictions."""
+    return _fit_predict(spark, d, "Decision Tree")
+
+
+@register("model_forest")
+def q_model_forest(spark, d):
+    """Baseline random forest (200 trees): test-split predictions."""
+    return _fit_predict(spark, d, "Random Forest")
+
+
+@register("model_gbt")
+def q_model_gbt(spark, d):
+    """Baseline gradient-boosted trees (100 × depth 3, rate 0.1): test-split predictions."""
+    return _fit_predict(spark, d, "Gradient Boosting")
+
+
+@register("feature_importances")
+def q_feature_importances(spark, d):
+    """Decision-tree importances with one-hot slots summed back to their column."""
+    cfg = BY_NAME["Decision Tree"]
+    data = _matrix_split(spark, d)
+    model = mdl.fit(cfg, smp.train_part(data))
+    prepared = PipelineModel(stages=model.stages[:-1]).transform(smp.train_part(data))
+    return mdl.feature_importances(model, prepared, spark)
+
+
+@register("train_all")
+def q_train_all(spark, d):
+    """Every baseline and imbalance-handling configuration fitted on train and
+    ranked on test: the comparison board joined with confusion counts."""
+    data = _matrix_split(spark, d)
+    train, test = smp.train_part(data), smp.test_part(data)
+    parts = []
+    for cfg in mdl.CONFIGS:
+        if cfg.search is not None:
+            continue
+        model = mdl.fit(cfg, train)
+        for part, split in ((train, "train"), (test, "test")):
+            p = mdl.with_probability(model.transform(part)).select("ID", "label", "score")
+            parts.append(p.select(F.lit(cfg.name).alias("model"), F.lit(cfg.group).alias("group"),
+                                  F.lit(cfg.threshold).alias("threshold"), "ID", F.lit(split).alias("split"),
+                                  F.col("label").cast("int").alias("label"), "score"))
+    preds = cut_lineage(union_boards(*parts))
+    return leaderboard(comparison_rows(preds), confusion_by_model(preds))
+
+
+# --- oversampling --------------------------------------------------------------------------
+@register("smote")
+def q_smote(spark, d):
+    """SMOTE at ratio 0.5 on the tree-prepared training rows (exact 5-NN)."""
+    data = _matrix_split(spark, d)
+    train = smp.train_part(data)
+    prepared = preparation("tree").fit(train).transform(train).select("ID", "features", "label")
+    out = smote(prepared, SMOTE_RATIO)
+    return out.select("ID", "label", "synthetic", vector_to_array("features").alias("features"))
+
+
+@register("smote_neighbours")
+def q_smote_neighbours(spark, d):
+    """Exact 5 nearest neighbours among the minority (label 0) embeddings."""
+    from pyspark.ml.functions import array_to_vector
+    emb = table(spark, d, "embeddings")
+    minority = emb.filter(F.col("label") == 0).select(
+        array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
+    lists = knn_lists(minority)
+    return lists.select("vkey", F.size("nn").alias("n_neighbours"),
+                        F.aggregate(F.transform("nn", lambda v: F.sqrt(F.aggregate(
+                            F.zip_with(v, F.col("x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                            lambda acc, z: acc + z))), F.lit(0.0), lambda acc, z: F.greatest(acc, z)).alias("kth_distance"))
+
+
+# --- persistence, registry, batch and stream scoring ---------------------------------------------
+def _save_models(spark, d, names):
+    data = _matrix_split(spark, d)
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/models-{uuid.uuid4().hex[:12]}"
+    rows = []
+    for name in names:
+        cfg = BY_NAME[name]
+        path = f"{base}/{name.replace(' ', '_')}"
+        model = mdl.fit(cfg, smp.train_part(data))
+        model.write().overwrite().save(path)
+        rows.append((name, path, list(FEATURES), cfg.threshold))
+    return rows, base
+
+
+def load_registry(spark, entries):
+    """Registry rows; a model whose directory cannot be loaded is kept with its error."""
+    out = []
+    for name, path, feats, thr in entries:
+        try:
+            PipelineModel.load(path)
+            out.append((name, path, feats, thr, "loaded", None))
+        except Exception as e:  # noqa: BLE001 — the failure is the row's content
+            out.append((name, path, feats, thr, "failed", type(e).__name__))
+    return spark.createDataFrame(out, REGISTRY)
+
+
+@register("model_registry")
+def q_model_registry(spark, d):
+    """Saved model directories and their load status (one missing path included)."""
+    rows, base = _save_models(spark, d, ["Logistic Regression", "Decision Tree"])
+    rows.append(("Missing Model", f"{base}/absent", list(FEATURES), 0.5))
+    return load_registry(spark, rows)
+
+
+@register("score_batch")
+def q_score_batch(spark, d):
+    """Save → load the baseline logistic model, score every client, tier the probability."""
+    rows, _ = _save_models(spark, d, ["Logistic Regression"])
+    model = PipelineModel.load(rows[0][1])
+    every = feature_matrix(featured(spark, d, "train"))
+    scored = mdl.with_probability(model.transform(every))
+    return with_tier(scored).select("ID", "score", "pct", "tier")
+
+
+_SC = f'sc AS (SELECT *, {score_sql()} AS score FROM ft)'
+
+
+@register("score_stream", with_clients(
+    f"SELECT ID, score, round(score * 100, 4) AS pct, {S.risk_tier('score * 100')} AS tier, "
+    f"{S.tier_verdict(S.risk_tier('score * 100'))} AS verdict FROM sc", FT, _SC))
+def q_score_stream(spark, d):
+    """Client files scored by a file stream (availableNow) with the scorecard."""
+    src = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-src-{uuid.uuid4().hex[:12]}"
+    client_view(spark, d).repartition(4).write.parquet(src)
+    return run_file_stream(spark, src, scorecard_score, max_files_per_trigger=1)
+
+
+# --- results document ------------------------------------------------------------------------------
+def results_document(preds):
+    """One row per model: auc, f1, ROC and PR arrays, confusion matrix.
+
+    The arrays gather one curve per model; their length is the number of
+    distinct scores, bounded by 10,001 for 4-dp scores."""
+    test = preds.filter(F.col("split") == "test")
+    auc = ev.roc_auc(test, by=["model"], places=6)
+    roc = ev.roc_curve(test, by=["model"]).withColumn("_o", F.coalesce(-F.col("threshold"), F.lit(-2.0)))
+    pr = ev.pr_curve(test, by=["model"]).withColumn("_o", F.coalesce(F.col("threshold"), F.lit(2.0)))
+    roc_a = roc.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("_o", "fpr", "tpr"))).alias("_r"))
+    pr_a = pr.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("_o", "precision", "recall"))).alias("_p"))
+    cm = confusion_by_model(preds)
+    f1 = cm.select("model", F.round(ev._div0(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"),
+                   F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("cm"))
+    return (auc.select("model", "auc").join(f1, "model").join(roc_a, "model").join(pr_a, "model")
+            .select("model", "auc", "f1", F.col("_r.fpr").alias("fpr"), F.col("_r.tpr").alias("tpr"),
+                    F.col("_p.precision").alias("prec"), F.col("_p.recall").alias("rec"), "cm"))
+
+
+def _curves_sql() -> list[str]:
+    return [
+        _card_preds_sql(),
+        "tp0 AS (SELECT * FROM preds WHERE split = 'test')",
+        "rkm2 AS (SELECT model, score, pos, neg, SUM(pos) OVER w AS cum_pos, SUM(neg) OVER w AS cum_neg FROM "
+        "(SELECT model, score, count_if(label = 1) AS pos, count_if(label = 0) AS neg FROM tp0 GROUP BY model, score) "
+        "WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+        "tot AS (SELECT model, SUM(pos) AS p, SUM(neg) AS n FROM rkm2 GROUP BY model)",
+        "rocp AS (SELECT model, -score AS o, round(" + _div0("cum_neg", "n") + ", 6) AS fpr, round("
+        + _div0("cum_pos", "p") + ", 6) AS tpr FROM rkm2 JOIN tot USING (model) "
+        "UNION ALL SELECT model, -2.0, 0.0, 0.0 FROM tot)",
+    ]
+
+
+@register("curve_points_long", with_clients(
+    "SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY o) - 1 AS INTEGER) AS point, fpr, tpr FROM rocp",
+    FT, SPLIT_CTE, *_curves_sql()))
+def q_curve_points_long(spark, d):
+    """ROC arrays of the results document exploded back to (model, point, fpr, tpr)."""
+    doc = results_document(_card_preds(spark, d))
+    return doc.select("model", F.posexplode(F.arrays_zip("fpr", "tpr")).alias("point", "p")).select(
+        "model", "point", F.col("p.fpr").alias("fpr"), F.col("p.tpr").alias("tpr"))
+
+
+@register("model_lookup", with_clients(
+    "SELECT model, CAST(count_if(label = 0 AND score < threshold) AS BIGINT) AS tn, "
+    "CAST(count_if(label = 0 AND score >= threshold) AS BIGINT) AS fp, "
+    "CAST(count_if(label = 1 AND score < threshold) AS BIGINT) AS fn, "
+    "CAST(count_if(label = 1 AND score >= threshold) AS BIGINT) AS tp, "
+    "(SELECT COUNT(*) FROM rocp WHERE rocp.model = 'Scorecard full') AS n_roc_points "
+    "FROM tp0 WHERE model = 'Scorecard full' GROUP BY model",
+    FT, SPLIT_CTE, *_curves_sql()))
+def q_model_lookup(spark, d):
+    """Results-document entry of one model by key: confusion cells (default
+    zeros when absent) and the ROC length."""
+    doc = results_document(_card_preds(spark, d))
+    zero = F.array(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")),
+                   F.array(F.lit(0).cast("long"), F.lit(0).cast("long")))
+    hit = doc.filter(F.col("model") == CARDS[0][0])
+    cm = F.coalesce(F.col("cm"), zero)
+    return hit.select("model", cm[0][0].alias("tn"), cm[0][1].alias("fp"), cm[1][0].alias("fn"),
+                      cm[1][1].alias("tp"), F.size("fpr").cast("long").alias("n_roc_points"))
