@@ -24,7 +24,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import (CAT_COLS, GROUP_BASELINE, GROUP_IMBALANCE, GROUP_TUNED, SEED, SMOTE_RATIO,
+from ..schema import (CAT_COLS, GROUP_BASELINE, GROUP_IMBALANCE, GROUP_TUNED, N_FOLDS, SEED, SMOTE_RATIO,
                       THRESHOLD_BASELINE, THRESHOLD_REBALANCED)
 from .prep import linear_preparation, tree_preparation
 from .smote import smote
@@ -204,7 +204,7 @@ def random_search(config: Config, train: DataFrame, n_draws: int = SEARCH_DRAWS,
         grid.append(pm)
     evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator,
-                        foldCol="fold", parallelism=parallelism, seed=SEED)
+                        foldCol="fold", numFolds=N_FOLDS, parallelism=parallelism, seed=SEED)
     cv_model = cv.fit(data)
     best_i = max(range(len(draws)), key=lambda i: cv_model.avgMetrics[i])
     return cv_model.bestModel, draws[best_i], list(zip(draws, cv_model.avgMetrics))
