@@ -257,3 +257,35 @@ def config_fingerprint(config: Config) -> str:
 
 
 _ = ParamGridBuilder
+
+
+def fit_all(configs, train: DataFrame, test: DataFrame):
+    """Fit many configurations, sharing each preparation.
+
+    A preparation depends only on its kind and the training rows, so it is
+    fitted once per kind; the prepared train / test vectors are written once
+    (reliable checkpoint) and every classifier of that kind trains on them.
+    Yields (config, PipelineModel, scored train, scored test) with scores as
+    (ID, label, score).
+    """
+    from ..operators.prep import preparation
+    from ..session import cut_lineage
+    n = train.count()
+    prepared = {}
+    for kind in sorted({c.prep for c in configs}):
+        pm = preparation(kind).fit(train)
+        keep = ["ID", "features", "label"]
+        prepared[kind] = (pm, cut_lineage(pm.transform(train).select(*keep)),
+                          cut_lineage(pm.transform(test).select(*keep)))
+    for cfg in configs:
+        pm, ptrain, ptest = prepared[cfg.prep]
+        clf = classifier(cfg.algo, cfg.params, cfg.rebalance in ("balanced", "spw"), n)
+        if cfg.rebalance == "smote":
+            clf_model = clf.fit(smote(ptrain, ratio=SMOTE_RATIO))
+        elif cfg.rebalance in ("balanced", "spw"):
+            clf_model = clf.fit(add_weights(ptrain, cfg.rebalance))
+        else:
+            clf_model = clf.fit(ptrain)
+        model = PipelineModel(stages=[*pm.stages, clf_model])
+        scored = [with_probability(clf_model.transform(p)).select("ID", "label", "score") for p in (ptrain, ptest)]
+        yield cfg, model, scored[0], scored[1]

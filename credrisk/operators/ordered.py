@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BUCKET = "_bucket"
 MAX_BUCKETS = 4096
 
@@ -97,8 +99,10 @@ def exact_quantiles(long_df: DataFrame, groups: list[str], value: str, qs: list[
     a small (groups × quantiles) position table.  Output: groups..., q, quantile.
     """
     groups = list(groups)
-    vc = (long_df.filter(F.col(value).isNotNull())
-          .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")))
+    # value counts feed four passes (split points, totals, ranks, positions):
+    # written once to the shared checkpoint folder instead of recomputed
+    vc = cut_lineage(long_df.filter(F.col(value).isNotNull())
+                     .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")))
     ranked = running_sums(vc, [(value, True)], ["_n"], groups=groups)
     n = vc.groupBy(*groups).agg(F.sum("_n").alias("_total"))
     pos = n.select(*groups, "_total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))

@@ -72,7 +72,7 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
 def yeo_johnson_lambdas(df: DataFrame, cols) -> DataFrame:
     """Maximum-likelihood λ per column on a grid refined in three passes.
 
-    Each pass is one aggregation: (column, value) rows × grid λ →
+    Each pass is one aggregation job: (column, value) rows × grid λ →
     var_pop(ψ), n and Σ sign(x)·log1p|x| per (column, λ); llf(λ) =
     −n/2·ln var + (λ−1)·Σ sign(x)·log1p|x|; the best λ (ties → smaller) centres
     the next, finer grid.  Output: (variable, lambda).
@@ -80,25 +80,27 @@ def yeo_johnson_lambdas(df: DataFrame, cols) -> DataFrame:
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])))
     long = long.filter(F.col("x").isNotNull())
-    best = None
+    best: dict[str, float] | None = None
     for center, step, half in YJ_PASSES:
         offs = F.array(*[F.lit(k) for k in range(-half, half + 1)])
         if best is None:
-            grid = long.withColumn("k", F.explode(offs)).withColumn(
-                "lam", F.round(F.lit(center) + F.col("k") * step, 6))
+            base = F.lit(center)
         else:
-            # one λ per column: bounded broadcast
-            grid = long.join(F.broadcast(best), "variable").withColumn("k", F.explode(offs)).withColumn(
-                "lam", F.round(F.col("best") + F.col("k") * step, 6))
+            # previous winners: one scalar per column, passed as a literal map
+            base = F.element_at(F.create_map(*[e for c, v in best.items() for e in (F.lit(c), F.lit(v))]),
+                                F.col("variable"))
+        grid = long.withColumn("k", F.explode(offs)).withColumn("lam", F.round(base + F.col("k") * step, 6))
         x, lam = F.col("x"), F.col("lam")
         agg = grid.groupBy("variable", "lam").agg(
             F.var_pop(yeo_johnson(x, lam)).alias("_var"), F.count(F.lit(1)).alias("_n"),
             F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("_s"))
         llf = -F.col("_n") / 2.0 * F.log(F.col("_var")) + (F.col("lam") - 1) * F.col("_s")
         scored = agg.withColumn("llf", F.when(F.col("_var") > 0, llf))
-        best = scored.groupBy("variable").agg(
+        winners = scored.groupBy("variable").agg(
             F.max_by(F.col("lam"), F.struct(F.col("llf"), -F.col("lam"))).alias("best"))
-    return best.select("variable", F.col("best").alias("lambda"))
+        best = {r["variable"]: float(r["best"]) for r in winners.collect()}
+    spark = df.sparkSession
+    return spark.createDataFrame([(c, best[c]) for c in cols if c in best], "variable string, lambda double")
 
 
 class _YJParams(HasInputCols, HasOutputCols):

@@ -105,12 +105,9 @@ def q_train_all(spark, d):
     data = _matrix_split(spark, d)
     train, test = smp.train_part(data), smp.test_part(data)
     parts = []
-    for cfg in mdl.CONFIGS:
-        if cfg.search is not None:
-            continue
-        model = mdl.fit(cfg, train)
-        for part, split in ((train, "train"), (test, "test")):
-            p = mdl.with_probability(model.transform(part)).select("ID", "label", "score")
+    configs = [c for c in mdl.CONFIGS if c.search is None]
+    for cfg, _model, s_train, s_test in mdl.fit_all(configs, train, test):
+        for p, split in ((s_train, "train"), (s_test, "test")):
             parts.append(p.select(F.lit(cfg.name).alias("model"), F.lit(cfg.group).alias("group"),
                                   F.lit(cfg.threshold).alias("threshold"), "ID", F.lit(split).alias("split"),
                                   F.col("label").cast("int").alias("label"), "score"))
