@@ -59,4 +59,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     force recomputation of the whole upstream plan.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # AQE coalesces small results to very few partitions; CPU-heavy consumers
+    # (grids, kNN, MLlib fits) would then run in one task.  Only small tables
+    # come out below the default parallelism, so re-spreading them is cheap.
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < target:
+        out = out.repartition(target).checkpoint(eager=True)
+    return out
