@@ -67,11 +67,19 @@ def score_counts(pred: DataFrame, label: str = "label", score: str = "score",
 
 
 def _keyed(pred: DataFrame, by) -> tuple[DataFrame, list[str], list[str]]:
-    """(frame, grouping keys, output keys): a constant key stands in for 'no group'."""
+    """(frame, grouping keys, output keys)."""
     by = list(by or [])
-    if by:
-        return pred, by, by
-    return pred.withColumn("_g", F.lit(0)), ["_g"], []
+    return pred, by, by
+
+
+def _attach_totals(r: DataFrame, tot: DataFrame, keys: list[str], out: list[str]) -> DataFrame:
+    """Per-group totals beside each ranked row: a broadcast hash join on the
+    group keys (one row per group), or two literals when there is no group."""
+    if out:
+        return r.join(F.broadcast(tot), keys, "inner")
+    row = tot.first()
+    return r.withColumns({c: F.lit(int(row[c]) if row and row[c] is not None else 0).cast("long")
+                          for c in tot.columns if c not in keys})
 
 
 def _ranked_desc(pred: DataFrame, label: str, score: str, keys: list[str]) -> DataFrame:
@@ -104,7 +112,7 @@ def roc_curve(pred: DataFrame, label: str = "label", score: str = "score",
     r = _ranked_desc(pred, label, score, keys)
     # one total row per group: bounded by the (low-cardinality) groups
     tot = r.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    pts = r.join(F.broadcast(tot), keys, "inner")
+    pts = _attach_totals(r, tot, keys, out)
     body = pts.select(*out, F.col("score").alias("threshold"),
                       F.round(_div0(F.col("cum_neg"), F.col("N")), places).alias("fpr"),
                       F.round(_div0(F.col("cum_pos"), F.col("P")), places).alias("tpr"))
@@ -120,7 +128,7 @@ def pr_curve(pred: DataFrame, label: str = "label", score: str = "score",
     pred, keys, out = _keyed(pred, by)
     r = _ranked_desc(pred, label, score, keys)
     tot = r.groupBy(*keys).agg(F.sum("pos").alias("P"))
-    pts = r.join(F.broadcast(tot), keys, "inner").filter(F.col("before_pos") < F.col("P"))
+    pts = _attach_totals(r, tot, keys, out).filter(F.col("before_pos") < F.col("P"))
     body = pts.select(*out, F.col("score").alias("threshold"),
                       F.round(_div0(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")), places).alias("precision"),
                       F.round(_div0(F.col("cum_pos"), F.col("P")), places).alias("recall"))

@@ -42,6 +42,11 @@ def with_range_bucket(df: DataFrame, key: str, groups: list[str], n_buckets: int
     """
     qs = [i / n_buckets for i in range(1, n_buckets)]
     k = F.col(key).cast("double")
+    if not groups:
+        # at most n_buckets − 1 numbers: collected and inlined as a literal
+        row = df.agg(F.array_distinct(F.percentile_approx(k, qs, 10000)).alias("s")).first()
+        lits = F.array(*[F.lit(float(v)) for v in (row["s"] or [])]) if row and row["s"] else F.array().cast("array<double>")
+        return df.withColumn(BUCKET, F.size(F.filter(lits, lambda s: s < k)))
     # groups x buckets split points: bounded by construction, safe to broadcast
     splits = df.groupBy(*groups).agg(
         F.array_distinct(F.percentile_approx(k, qs, 10000)).alias("_splits"))
@@ -61,9 +66,6 @@ def running_sums(df: DataFrame, order: list[tuple[str, bool]], values: list[str]
     numeric and is range-bucketed.
     """
     groups = list(groups or [])
-    constant_group = not groups
-    if constant_group:
-        df, groups = df.withColumn("_g", F.lit(0)), ["_g"]
     first, first_asc = order[0]
     if bucket is None:
         df = with_range_bucket(df, first, groups, n_buckets or default_buckets(df))
@@ -73,6 +75,7 @@ def running_sums(df: DataFrame, order: list[tuple[str, bool]], values: list[str]
         df = df.withColumn(BUCKET, bucket)
 
     totals = df.groupBy(*groups, BUCKET).agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
+    # prefix sums over the bucket totals: at most groups x buckets rows
     w_tot = Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *groups, BUCKET,
@@ -82,7 +85,7 @@ def running_sums(df: DataFrame, order: list[tuple[str, bool]], values: list[str]
     sort = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
     w = (Window.partitionBy(*groups, BUCKET).orderBy(*sort)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    keep = [c for c in df.columns if c != BUCKET and not (constant_group and c == "_g")]
+    keep = [c for c in df.columns if c != BUCKET]
     return out.select(
         *keep,
         *[(F.col(f"_off_{v}") + F.sum(v).over(w)).alias(f"cum_{v}") for v in values],
