@@ -44,13 +44,12 @@ def tier_distribution(scored: DataFrame, label: str = TARGET) -> DataFrame:
 def score_vs_average(scored: DataFrame, label: str = TARGET, key: str = "ID") -> DataFrame:
     """Each client's probability against the portfolio's observed default rate.
 
-    The rate is a one-row aggregate attached by a broadcast hash join on a
-    constant key (build side: exactly one row)."""
-    avg = scored.agg(F.avg(F.col(label).cast("double")).alias("_rate")).withColumn("_k", F.lit(1))
-    t = with_tier(scored).withColumn("_k", F.lit(1))
-    j = t.join(F.broadcast(avg), "_k")
-    rate = F.col("_rate") * 100
-    return j.select(key, "pct", F.round(rate, 4).alias("portfolio_rate_pct"),
+    The rate is one number: a global aggregate collected as a scalar and
+    attached as a literal (no join)."""
+    rate_row = scored.agg(F.avg(F.col(label).cast("double")).alias("_rate")).first()
+    rate = F.lit(rate_row["_rate"]).cast("double") * 100
+    t = with_tier(scored)
+    return t.select(key, "pct", F.round(rate, 4).alias("portfolio_rate_pct"),
                     F.round(F.col("pct") - rate, 4).alias("delta_pct"),
                     F.when(F.col("pct") > rate, "above average").otherwise("at or below average").alias("relative"))
 

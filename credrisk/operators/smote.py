@@ -130,14 +130,15 @@ def knn_lists(minority: DataFrame, k: int = SMOTE_K, seed: int = SEED,
 
     kth_within, knn_bucket = _bucket_functions(k)
     d1 = distinct.groupBy("bucket").applyInPandas(kth_within, "bucket int, t double, D double")
-    # one row per bucket: its t range and halo width
-    btab = d1.groupBy("bucket").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("D").alias("H"))
-    brow = btab.select(F.struct("bucket", "lo", "hi", "H").alias("b"))
-    barr = brow.agg(F.collect_list("b").alias("bs"))
-    halo = F.filter("bs", lambda b: (F.col("t") >= b["lo"] - b["H"]) & (F.col("t") <= b["hi"] + b["H"]))
-    # the bucket table is one row (≤ 4,096 buckets): broadcast hash join on a constant key
-    sent = (distinct.withColumn("_k", F.lit(1)).join(F.broadcast(barr.withColumn("_k", F.lit(1))), "_k")
-            .select("x", "m", "vkey", "bucket", F.explode(halo).alias("b"))
+    # one row per bucket (at most 4,096): its t range and halo width, collected
+    # and inlined as literals; each vector keeps the buckets whose widened
+    # range covers its projection
+    btab = (d1.groupBy("bucket").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("D").alias("H"))
+            .collect())
+    bs = F.array(*[F.struct(F.lit(int(r["bucket"])).alias("bucket"), F.lit(float(r["lo"])).alias("lo"),
+                            F.lit(float(r["hi"])).alias("hi"), F.lit(float(r["H"])).alias("H")) for r in btab])
+    halo = F.filter(bs, lambda b: (F.col("t") >= b["lo"] - b["H"]) & (F.col("t") <= b["hi"] + b["H"]))
+    sent = (distinct.select("x", "m", "vkey", "bucket", F.explode(halo).alias("b"))
             .select("x", "m", "vkey", F.col("b.bucket").alias("dest"),
                     (F.col("b.bucket") == F.col("bucket")).alias("own")))
     res = sent.groupBy("dest").applyInPandas(knn_bucket, "vkey long, nn array<array<double>>")

@@ -43,3 +43,16 @@ def test_ordered_plans_avoid_single_partition(spark):
         # and the final merge of a one-row global aggregate
         assert p.count("SinglePartition") <= 2
         assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_no_registered_query_plans_a_nested_loop_join(spark):
+    """Joins are hash joins (broadcast only for bounded tables); bounded
+    scalars and bucket tables are inlined as literals instead of joined."""
+    bad = []
+    for name in sorted(QUERIES):
+        if name == "train_all":  # same operators as the single fits; minutes to run
+            continue
+        p = plan(QUERIES[name](spark, SMOKE))
+        if "BroadcastNestedLoopJoin" in p or "CartesianProduct" in p:
+            bad.append(name)
+    assert not bad
