@@ -114,20 +114,18 @@ def exact_quantiles(long_df: DataFrame, groups: list[str], value: str, qs: list[
     # order statistic i (0-based) is the value with before <= i < cum
     stats = ranked.select(*groups, value, F.col("before__n").alias("_b"), F.col("cum__n").alias("_c"))
 
-    def pick(idx: Column, name: str) -> DataFrame:
-        p = pos.select(*groups, "q", idx.alias("_i"))
-        # the position table has groups x quantiles rows: broadcast it, never
-        # shuffle the distinct values on a low-cardinality group key
-        j = (stats.join(F.broadcast(p), groups, "inner")
-             .filter((F.col("_b") <= F.col("_i")) & (F.col("_i") < F.col("_c"))))
-        return j.select(*groups, "q", F.col(value).cast("double").alias(name))
-
-    lo = pick(F.col("_lo"), "_xlo")
-    hi = pick(F.col("_lo") + 1, "_xhi")
+    # both order statistics (lo, lo + 1) in one join with the position table
+    # (groups x quantiles rows: broadcast, never a shuffle on the group key)
+    lo, hi = F.col("_lo"), F.col("_lo") + 1
+    at_lo = (F.col("_b") <= lo) & (lo < F.col("_c"))
+    at_hi = (F.col("_b") <= hi) & (hi < F.col("_c"))
+    picked = (stats.join(F.broadcast(pos), groups, "inner").filter(at_lo | at_hi)
+              .groupBy(*groups, "q", "_pos", "_lo")
+              .agg(F.max(F.when(at_lo, F.col(value).cast("double"))).alias("_xlo"),
+                   F.max(F.when(at_hi, F.col(value).cast("double"))).alias("_xhi")))
     frac = F.col("_pos") - F.col("_lo")
-    return (pos.join(lo, [*groups, "q"], "left").join(hi, [*groups, "q"], "left")
-            .select(*groups, "q",
-                    (F.col("_xlo") + frac * (F.coalesce("_xhi", "_xlo") - F.col("_xlo"))).alias("quantile")))
+    return picked.select(*groups, "q",
+                         (F.col("_xlo") + frac * (F.coalesce("_xhi", "_xlo") - F.col("_xlo"))).alias("quantile"))
 
 
 def quantile_columns(qdf: DataFrame, groups: list[str], names: dict[float, str]) -> DataFrame:
