@@ -25,3 +25,14 @@ def test_entry_contract(spark):
     df = e.entry(spark)
     assert df.count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_scorecard_reproduces_fixture_numbers(spark):
+    """FIXTURES.md §3 publishes the scorecard's results at sf0.01."""
+    d = "/root/testdata/sf0.01"
+    auc = QUERIES["roc_auc"](spark, d).first()
+    assert (auc["auc"], auc["n_pos"], auc["n_neg"]) == (0.882168, 351, 1149)
+    cm = {r["threshold"]: (r["tp"], r["fp"], r["fn"]) for r in QUERIES["confusion_matrix"](spark, d).collect()}
+    assert cm == {0.3: (281, 204, 70), 0.5: (204, 31, 147)}
+    tiers = {r["tier"]: r["clients"] for r in QUERIES["tier_distribution"](spark, d).collect()}
+    assert tiers == {"LOW RISK": 622, "MODERATE RISK": 467, "HIGH RISK": 248, "CRITICAL RISK": 163}
