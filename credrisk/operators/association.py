@@ -76,3 +76,29 @@ def top_associations(corr: DataFrame, k: int) -> DataFrame:
     """The k features with the largest |r| with the target (a top-k report)."""
     return corr.orderBy(F.abs("r").desc(), "feature").limit(k).select(
         "feature", "r", F.round(F.abs("r"), 6).alias("abs_r"))
+
+
+def chi_square(df: DataFrame, cols, target: str = TARGET, places: int = 6) -> DataFrame:
+    """Pearson χ² of independence between each categorical column and the
+    target: Σ (O − E)² / E over the observed contingency cells (rows with a
+    missing side dropped), with dof = (levels − 1)·(classes − 1).
+
+    One partially aggregated count per (column, level, class); the marginals
+    come from that small table, never from the raw rows again.
+    """
+    long = df.select(F.col(target).alias("_y"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in cols])))
+    cells = (long.filter(F.col("level").isNotNull() & F.col("_y").isNotNull())
+             .groupBy("feature", "level", "_y").agg(F.count(F.lit(1)).alias("o")))
+    rows = cells.groupBy("feature", "level").agg(F.sum("o").alias("r"))
+    classes = cells.groupBy("feature", "_y").agg(F.sum("o").alias("c"))
+    total = cells.groupBy("feature").agg(F.sum("o").alias("n"), F.countDistinct("level").alias("k"),
+                                         F.countDistinct("_y").alias("m"))
+    # every (level, class) pair, observed or not, contributes (O − E)² / E
+    grid = rows.join(classes, "feature").join(total, "feature").join(cells, ["feature", "level", "_y"], "left")
+    e = F.col("r") * F.col("c") / F.col("n").cast("double")
+    o = F.coalesce(F.col("o"), F.lit(0)).cast("double")
+    return (grid.groupBy("feature").agg(F.sum((o - e) * (o - e) / e).alias("_chi"),
+                                        F.first("k").alias("k"), F.first("m").alias("m"))
+            .select("feature", F.round("_chi", places).alias("statistic"),
+                    ((F.col("k") - 1) * (F.col("m") - 1)).cast("int").alias("dof")))

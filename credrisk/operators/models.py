@@ -289,3 +289,17 @@ def fit_all(configs, train: DataFrame, test: DataFrame):
         model = PipelineModel(stages=[*pm.stages, clf_model])
         scored = [with_probability(clf_model.transform(p)).select("ID", "label", "score") for p in (ptrain, ptest)]
         yield cfg, model, scored[0], scored[1]
+
+
+def config_table(spark) -> DataFrame:
+    """The configuration table as a DataFrame: the rebalanced configurations
+    are two dictionaries (oversampled, weighted) united by name, as the
+    reference merges them; baseline and tuned rows are appended."""
+    cols = "model string, group string, prep string, algo string, rebalance string, threshold double"
+
+    def rows(pred):
+        return [(c.name, c.group, c.prep, c.algo, c.rebalance, float(c.threshold)) for c in CONFIGS if pred(c)]
+    smote_t = spark.createDataFrame(rows(lambda c: c.group == GROUP_IMBALANCE and c.rebalance == "smote"), cols)
+    weight_t = spark.createDataFrame(rows(lambda c: c.group == GROUP_IMBALANCE and c.rebalance != "smote"), cols)
+    rest = spark.createDataFrame(rows(lambda c: c.group != GROUP_IMBALANCE), cols)
+    return rest.unionByName(smote_t.unionByName(weight_t))

@@ -430,3 +430,32 @@ def q_top_importances(spark, d):
 
 __all__ = ["dashboard_frame"]
 _ = (F, age_group_ord)
+
+
+_CHI_COLS = ["GENDER", "EDUCATION", "MARRIAGE"]
+
+
+def _chi_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS level, \"DEFAULT\" AS y FROM clients "
+        f"WHERE {c} IS NOT NULL AND \"DEFAULT\" IS NOT NULL" for c in _CHI_COLS)
+    return (
+        "SELECT feature, round(SUM((COALESCE(o, 0) - e) * (COALESCE(o, 0) - e) / e), 6) AS statistic, "
+        "CAST((max(k) - 1) * (max(m) - 1) AS INTEGER) AS dof FROM ("
+        "SELECT g.feature, g.level, g.y, ce.o, CAST(g.r AS DOUBLE) * g.c / g.n AS e, g.k, g.m FROM ("
+        "SELECT r.feature, r.level, c.y, r.r, c.c, t.n, t.k, t.m FROM "
+        "(SELECT feature, level, COUNT(*) AS r FROM lv GROUP BY ALL) r JOIN "
+        "(SELECT feature, y, COUNT(*) AS c FROM lv GROUP BY ALL) c USING (feature) JOIN "
+        "(SELECT feature, COUNT(*) AS n, COUNT(DISTINCT level) AS k, COUNT(DISTINCT y) AS m FROM lv GROUP BY ALL) t "
+        "USING (feature)) g LEFT JOIN (SELECT feature, level, y, COUNT(*) AS o FROM lv GROUP BY ALL) ce "
+        "USING (feature, level, y)) GROUP BY feature",
+        f"lv AS ({parts})")
+
+
+_chi = _chi_sql()
+
+
+@register("chi_square_categoricals", with_clients(_chi[0], _chi[1]))
+def q_chi_square(spark, d):
+    """Pearson χ² statistic and dof of sex / education / marriage against DEFAULT."""
+    return assoc.chi_square(clients(spark, d), _CHI_COLS)

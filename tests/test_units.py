@@ -242,3 +242,45 @@ def test_clients_csv_scan(spark, tmp_path):
 def test_bill_and_pay_columns_are_six():
     assert len(BILL_COLS) == len(PAY_AMT_COLS) == len(PAY_COLS) == 6
     assert math.isclose(1.0, 1.0)
+
+
+def test_chi_square_equals_mllib(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import ChiSquareTest
+    from credrisk.operators.association import chi_square
+    rng = np.random.default_rng(11)
+    rows = [(int(a), int(b), int((a + rng.integers(0, 3)) % 2)) for a, b in zip(rng.integers(1, 4, 300), rng.integers(0, 5, 300))]
+    df = spark.createDataFrame(rows, "GENDER int, EDUCATION int, DEFAULT int")
+    mine = {r["feature"]: (r["statistic"], r["dof"]) for r in chi_square(df, ["GENDER", "EDUCATION"]).collect()}
+    vec = VectorAssembler(inputCols=["GENDER", "EDUCATION"], outputCol="f").transform(df)
+    res = ChiSquareTest.test(vec, "f", "DEFAULT").first()
+    assert mine["GENDER"][0] == pytest.approx(res.statistics[0], abs=1e-5) and mine["GENDER"][1] == res.degreesOfFreedom[0]
+    assert mine["EDUCATION"][0] == pytest.approx(res.statistics[1], abs=1e-5)
+
+
+def test_leaderboard_sink_and_source_round_trip(spark, tmp_path):
+    from credrisk.sources.io import LEADERBOARD, read_leaderboard, write_leaderboard
+    board = spark.createDataFrame([("m", 0.9, 0.8, 0.85, 0.5, 0.6, 0.4, "1. Baseline")], LEADERBOARD)
+    write_leaderboard(board, str(tmp_path / "lb"))
+    back = read_leaderboard(spark, str(tmp_path / "lb" / "csv")).first()
+    assert back["model"] == "m" and back["auc"] == 0.85 and back["group"] == "1. Baseline"
+
+
+def test_failed_artifacts_and_curve_filter(spark):
+    from credrisk.sources.io import REGISTRY, RESULTS, failed_models, models_with_curves, registry_summary
+    reg = spark.createDataFrame([("a", "/x", ["f"], 0.5, "loaded", None), ("b", "/y", ["f"], 0.3, "failed", "IOError")], REGISTRY)
+    assert [r["model"] for r in failed_models(reg).collect()] == ["b"]
+    s = registry_summary(reg).first()
+    assert (s["loaded"], s["total"]) == (1, 2)
+    docs = spark.createDataFrame([Row(model="a", auc=0.7, f1=0.1, fpr=[0.0], tpr=[0.0], prec=[1.0], rec=[0.0], cm=None,
+                                      feature_importances=None, best_params=None),
+                                  Row(model="b", auc=0.6, f1=0.1, fpr=[], tpr=[], prec=[], rec=[], cm=None,
+                                      feature_importances=None, best_params=None)], RESULTS)
+    assert [r["model"] for r in models_with_curves(docs).collect()] == ["a"]
+
+
+def test_config_table_union(spark):
+    from credrisk.operators.models import CONFIGS, config_table
+    t = config_table(spark)
+    assert t.count() == len(CONFIGS) == 13
+    assert t.filter("rebalance = 'smote'").count() == 4
