@@ -44,8 +44,30 @@ def pair_stats(df: DataFrame, cols, target: str | None = None) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols, places: int = 6) -> DataFrame:
-    """Full matrix as (x, y, r, n): all unordered pairs in one pass, mirrored;
-    the diagonal is 1 (NULL for a constant column)."""
+    """Full matrix as (x, y, r, n); the diagonal is 1 (NULL for a constant column).
+
+    One counting pass first.  Without NULLs, pairwise-complete equals plain
+    Pearson and MLlib's ``Correlation.corr`` builds the d×d matrix from a single
+    Gramian tree aggregation (no row expansion; the d×d result is bounded by
+    the column count).  With NULLs, every pair is masked on its own
+    (:func:`pair_stats`).
+    """
+    cols = list(cols)
+    counts = df.agg(F.count(F.lit(1)).alias("_n"),
+                    *[F.count_if(F.col(c).isNull()).alias(f"_z{i}") for i, c in enumerate(cols)]).first()
+    if counts is not None and counts["_n"] > 1 and all(counts[f"_z{i}"] == 0 for i in range(len(cols))):
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.stat import Correlation
+        vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(
+            df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+        m = Correlation.corr(vec, "_v").first()[0].toArray()
+        n = int(counts["_n"])
+        rows = []
+        for i, a in enumerate(cols):
+            for j, b in enumerate(cols):
+                v = float(m[i, j])
+                rows.append((a, b, None if v != v else round(v, places), n))
+        return df.sparkSession.createDataFrame(rows, "x string, y string, r double, n long")
     half = pair_stats(df, cols).withColumn("r", F.round("r", places))
     mirror = half.filter(F.col("x") != F.col("y")).select(
         F.col("y").alias("x"), F.col("x").alias("y"), "r", "n")

@@ -284,3 +284,20 @@ def test_config_table_union(spark):
     t = config_table(spark)
     assert t.count() == len(CONFIGS) == 13
     assert t.filter("rebalance = 'smote'").count() == 4
+
+
+def test_corr_matrix_with_nulls_is_pairwise_complete(spark):
+    import pandas as pd
+    rng = np.random.default_rng(13)
+    a = rng.normal(size=60)
+    b = a * 0.5 + rng.normal(size=60)
+    c = rng.normal(size=60)
+    b[::7] = np.nan
+    c[::5] = np.nan
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c})
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["x"], r["y"]): r["r"] for r in corr_matrix(df, ["a", "b", "c"]).collect()}
+    want = pdf.corr()
+    for (x, y), r in got.items():
+        assert r == pytest.approx(want.loc[x, y], abs=1e-6)
