@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credrisk.llm import line_dedup, simhash
+from credrisk.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from credrisk.llm.common import materialise
+from credrisk.llm.queries import remainder, tokenizer
 from credrisk.sources.tables import table
 
 
@@ -22,6 +23,16 @@ def with_text(docs: DataFrame, text) -> list:
     return [new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns]
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; null texts and texts without letters go.
+
+    Learns from the labelled documents that ``op9`` may learn from.
+    """
+    model = language_id.fit(docs.where(remainder(F.col("doc_id")) != 1))
+    judged = language_id.identify(docs.select(F.struct(*docs.columns).alias("doc")), model, id_col="doc", text_col="doc.text")
+    return judged.where(F.col("lang_pred") != language_id.UNDETERMINED).select("id.*")
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that three or more documents share (kept in the largest id)."""
     return line_dedup.dedup_lines(docs).select(*with_text(docs, F.col("kept_text")))
@@ -34,11 +45,27 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no 10-word window of the benchmark."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), span=10)
+    dirty = found.where("n_hit > 0").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of ids and digests of the ids and of the text decoded from them."""
+    return bpe.encode_digests(docs, tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
+    ("language_id", language_stage),
     ("line_dedup", line_dedup_stage),
     ("simhash", simhash_stage),
+    ("decontamination", decontamination_stage),
+    ("bpe", bpe_stage),
 ]
 
+#: Language ID, fingerprints and BPE are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

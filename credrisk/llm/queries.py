@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import line_dedup, simhash
+from . import bpe, decontaminate, language_id, line_dedup, simhash, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -34,9 +40,53 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+@register("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 50-byte string that also starts in a smaller doc_id are removed."""
+    out = suffix_dedup.dedup_substrings(texts(spark, sf_dir), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by word_bpe_49k.json; over 2,048 is marked."""
+    out = token_counts.token_counts(texts(spark, sf_dir), tokenizer("word_bpe_49k.json"), limit=2048)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 @register("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, components of links at 2 or fewer differing bits."""
     out = simhash.near_duplicates(texts(spark, sf_dir), words=3, max_bits=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       F.col("component").alias("component_id"))
+
+
+@register("op8_decontaminate", decontaminate.SQL)
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document words inside 10-word windows (or whole shorter items) of the benchmark."""
+    out = decontaminate.contamination(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), span=10)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def remainder(doc_id: Column) -> Column:
+    """crc32 of the id as text, modulo 3: remainder 1 is held out."""
+    return F.crc32(doc_id.cast("string")) % 3
+
+
+@register("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language by cross-parsing, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(remainder(F.col("doc_id")) != 1))
+    out = language_id.identify(docs, model)
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(remainder(F.col("id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@register("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every whole text by byte_bpe_50k.json, as digests."""
+    return bpe.encode_digests(texts(spark, sf_dir), tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
