@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, decontaminate, language_id, line_dedup, simhash, suffix_dedup, token_counts
+from . import ann, bpe, decontaminate, language_id, line_dedup, secret_scan, simhash, suffix_dedup, token_counts, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +40,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+@register("op2_neighbours")
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vec_id divisible by 100 among all others."""
+    out = ann.neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, k=10)
+    return out.withColumnRenamed("id", "vec_id")
+
+
 @register("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by a 50-byte string that also starts in a smaller doc_id are removed."""
@@ -56,6 +63,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+@register("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: base patterns and high-entropy strings."""
+    out = secret_scan.scan_secrets(texts(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@register("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text: label-model posterior and trained score."""
+    return weak_labels.quality(texts(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 @register("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, components of links at 2 or fewer differing bits."""

@@ -1,0 +1,130 @@
+"""Secret scans: three base patterns and sliding-window entropy over candidate strings.
+
+Candidates are maximal runs of a character class.  A window slides over each; the
+Shannon entropy of its characters follows from counts that change by one
+character in and one out.  Runs of windows at or above the class's threshold become a span.
+An allow-list keeps what only looks random: words, numbers, UUIDs, repeated
+alphabets and published sample keys.  Spans are offsets in code points, end exclusive.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+KINDS = ("assign", "access", "hex", "entropy_base64", "entropy_hex")
+
+
+@dataclass(frozen=True)
+class CharacterClass:
+    kind: str
+    pattern: re.Pattern
+    window: int
+    bits: float
+
+
+CLASSES = (
+    CharacterClass("entropy_base64", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"), 20, 3.9),
+    CharacterClass("entropy_hex", re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}"), 20, 3.0),
+)
+ALLOWED = (
+    re.compile(r"[A-Za-z_-]+"),                                    # words and identifiers without a digit
+    re.compile(r"[0-9_/+-]+"),                                     # numbers, dates, card and phone numbers
+    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUIDs
+    re.compile(r"(?i).*(example|0123456789abcdef|abcdefghijklmnop).*"),  # samples and alphabets
+)
+
+
+@dataclass
+class Scanner:
+    classes: tuple[CharacterClass, ...] = CLASSES
+    allowed: tuple[re.Pattern, ...] = ALLOWED
+    logs: list[float] = field(default_factory=lambda: [0.0] + [n * math.log2(n) for n in range(1, 257)])
+
+    def assigned(self, text: str) -> list[tuple[int, int]]:
+        """The pattern never crosses a line and needs ':' or '=', so only such lines are searched."""
+        out, at = [], 0
+        while True:
+            marks = [p for p in (text.find(":", at), text.find("=", at)) if p >= 0]
+            if not marks:
+                return out
+            lo, hi = max(at, text.rfind("\n", 0, min(marks)) + 1), text.find("\n", min(marks))
+            hi = len(text) if hi < 0 else hi
+            out += [m.span() for m in ASSIGN.finditer(text, lo, hi) if len(m[1]) >= 6]
+            at = hi
+
+    def base(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, kind, end) of the base patterns."""
+        found = [(s, 0, e) for s, e in self.assigned(text)]
+        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+        return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
+
+    def windows(self, run: str, size: int, bits: float) -> list[tuple[int, int]]:
+        """Maximal spans of the windows of ``size`` characters whose entropy reaches ``bits``."""
+        logs, counts, total, out = self.logs, {}, 0.0, []
+        limit = (math.log2(size) - bits) * size + 1e-9  # entropy >= bits as a bound on the sum of c log2 c
+        for i, c in enumerate(run):
+            n = counts.get(c, 0)
+            total += logs[n + 1] - logs[n]
+            counts[c] = n + 1
+            if i >= size:
+                gone = run[i - size]
+                n = counts[gone]
+                total += logs[n - 1] - logs[n]
+                counts[gone] = n - 1
+            if i >= size - 1 and total <= limit:
+                if out and out[-1][1] >= i - size + 1:
+                    out[-1] = (out[-1][0], i + 1)
+                else:
+                    out.append((i - size + 1, i + 1))
+        return out
+
+    def random_looking(self, text: str) -> list[tuple[int, int, int]]:
+        found = []
+        for c in self.classes:
+            for m in c.pattern.finditer(text):
+                run = m[0]
+                if not any(a.fullmatch(run) for a in self.allowed):
+                    found += [(m.start() + s, KINDS.index(c.kind), m.start() + e) for s, e in self.windows(run, c.window, c.bits)]
+        return found
+
+    def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """Base spans, and base spans with the method's; a span inside a base span adds nothing."""
+        base = self.base(text)
+        added = [x for x in self.random_looking(text) if not any(s <= x[0] and x[2] <= e for s, _, e in base)]
+        return base, sorted({*base, *added})
+
+
+def written(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``found`` (array of kind, start, end in code points; base and added ones), the base counts
+    ``n_assign``, ``n_access``, ``n_hex``, and the texts ``base`` and ``spans`` (kind:start:end by start, then kind).
+
+    Edge cases: a null text is empty; an empty one has no spans and empty texts; repeated
+    rows give repeated results; a null id stays null; an empty table gives no rows.
+    """
+    scanner = Scanner()
+
+    @F.pandas_udf("n_assign long, n_access long, n_hex long, base string, spans string")
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            base, spans = scanner.scan(t or "")
+            kinds = [k for _, k, _ in base]
+            rows.append((kinds.count(0), kinds.count(1), kinds.count(2), written(base), written(spans)))
+        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base", "spans"])
+
+    found = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.struct(
+        F.split(s, ":")[0].alias("kind"), F.split(s, ":")[1].cast("long").alias("start"), F.split(s, ":")[2].cast("long").alias("end")))
+    return docs.select(F.col(id_col).alias("id"), scan(F.col(text_col)).alias("out")).select("id", "out.*").withColumn("found", found)
