@@ -131,8 +131,8 @@ class Block:
 
 
 def slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+    cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
         yield int(bucket[lo]), slice(int(lo), int(hi))
 
 

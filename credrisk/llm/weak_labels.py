@@ -109,7 +109,7 @@ def accuracies(patterns: dict[str, int], rounds: int = 200) -> tuple[np.ndarray,
     and the posterior of the good class per pattern."""
     keys = list(patterns)
     n = np.array([patterns[k] for k in keys], dtype=np.float64)
-    votes = np.array([[{GOOD: 1, BAD: 0}.get(v, -1) for v in k] for k in keys], dtype=np.int64).reshape(len(keys), -1)
+    votes = np.array([[{GOOD: 1, BAD: 0}.get(v, -1) for v in k] for k in keys], dtype=np.int64).reshape(len(keys), len(keys[0]) if keys else 0)
     good, bad = votes == 1, votes == 0
     rate = np.tile([[0.3], [0.9]], (1, votes.shape[1])) if len(keys) else np.zeros((2, 0))
     share = 0.8
