@@ -22,10 +22,6 @@ def _div0(n: Column, d: Column) -> Column:
     return F.coalesce(n.cast("double") / F.nullif(d, F.lit(0)).cast("double"), F.lit(0.0))
 
 
-def predict(pred: DataFrame, threshold: float, score: str = "score") -> DataFrame:
-    return pred.withColumn("prediction", (F.col(score) >= threshold).cast("int"))
-
-
 def confusion_counts(pred: DataFrame, thresholds, label: str = "label", score: str = "score",
                      by: list[str] | None = None) -> DataFrame:
     """tn, fp, fn, tp per threshold (and per ``by`` group) in one aggregation."""
@@ -106,13 +102,17 @@ def roc_auc(pred: DataFrame, label: str = "label", score: str = "score",
 
 def roc_curve(pred: DataFrame, label: str = "label", score: str = "score",
               by: list[str] | None = None, places: int = 6) -> DataFrame:
-    """(threshold, fpr, tpr) for every distinct score, descending, plus the
-    starting point (NULL threshold, 0, 0)."""
+    """(threshold, fpr, tpr) per distinct score, descending, plus the starting
+    point (NULL threshold, 0, 0).  A point is left out if the curve goes straight
+    on through it: the next score adds as many positives and negatives."""
     pred, keys, out = _keyed(pred, by)
-    r = _ranked_desc(pred, label, score, keys)
+    r = running_sums(score_counts(pred, label, score, keys).withColumnRenamed(score, "score"), [("score", False)],
+                     ["pos", "neg"], groups=keys, following=True)
+    first = (F.col("before_pos") + F.col("before_neg")) == 0
+    bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     # one total row per group: bounded by the (low-cardinality) groups
     tot = r.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    pts = _attach_totals(r, tot, keys, out)
+    pts = _attach_totals(r, tot, keys, out).filter(first | F.col("next_pos").isNull() | bend)
     body = pts.select(*out, F.col("score").alias("threshold"),
                       F.round(_div0(F.col("cum_neg"), F.col("N")), places).alias("fpr"),
                       F.round(_div0(F.col("cum_pos"), F.col("P")), places).alias("tpr"))
@@ -123,12 +123,12 @@ def roc_curve(pred: DataFrame, label: str = "label", score: str = "score",
 
 def pr_curve(pred: DataFrame, label: str = "label", score: str = "score",
              by: list[str] | None = None, places: int = 6) -> DataFrame:
-    """(threshold, precision, recall) per distinct score from the highest down
-    to the first reaching full recall, plus the closing point (NULL, 1, 0)."""
+    """(threshold, precision, recall) per distinct score, plus the closing point
+    (NULL, 1, 0)."""
     pred, keys, out = _keyed(pred, by)
     r = _ranked_desc(pred, label, score, keys)
     tot = r.groupBy(*keys).agg(F.sum("pos").alias("P"))
-    pts = _attach_totals(r, tot, keys, out).filter(F.col("before_pos") < F.col("P"))
+    pts = _attach_totals(r, tot, keys, out)
     body = pts.select(*out, F.col("score").alias("threshold"),
                       F.round(_div0(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")), places).alias("precision"),
                       F.round(_div0(F.col("cum_pos"), F.col("P")), places).alias("recall"))

@@ -1,37 +1,39 @@
 """Model training, tuning, scoring and importances on MLlib (C1–C13, L1–L9,
 E10, M10–M12).
 
-Fits are MLlib jobs (tree aggregation on the executors); the driver only
-loops over the configuration table.  XGBoost is not available here:
-``GBTClassifier`` stands in with the closest settings (see README).
+Fits are MLlib jobs (tree aggregation on the executors); independent fits run from
+a thread pool, so that their jobs share the executors.  XGBoost is not available
+here: ``GBTClassifier`` stands in with the closest settings (see README).
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import random
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import (CAT_COLS, GROUP_BASELINE, GROUP_IMBALANCE, GROUP_TUNED, N_FOLDS, SEED, SMOTE_RATIO,
                       THRESHOLD_BASELINE, THRESHOLD_REBALANCED)
-from .prep import linear_preparation, tree_preparation
-from .smote import smote
+from ..session import cut_lineage
+from .evaluation import confusion_counts, metrics_from_counts
+from .prep import linear_preparation, preparation, tree_preparation
+from .smote import InfeasibleRatio, knn_lists, smote
 
 # Estimator settings of the thirteen configurations.
 FOREST_TREES = 200
-FOREST_MAX_DEPTH = 15          # MLlib caps depth at 30; the reference leaves it unlimited
+FOREST_MAX_DEPTH = 30          # MLlib allows no more; the reference leaves it unlimited
 GBT_DEFAULT = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
 XGB_BASELINE = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8,
                 "featureSubsetStrategy": "0.8"}
@@ -42,7 +44,7 @@ LR_MAX_ITER = 1000
 # Random-search spaces, in the reference's list order.  Estimator names map as
 # n_estimators→maxIter, max_depth→maxDepth, learning_rate→stepSize,
 # subsample→subsamplingRate, colsample_bytree→featureSubsetStrategy (per node
-# here), gamma→minInfoGain (loose), sampling_strategy→smote_ratio.
+# here), gamma→gamma (see classifier), sampling_strategy→smote_ratio.
 SMOTE_SEARCH = {"smote_ratio": [0.3, 0.4, 0.5, 0.6, 0.8, 0.9],
                 "maxIter": [50, 100, 200, 300, 500, 800],
                 "maxDepth": [2, 3, 4, 6],
@@ -54,7 +56,7 @@ WEIGHT_SEARCH = {"maxIter": [100, 200, 300],
                  "stepSize": [0.01, 0.05, 0.1],
                  "subsamplingRate": [0.7, 0.8, 1.0],
                  "featureSubsetStrategy": ["0.7", "0.8", "1.0"],
-                 "minInfoGain": [0.0, 1.0, 5.0]}
+                 "gamma": [0.0, 1.0, 5.0]}
 SEARCH_DRAWS = 20
 
 
@@ -89,46 +91,30 @@ CONFIGS = [
 ]
 
 
-def classifier(algo: str, params: dict | None = None, weighted: bool = False, n_train: int | None = None):
+def classifier(algo: str, params: dict | None = None, weighted: bool = False, total: float | None = None):
+    """An unfitted classifier for rows of summed weight ``total``.
+
+    L2 with C = 1 on the summed loss equals regParam = 1 / Σw on the mean loss.  In the
+    same way ``gamma``, a least loss reduction summed over rows, becomes minInfoGain =
+    gamma / Σw, a least gain per unit of weight.
+    """
     params = dict(params or {})
     w = {"weightCol": "weight"} if weighted else {}
     if algo == "lr":
-        # L2 with C = 1 on the summed loss equals regParam = 1 / Σw on the mean loss
-        reg = 1.0 / n_train if n_train else 0.0
-        return LogisticRegression(maxIter=LR_MAX_ITER, regParam=reg, elasticNetParam=0.0,
+        return LogisticRegression(maxIter=LR_MAX_ITER, regParam=1.0 / total if total else 0.0, elasticNetParam=0.0,
                                   standardization=False, **w)
     if algo == "dt":
         return DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=SEED, **w)
     if algo == "rf":
         return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_MAX_DEPTH, seed=SEED, **w)
     if algo == "gbt":
-        return GBTClassifier(seed=SEED, **params, **w)
+        gamma = params.pop("gamma", 0.0)
+        return GBTClassifier(seed=SEED, minInfoGain=gamma / total if total else 0.0, **params, **w)
     raise ValueError(algo)
 
 
-class ResampledClassifier(Estimator):
-    """Train-only oversampling: ``fit`` resamples the prepared rows with SMOTE
-    and fits the wrapped classifier; the returned model never resamples."""
-
-    ratio = Param(Params._dummy(), "ratio", "minority / majority after resampling", TypeConverters.toFloat)
-
-    @keyword_only
-    def __init__(self, classifier=None, ratio=SMOTE_RATIO):
-        super().__init__()
-        self._classifier = classifier
-        self._setDefault(ratio=SMOTE_RATIO)
-        self._set(ratio=ratio)
-
-    def copy(self, extra=None):
-        extra = dict(extra or {})
-        inner = {p: v for p, v in extra.items() if self._classifier.hasParam(p.name) and p.parent == self._classifier.uid}
-        that = super().copy({p: v for p, v in extra.items() if p not in inner})
-        that._classifier = self._classifier.copy(inner)
-        return that
-
-    def _fit(self, df: DataFrame):
-        resampled = smote(df.select("ID", "features", "label"), ratio=self.getOrDefault(self.ratio))
-        return self._classifier.fit(resampled)
+def is_weighted(config: Config) -> bool:
+    return config.rebalance in ("balanced", "spw")
 
 
 def add_weights(train: DataFrame, mode: str) -> DataFrame:
@@ -145,13 +131,41 @@ def add_weights(train: DataFrame, mode: str) -> DataFrame:
     return train.withColumn("weight", F.when(F.col("label") == 1, F.lit(w1)).otherwise(F.lit(w0)))
 
 
-def build(config: Config, n_train: int | None = None) -> Pipeline:
-    """Preparation + classifier (+ train-only resampling) for one configuration."""
+def resampled(rows: DataFrame, ratio: float, lists: DataFrame | None = None) -> DataFrame:
+    """SMOTE output as a written table: MLlib passes over its input several times."""
+    return cut_lineage(smote(rows.select("ID", "features", "label"), ratio, lists=lists))
+
+
+def fit_rows(config: Config, rows: DataFrame, params: dict | None = None):
+    """Fit the configuration's classifier on prepared rows as they will be seen: already
+    resampled, or (ID, features, label) that get their weights here."""
+    rows = add_weights(rows, config.rebalance) if is_weighted(config) else rows
+    total = rows.agg(F.sum("weight") if is_weighted(config) else F.count(F.lit(1)).cast("double")).first()[0]
+    return classifier(config.algo, {**config.params, **(params or {})}, is_weighted(config), total).fit(rows)
+
+
+class RebalancedClassifier(Estimator):
+    """A configuration's classifier as a pipeline stage: resampling and weights apply to the
+    rows given to ``fit`` only; the returned model never resamples."""
+
+    ratio = Param(Params._dummy(), "ratio", "minority / majority after resampling", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, config=None, ratio=SMOTE_RATIO):
+        super().__init__()
+        self._config = config
+        self._setDefault(ratio=SMOTE_RATIO)
+        self._set(ratio=ratio)
+
+    def _fit(self, df: DataFrame):
+        rows = df.select("ID", "features", "label")
+        return fit_rows(self._config, resampled(rows, self.getOrDefault(self.ratio)) if self._config.rebalance == "smote" else rows)
+
+
+def build(config: Config) -> Pipeline:
+    """Preparation, train-only rebalancing and classifier of one configuration."""
     stages = linear_preparation() if config.prep == "linear" else tree_preparation()
-    clf = classifier(config.algo, config.params, config.rebalance in ("balanced", "spw"), n_train)
-    if config.rebalance == "smote":
-        clf = ResampledClassifier(classifier=clf, ratio=SMOTE_RATIO)
-    return Pipeline(stages=[*stages, clf])
+    return Pipeline(stages=[*stages, RebalancedClassifier(config=config)])
 
 
 def with_probability(pred: DataFrame, out: str = "score") -> DataFrame:
@@ -161,9 +175,7 @@ def with_probability(pred: DataFrame, out: str = "score") -> DataFrame:
 
 def fit(config: Config, train: DataFrame) -> PipelineModel:
     """Fit one configuration on the training rows (ID, 32 features, label)."""
-    n = train.count()
-    data = add_weights(train, config.rebalance) if config.rebalance in ("balanced", "spw") else train
-    return build(config, n).fit(data)
+    return build(config).fit(train)
 
 
 def predictions(model: PipelineModel, df: DataFrame, config: Config) -> DataFrame:
@@ -182,32 +194,87 @@ def sample_param_maps(space: dict, n: int, seed: int = SEED) -> list[dict]:
     return [dict(zip(keys, combos[i])) for i in picks]
 
 
-def random_search(config: Config, train: DataFrame, n_draws: int = SEARCH_DRAWS, parallelism: int = 4):
-    """Randomized search with 5 stratified folds (``fold`` column), scored by
-    positive-class F1 at 0.5.  SMOTE draws resample inside each training fold
-    only; a draw whose ratio is not above the fold's current ratio fails and
-    scores 0.  Returns (best model refit on all train, best params, avg F1 per draw)."""
-    draws = sample_param_maps(config.search, n_draws)
-    n = train.count()
-    data = add_weights(train, config.rebalance) if config.rebalance == "spw" else train
-    pipe = build(config, n)
-    clf_stage = pipe.getStages()[-1]
-    inner = clf_stage._classifier if isinstance(clf_stage, ResampledClassifier) else clf_stage
-    grid = []
-    for d in draws:
-        pm = {}
-        for k, v in d.items():
-            if k == "smote_ratio":
-                pm[clf_stage.ratio] = float(v)
-            else:
-                pm[inner.getParam(k)] = v
-        grid.append(pm)
-    evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator,
-                        foldCol="fold", numFolds=N_FOLDS, parallelism=parallelism, seed=SEED)
-    cv_model = cv.fit(data)
-    best_i = max(range(len(draws)), key=lambda i: cv_model.avgMetrics[i])
-    return cv_model.bestModel, draws[best_i], list(zip(draws, cv_model.avgMetrics))
+def in_parallel(job: Callable, items: list, threads: int) -> list:
+    """Run ``job`` for every item from a thread pool, in this session."""
+    pool = ThreadPool(max(1, min(threads, len(items))))
+    try:
+        return pool.map(inheritable_thread_target(job), items, chunksize=1)
+    finally:
+        pool.close()
+
+
+class Folds:
+    """Prepared rows of every fold; preparation, neighbours and each resampling are made once
+    per fold and shared by all draws."""
+
+    def __init__(self, config: Config, train: DataFrame, n_folds: int):
+        self.config, self.train, self.n_folds = config, train, n_folds
+        self._made: dict = {}
+        self._locks: dict = {}
+        self._guard = threading.Lock()
+
+    def _once(self, key, make):
+        with self._guard:
+            lock = self._locks.setdefault(key, threading.Lock())
+        with lock:
+            if key not in self._made:
+                try:
+                    self._made[key] = make()
+                except InfeasibleRatio as e:
+                    self._made[key] = e
+            return self._made[key]
+
+    def rows(self, fold: int) -> tuple[DataFrame, DataFrame]:
+        """(training rows, validation rows) of the fold."""
+        def make():
+            inside = self.train.filter(F.col("fold") != fold)
+            fitted, keep = preparation(self.config.prep).fit(inside), ["ID", "features", "label"]
+            return tuple(cut_lineage(fitted.transform(part).select(*keep)) for part in (inside, self.train.filter(F.col("fold") == fold)))
+        return self._once(("rows", fold), make)
+
+    def resampled(self, fold: int, ratio: float) -> DataFrame | InfeasibleRatio:
+        lists = self._once(("knn", fold), lambda: knn_lists(self.rows(fold)[0].filter("label = 1")))
+        return self._once(("smote", fold, ratio), lambda: resampled(self.rows(fold)[0], ratio, lists))
+
+
+def positive_f1(pred: DataFrame) -> float:
+    counts = confusion_counts(pred, [0.5])
+    return float(metrics_from_counts(counts, places=12).first()["f1"])
+
+
+def random_search(config: Config, train: DataFrame, n_draws: int = SEARCH_DRAWS, n_folds: int = N_FOLDS,
+                  threads: int = 8, done: dict | None = None, record: Callable | None = None, draws: list | None = None):
+    """Randomized search over stratified folds (``fold`` column), scored by positive-class F1
+    at 0.5.  SMOTE draws resample inside each training fold only; a draw whose ratio is not
+    above the fold's current one scores 0 there.
+
+    ``done`` holds results of an earlier run as {(draw, fold): F1}; ``record(draw, fold, f1)``
+    is called for each new one, so an interrupted search can go on.  Returns (model refitted on
+    all training rows, best parameters, [(parameters, mean F1)]).
+    """
+    draws = sample_param_maps(config.search, n_draws) if draws is None else draws
+    folds, scores = Folds(config, train, n_folds), dict(done or {})
+
+    def one(job: tuple[int, int]) -> None:
+        draw, fold = job
+        params = {k: v for k, v in draws[draw].items() if k != "smote_ratio"}
+        rows, held = folds.rows(fold)
+        if config.rebalance == "smote":
+            rows = folds.resampled(fold, float(draws[draw]["smote_ratio"]))
+        f1 = 0.0 if isinstance(rows, InfeasibleRatio) else positive_f1(with_probability(fit_rows(config, rows, params).transform(held)))
+        scores[job] = f1
+        if record:
+            record(draw, fold, f1)
+
+    in_parallel(one, [j for j in itertools.product(range(len(draws)), range(n_folds)) if j not in scores], threads)
+    mean = [sum(scores[d, f] for f in range(n_folds)) / n_folds for d in range(len(draws))]
+    best = max(range(len(draws)), key=lambda d: mean[d])
+    fitted = preparation(config.prep).fit(train)
+    rows = cut_lineage(fitted.transform(train).select("ID", "features", "label"))
+    if config.rebalance == "smote":
+        rows = resampled(rows, float(draws[best]["smote_ratio"]))
+    chosen = fit_rows(config, rows, {k: v for k, v in draws[best].items() if k != "smote_ratio"})
+    return PipelineModel(stages=[*fitted.stages, chosen]), draws[best], list(zip(draws, mean))
 
 
 # --- importances -------------------------------------------------------------------------
@@ -245,52 +312,13 @@ def feature_importances(model: PipelineModel, prepared: DataFrame, spark) -> Dat
         values = [abs(v) for v in clf.coefficients.toArray().tolist()]
     names = slot_names(prepared)
     if len(names) != len(values):
-        names = [f"f{i}" for i in range(len(values))]
+        names = [f"feature_{i}" for i in range(len(values))]
     rows = [(source_feature(n), float(v)) for n, v in zip(names, values)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return (df.groupBy("feature").agg(F.round(F.sum("importance"), 6).alias("importance"))
             .orderBy(F.desc("importance"), "feature"))
 
 
-def config_fingerprint(config: Config) -> str:
-    return hashlib.md5(repr(config).encode()).hexdigest()[:12]
-
-
-_ = ParamGridBuilder
-
-
-def fit_all(configs, train: DataFrame, test: DataFrame):
-    """Fit many configurations, sharing each preparation.
-
-    A preparation depends only on its kind and the training rows, so it is
-    fitted once per kind; the prepared train / test vectors are written once
-    (reliable checkpoint) and every classifier of that kind trains on them.
-    Yields (config, PipelineModel, scored train, scored test) with scores as
-    (ID, label, score).
-    """
-    from ..operators.prep import preparation
-    from ..session import cut_lineage
-    n = train.count()
-    prepared = {}
-    for kind in sorted({c.prep for c in configs}):
-        pm = preparation(kind).fit(train)
-        keep = ["ID", "features", "label"]
-        prepared[kind] = (pm, cut_lineage(pm.transform(train).select(*keep)),
-                          cut_lineage(pm.transform(test).select(*keep)))
-    for cfg in configs:
-        pm, ptrain, ptest = prepared[cfg.prep]
-        clf = classifier(cfg.algo, cfg.params, cfg.rebalance in ("balanced", "spw"), n)
-        if cfg.rebalance == "smote":
-            clf_model = clf.fit(smote(ptrain, ratio=SMOTE_RATIO))
-        elif cfg.rebalance in ("balanced", "spw"):
-            clf_model = clf.fit(add_weights(ptrain, cfg.rebalance))
-        else:
-            clf_model = clf.fit(ptrain)
-        model = PipelineModel(stages=[*pm.stages, clf_model])
-        scored = [with_probability(clf_model.transform(p)).select("ID", "label", "score") for p in (ptrain, ptest)]
-        yield cfg, model, scored[0], scored[1]
-
-
 def config_table(spark) -> DataFrame:
     """The configuration table as a DataFrame: the rebalanced configurations
     are two dictionaries (oversampled, weighted) united by name, as the

@@ -25,12 +25,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 BUCKET = "_bucket"
-MAX_BUCKETS = 4096
 
 
 def default_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(MAX_BUCKETS, 2 * n))
+    return max(2, 2 * n)
 
 
 def with_range_bucket(df: DataFrame, key: str, groups: list[str], n_buckets: int) -> DataFrame:
@@ -57,9 +56,10 @@ def with_range_bucket(df: DataFrame, key: str, groups: list[str], n_buckets: int
 
 def running_sums(df: DataFrame, order: list[tuple[str, bool]], values: list[str],
                  groups: list[str] | None = None, bucket: Column | None = None,
-                 n_buckets: int | None = None) -> DataFrame:
+                 n_buckets: int | None = None, following: bool = False) -> DataFrame:
     """Append ``cum_<v>`` (inclusive running sum in ``order``) and ``before_<v>``
-    (exclusive) for each value column, within each group.
+    (exclusive) for each value column, within each group.  With ``following``
+    also ``next_<v>``, the value of the next row in ``order`` (NULL at the end).
 
     ``order`` is a list of (column, ascending); rows must be unique on
     groups + order columns.  Without ``bucket``, the first order column must be
@@ -86,10 +86,20 @@ def running_sums(df: DataFrame, order: list[tuple[str, bool]], values: list[str]
     w = (Window.partitionBy(*groups, BUCKET).orderBy(*sort)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     keep = [c for c in df.columns if c != BUCKET]
+    ahead = []
+    if following:
+        # the first row of every bucket (groups x buckets rows) continues the bucket before it
+        by = Window.partitionBy(*groups, BUCKET).orderBy(*sort)
+        heads = (df.withColumn("_r", F.row_number().over(by)).filter("_r = 1")
+                 .select(*groups, BUCKET, F.struct(*values).alias("_head")))
+        after = heads.select(*groups, BUCKET, F.lead("_head").over(Window.partitionBy(*groups).orderBy(BUCKET)).alias("_after"))
+        out = out.join(F.broadcast(after), [*groups, BUCKET], "left")
+        ahead = [F.coalesce(F.lead(v).over(by), F.col(f"_after.{v}")).alias(f"next_{v}") for v in values]
     return out.select(
         *keep,
         *[(F.col(f"_off_{v}") + F.sum(v).over(w)).alias(f"cum_{v}") for v in values],
         *[(F.col(f"_off_{v}") + F.sum(v).over(w) - F.col(v)).alias(f"before_{v}") for v in values],
+        *ahead,
     )
 
 

@@ -197,12 +197,12 @@ def linear_preparation() -> list:
             Log1pTransformer(inputCols=PAY_AMT_COLS, outputCols=[f"log__{c}" for c in PAY_AMT_COLS]),
             PopulationStandardScaler(inputCols=NUM_BASE_COLS, outputCols=[f"num__{c}" for c in NUM_BASE_COLS]),
             *one_hot_stages(),
-            VectorAssembler(inputCols=LINEAR_OUT, outputCol="features", handleInvalid="keep")]
+            VectorAssembler(inputCols=LINEAR_OUT, outputCol="features", handleInvalid="error")]
 
 
 def tree_preparation() -> list:
     """One-hot categories, every other feature passed through → ``features``."""
-    return [*one_hot_stages(), VectorAssembler(inputCols=TREE_OUT, outputCol="features", handleInvalid="keep")]
+    return [*one_hot_stages(), VectorAssembler(inputCols=TREE_OUT, outputCol="features", handleInvalid="error")]
 
 
 def preparation(kind: str) -> Pipeline:

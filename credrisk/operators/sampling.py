@@ -36,6 +36,7 @@ def stratified_split(df: DataFrame, test_fraction: float = TEST_FRACTION, label:
 
     Adds ``split`` ('train' / 'test') and ``fold``.
     """
+    df = df.withColumn(label, F.coalesce(label, F.raise_error(F.lit(f"{label} is NULL: cannot stratify")).cast(df.schema[label].dataType)))
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_class"))
     sizes = sizes.withColumn("_n_test", F.round(F.col("_n_class") * test_fraction).cast("long"))
     ranked = class_rank(df, label, key, seed)
@@ -63,13 +64,3 @@ def balanced_weights(train: DataFrame, label: str = TARGET) -> DataFrame:
     n = F.sum("n_class").over(Window.partitionBy())
     return counts.select(label, "n_class", n.alias("n"),
                          (n / (2.0 * F.col("n_class"))).alias("weight"))
-
-
-def with_weights(train: DataFrame, weights: DataFrame, label: str = TARGET, out: str = "weight") -> DataFrame:
-    """Attach the class weight to every row (the class table has ≤ 2 rows)."""
-    return train.join(F.broadcast(weights.select(label, F.col("weight").alias(out))), label, "left")
-
-
-def positive_weight(train: DataFrame, spw: Column, label: str = TARGET, out: str = "weight") -> DataFrame:
-    """weight = scale_pos_weight for the positive class, 1 otherwise."""
-    return train.withColumn(out, F.when(F.col(label) == 1, spw).otherwise(F.lit(1.0)))

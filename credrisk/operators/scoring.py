@@ -63,15 +63,18 @@ def factor_analysis(df: DataFrame, key: str = "ID") -> DataFrame:
     def level(high, moderate):
         return F.when(high, "HIGH").when(moderate, "MODERATE").otherwise("LOW")
 
+    def one_place(x):  # half-even on the exact value, as the reference formats it
+        return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+
     months = float(FACTOR_SCALE_MONTHS)
     factors = [
-        (util * 100, level(util > UTIL_HIGH, util > UTIL_MODERATE), F.lit(None).cast("string")),
+        (util * 100, level(util > UTIL_HIGH, util > UTIL_MODERATE), F.concat(one_place(util * 100), F.lit("%"))),
         (F.greatest(F.lit(0), pay0) / months * 100, level(pay0 > DELAY_HIGH, pay0 > DELAY_MODERATE),
          F.when(pay0 > 0, F.concat(pay0.cast("string"), F.lit(" months delay"))).otherwise(F.lit("On time ✓"))),
         (F.greatest(F.lit(0.0), avg) / months * 100, level(avg > DELAY_HIGH, avg > DELAY_MODERATE),
-         F.lit(None).cast("string")),
+         F.concat(one_place(avg), F.lit(" avg months late"))),
         (F.greatest(F.lit(0.0), 1 - ratio) * 100, level(ratio < COVERAGE_HIGH, ratio < COVERAGE_MODERATE),
-         F.lit(None).cast("string")),
+         F.concat(one_place(ratio * 100), F.lit("% of bills paid"))),
         (F.greatest(F.lit(0.0), 1 - lim / float(LIMIT_SCALE)) * 100,
          F.when(lim > LIMIT_LOW, "LOW").when(lim > LIMIT_MODERATE, "MODERATE").otherwise("HIGH"),
          F.concat(F.lit("NT$"), F.format_number(lim, 0))),

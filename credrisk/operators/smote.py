@@ -1,19 +1,19 @@
-"""SMOTE oversampling with an exact k-nearest-neighbour search.
-
-kNN plan (exact, no all-pairs output, bounded groups):
-
-1. minority rows collapse to *distinct* vectors with a multiplicity, so a
-   vector repeated by a third of the rows is one row here;
-2. each distinct vector gets t = x·u for a seeded unit direction u, and range
-   buckets on t (``percentile_approx`` split points);
-3. pass 1, per bucket (``applyInPandas``): D_i = distance to the k-th nearest
-   copy inside the own bucket, an upper bound of the true k-th distance;
-   H_b = max D_i of the bucket;
-4. every vector is also sent to each bucket b with t in [lo_b − H_b, hi_b + H_b]
-   (bucket table: one row per bucket, broadcast).  Since |t_i − t_j| ≤ ‖x_i − x_j‖,
-   every true neighbour of a point in b is then present in b;
-5. pass 2, per bucket: exact k nearest copies of each own vector among what the
-   bucket received, in chunks (memory O(chunk × bucket)), emitted as k vectors.
+"""SMOTE oversampling with a nearest-neighbour forest.
+
+kNN plan: exact search does not prune in 40 columns, so neighbours come from a
+forest of projection trees with exact re-ranking inside the leaves.
+
+1. Minority rows collapse to *distinct* vectors with a multiplicity, so a vector
+   repeated by a third of the rows is one row here.
+2. A bounded sample gives the principal axes and, per tree, median split points
+   along random directions weighted to those axes.  Levels deeper than the sample
+   can resolve split at the leaf's centroid, so the expected leaf size stays
+   constant however many vectors there are, and the model stays bounded.
+3. Every vector goes to one leaf per tree.  Each leaf is one small group: all
+   distances by a matrix product, the best k re-ranked on exact differences.
+4. The lists of a vector's leaves are merged to its k nearest.
+
+Work per vector is (trees x leaf size), independent of the number of vectors.
 
 Synthetic rows: n_new = floor(ratio·n_majority) − n_minority; minority rows
 take ⌊n_new / n_min⌋ copies, one more for the first n_new mod n_min rows in
@@ -24,6 +24,7 @@ seeded hash order; each copy picks one of its k neighbours and
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,138 +33,126 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SEED, SMOTE_K
+from ..session import cut_lineage
 from .ordered import running_sums
 from .sampling import seeded_hash
 
-TARGET_BUCKET_ROWS = 20000
-CHUNK = 512
+TREES = 12
+LEAF_ROWS = 200
+SAMPLE_ROWS = 20_000
+SAMPLE_PER_LEAF = 8
+
+
+class InfeasibleRatio(ValueError):
+    """The asked ratio is not above the current one: nothing to oversample."""
 
 
-def _unit_direction(dim: int, seed: int) -> list[float]:
+def plant_forest(sample: np.ndarray, n_rows: int, trees: int, leaf_rows: int, seed: int) -> dict:
+    """Directions and split points of every tree, from a bounded sample."""
     rng = np.random.default_rng(seed)
-    u = rng.normal(size=dim)
-    return (u / np.linalg.norm(u)).tolist()
-
-
-def _bucket_functions(k: int, chunk: int = CHUNK):
-    """Per-bucket numpy steps, built as closures so that Python workers receive
-    them by value (no import of this package needed on executors)."""
-    import numpy as np  # noqa: F811
-    import pandas as pd  # noqa: F811
-
-    def _kth_within(pdf):
-        """Pass 1: k-th nearest-copy distance inside one bucket (upper bound)."""
-        x = np.stack(pdf["x"].to_numpy()).astype(float)
-        m = pdf["m"].to_numpy().astype(np.int64)
-        out = np.full(len(x), np.inf)
-        for s in range(0, len(x), chunk):
-            xs = x[s:s + chunk]
-            d = np.sqrt(((xs[:, None, :] - x[None, :, :]) ** 2).sum(-1))
-            for r in range(len(xs)):
-                i = s + r
-                order = np.argsort(d[r], kind="stable")
-                need, acc = k, 0.0
-                for j in order:
-                    copies = m[j] - 1 if j == i else m[j]
-                    if copies <= 0:
-                        continue
-                    need -= copies
-                    acc = d[r, j]
-                    if need <= 0:
-                        break
-                out[i] = acc if need <= 0 else np.inf
-        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "t": pdf["t"].to_numpy(), "D": out})
-
-
-    def _knn_bucket(pdf):
-        """Pass 2: exact k nearest copies of the bucket's own vectors."""
-        own = pdf[pdf["own"]]
-        if own.empty:
-            return pd.DataFrame({"vkey": pd.Series([], dtype="int64"), "nn": pd.Series([], dtype=object)})
-        allx = np.stack(pdf["x"].to_numpy()).astype(float)
-        allm = pdf["m"].to_numpy().astype(np.int64)
-        allk = pdf["vkey"].to_numpy()
-        ox = np.stack(own["x"].to_numpy()).astype(float)
-        okeys = own["vkey"].to_numpy()
-        lists = []
-        for s in range(0, len(ox), chunk):
-            xs = ox[s:s + chunk]
-            d = ((xs[:, None, :] - allx[None, :, :]) ** 2).sum(-1)
-            for r in range(len(xs)):
-                key = okeys[s + r]
-                order = np.lexsort((allk, d[r]))
-                picked = []
-                for j in order:
-                    copies = allm[j] - 1 if allk[j] == key else allm[j]
-                    if copies <= 0:
-                        continue
-                    picked += [allx[j].tolist()] * int(min(copies, k - len(picked)))
-                    if len(picked) >= k:
-                        break
-                lists.append(picked)
-        return pd.DataFrame({"vkey": okeys, "nn": lists})
-
-    return _kth_within, _knn_bucket
-
-
-def knn_lists(minority: DataFrame, k: int = SMOTE_K, seed: int = SEED,
-              bucket_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
+    centred = sample - sample.mean(axis=0)
+    _, spread, axes = np.linalg.svd(centred, full_matrices=False)
+    depth = max(0, math.ceil(math.log2(max(1.0, n_rows / leaf_rows))))
+    known = min(depth, max(0, int(math.log2(max(1, len(sample) / SAMPLE_PER_LEAF)))))
+    forest = []
+    for _ in range(trees if depth else 1):
+        directions = (rng.standard_normal((depth, len(spread))) * spread) @ axes
+        groups, cuts = [np.arange(len(sample))], []
+        for level in range(depth):
+            projected = [sample[g] @ directions[level] for g in groups]
+            if level < known:
+                cut = np.array([np.median(p) if len(p) else 0.0 for p in projected])
+                groups = [part for g, p, c in zip(groups, projected, cut) for part in (g[p < c], g[p >= c])]
+            else:
+                cut = np.array([p.mean() if len(p) else 0.0 for p in projected])
+            cuts.append(cut)
+        forest.append((directions, cuts))
+    return {"forest": forest, "known": known}
+
+
+def leaves(x: np.ndarray, model: dict) -> np.ndarray:
+    """Leaf number of every row in every tree."""
+    out = np.zeros((len(x), len(model["forest"])), dtype=np.int64)
+    for t, (directions, cuts) in enumerate(model["forest"]):
+        base = np.zeros(len(x), dtype=np.int64)
+        for level, (direction, cut) in enumerate(zip(directions, cuts)):
+            right = x @ direction >= cut[base]
+            if level < model["known"]:
+                base = base * 2 + right
+            out[:, t] = out[:, t] * 2 + right
+    return out
+
+
+def nearest_in_leaf(x: np.ndarray, k: int, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbour positions, exact squared distances), k per row, the row itself excluded."""
+    square, take = (x * x).sum(axis=1), min(k, len(x) - 1)
+    near, dist = np.empty((len(x), take), dtype=np.int64), np.empty((len(x), take))
+    for lo in range(0, len(x), chunk):
+        part = x[lo:lo + chunk]
+        d = square[lo:lo + chunk, None] + square[None, :] - 2 * part @ x.T
+        d[np.arange(len(part)), np.arange(lo, lo + len(part))] = np.inf
+        more = min(take + 4, len(x) - 1)  # a margin for the product's rounding
+        found = np.argpartition(d, more - 1, axis=1)[:, :more] if more else np.zeros((len(part), 0), dtype=np.int64)
+        exact = ((part[:, None, :] - x[found]) ** 2).sum(axis=2)
+        order = np.lexsort((found, exact), axis=1)[:, :take]
+        near[lo:lo + chunk] = np.take_along_axis(found, order, axis=1)
+        dist[lo:lo + chunk] = np.take_along_axis(exact, order, axis=1)
+    return near, dist
+
+
+def knn_lists(minority: DataFrame, k: int = SMOTE_K, seed: int = SEED, trees: int = TREES,
+              leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(x, nn) per distinct minority vector: ``nn`` holds its k nearest copies
-    (Euclidean), self-copies first when the vector repeats."""
+    (Euclidean) found by the forest, self-copies first when the vector repeats."""
     spark = minority.sparkSession
-    vec = minority.select(vector_to_array("features").alias("x"))
-    distinct = vec.groupBy("x").agg(F.count(F.lit(1)).alias("m"))
-    dim = len(minority.select(vector_to_array("features").alias("x")).first()["x"])
-    u = _unit_direction(dim, seed)
-    ul = F.array(*[F.lit(float(v)) for v in u])
-    t = F.aggregate(F.zip_with("x", ul, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    distinct = distinct.withColumns({"t": t, "vkey": F.xxhash64("x")})
-    n_distinct = distinct.count()
-    n_buckets = max(1, min(4096, math.ceil(n_distinct / bucket_rows)))
-    if n_buckets > 1:
-        qs = [i / n_buckets for i in range(1, n_buckets)]
-        splits = distinct.agg(F.array_distinct(F.percentile_approx("t", qs, 10000)).alias("s")).first()["s"]
-        sl = F.array(*[F.lit(float(v)) for v in splits])
-        distinct = distinct.withColumn("bucket", F.size(F.filter(sl, lambda s: s < F.col("t"))))
-    else:
-        distinct = distinct.withColumn("bucket", F.lit(0))
-
-    kth_within, knn_bucket = _bucket_functions(k)
-    d1 = distinct.groupBy("bucket").applyInPandas(kth_within, "bucket int, t double, D double")
-    # one row per bucket (at most 4,096): its t range and halo width, collected
-    # and inlined as literals; each vector keeps the buckets whose widened
-    # range covers its projection
-    btab = (d1.groupBy("bucket").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("D").alias("H"))
-            .collect())
-    bs = F.array(*[F.struct(F.lit(int(r["bucket"])).alias("bucket"), F.lit(float(r["lo"])).alias("lo"),
-                            F.lit(float(r["hi"])).alias("hi"), F.lit(float(r["H"])).alias("H")) for r in btab])
-    halo = F.filter(bs, lambda b: (F.col("t") >= b["lo"] - b["H"]) & (F.col("t") <= b["hi"] + b["H"]))
-    sent = (distinct.select("x", "m", "vkey", "bucket", F.explode(halo).alias("b"))
-            .select("x", "m", "vkey", F.col("b.bucket").alias("dest"),
-                    (F.col("b.bucket") == F.col("bucket")).alias("own")))
-    res = sent.groupBy("dest").applyInPandas(knn_bucket, "vkey long, nn array<array<double>>")
-    _ = spark
-    return distinct.select("x", "vkey").join(res, "vkey")
+    distinct = cut_lineage(minority.select(vector_to_array("features").alias("x")).groupBy("x")
+                           .agg(F.count(F.lit(1)).alias("m")).withColumn("vid", F.monotonically_increasing_id()))
+    sample = np.array([r["x"] for r in distinct.orderBy(F.xxhash64("x"), "vid").limit(SAMPLE_ROWS).select("x").collect()])
+    n = distinct.count()
+    if n == 0:
+        return distinct.select("x", F.array().cast("array<array<double>>").alias("nn"))
+    model = spark.sparkContext.broadcast(plant_forest(sample, n, trees, leaf_rows, seed))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                at = leaves(np.stack(batch["x"].to_numpy()), model.value)
+                for t in range(at.shape[1]):
+                    yield batch.assign(tree=t, leaf=at[:, t])
+
+    def rank(group: pd.DataFrame) -> pd.DataFrame:
+        x, ids, copies = np.stack(group["x"].to_numpy()), group["vid"].to_numpy(), group["m"].to_numpy()
+        near, dist = nearest_in_leaf(x, k)
+        flat = near.ravel()
+        return pd.DataFrame({"vid": np.repeat(ids, near.shape[1]), "d": dist.ravel(), "other": ids[flat], "m": copies[flat],
+                             "y": [x[j] for j in flat]})
+
+    placed = distinct.mapInPandas(place, "x array<double>, m long, vid long, tree int, leaf long")
+    pairs = placed.groupBy("tree", "leaf").applyInPandas(rank, "vid long, d double, other long, m long, y array<double>")
+    # at most trees x k entries per vector: a bounded list
+    best = pairs.groupBy("vid").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "other", "m", "y"))), 1, k).alias("best"))
+    own = F.array_repeat(F.col("x"), F.least(F.col("m") - 1, F.lit(k)).cast("int"))
+    others = F.flatten(F.transform(F.coalesce("best", F.array().cast(best.schema["best"].dataType)),
+                                   lambda s: F.array_repeat(s["y"], F.least(s["m"], F.lit(k)).cast("int"))))
+    return cut_lineage(distinct.join(best, "vid", "left").select("x", F.slice(F.concat(own, others), 1, k).alias("nn")))
 
 
 def smote(df: DataFrame, ratio: float, k: int = SMOTE_K, seed: int = SEED,
-          label: str = "label", key: str = "ID") -> DataFrame:
+          label: str = "label", key: str = "ID", lists: DataFrame | None = None) -> DataFrame:
     """Original rows plus synthetic minority rows (label 1), ``synthetic`` flag.
 
-    Raises ValueError when ``ratio`` asks for fewer minority rows than exist.
+    ``lists`` are the neighbours of the minority rows if they are known already.
+    Raises InfeasibleRatio when ``ratio`` is not above the current one.
     """
     counts = {int(r[label]): int(r["n"]) for r in
               df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_min, n_maj = counts.get(1, 0), counts.get(0, 0)
     n_new = int(ratio * n_maj) - n_min
-    if n_new < 0:
-        raise ValueError(f"SMOTE ratio {ratio} is below the current minority ratio "
-                         f"{n_min / max(n_maj, 1):.4f}: nothing to oversample")
-    base = df.withColumn("synthetic", F.lit(False))
-    if n_new == 0 or n_min == 0:
-        return base
+    if n_new <= 0 or n_min == 0:
+        raise InfeasibleRatio(f"SMOTE ratio {ratio} is not above the current minority ratio "
+                              f"{n_min / max(n_maj, 1):.4f}: nothing to oversample")
     minority = df.filter(F.col(label) == 1)
-    lists = knn_lists(minority, k, seed)
+    lists = knn_lists(minority, k, seed) if lists is None else lists
     h = minority.withColumn("_h", seeded_hash(key, seed)).withColumn("_one", F.lit(1).cast("long"))
     ranked = running_sums(h, [("_h", True), (key, True)], ["_one"],
                           bucket=F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
@@ -172,7 +161,7 @@ def smote(df: DataFrame, ratio: float, k: int = SMOTE_K, seed: int = SEED,
     rows = (ranked.withColumn("x", vector_to_array("features"))
             .filter(copies > 0)
             .withColumn("c", F.explode(F.sequence(F.lit(1), copies))))
-    rows = rows.withColumn("vkey", F.xxhash64("x")).join(lists.select("vkey", "x", "nn"), ["vkey", "x"])
+    rows = rows.join(lists.select("x", "nn"), "x")
     pick = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("c")), F.size("nn")) + 1
     lam = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("c")), F.lit(1 << 30)) / float(1 << 30)
     nn = F.element_at("nn", pick.cast("int"))
@@ -180,4 +169,4 @@ def smote(df: DataFrame, ratio: float, k: int = SMOTE_K, seed: int = SEED,
                       array_to_vector(F.zip_with("x", nn, lambda a, b: a + lam * (b - a))).alias("features"),
                       F.lit(1).cast(df.schema[label].dataType).alias(label),
                       F.lit(True).alias("synthetic"))
-    return base.select(key, "features", label, "synthetic").unionByName(new)
+    return df.withColumn("synthetic", F.lit(False)).select(key, "features", label, "synthetic").unionByName(new)

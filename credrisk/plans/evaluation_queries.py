@@ -56,9 +56,9 @@ def _scored(spark, d):
 
 
 def _split(spark, d):
-    """Clients with split and fold, persisted (reused by every split consumer)."""
+    """(ID, DEFAULT) with class rank, split and fold, written once per query."""
     from .catalog import clients
-    return cut_lineage(smp.stratified_split(cut_lineage(clients(spark, d))))
+    return cut_lineage(smp.stratified_split(clients(spark, d).select("ID", "DEFAULT")))
 
 
 @register("scorecard_score", with_clients("SELECT ID, label, score FROM scored", FT, SCORED_CTE))
@@ -147,19 +147,21 @@ def q_gini(spark, d):
 
 @register("roc_curve", with_clients(
     "SELECT score AS threshold, round(" + _div0("cum_neg", "n") + ", 6) AS fpr, round(" + _div0("cum_pos", "p") + ", 6) AS tpr "
-    "FROM rk, (SELECT SUM(pos) AS p, SUM(neg) AS n FROM rk) UNION ALL SELECT NULL, 0.0, 0.0",
+    "FROM (SELECT *, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg, cum_pos + cum_neg - pos - neg AS above "
+    "FROM rk WINDOW w AS (ORDER BY score DESC)), (SELECT SUM(pos) AS p, SUM(neg) AS n FROM rk) "
+    "WHERE above = 0 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg UNION ALL SELECT NULL, 0.0, 0.0",
     FT, SCORED_CTE, _RANK_CTE))
 def q_roc_curve(spark, d):
-    """ROC points (fpr, tpr) per distinct score, descending, from (0, 0)."""
+    """ROC points (fpr, tpr) in descending score from (0, 0), without points inside a straight step."""
     return ev.roc_curve(_scored(spark, d))
 
 
 @register("pr_curve", with_clients(
     "SELECT score AS threshold, round(" + _div0("cum_pos", "cum_pos + cum_neg") + ", 6) AS precision, "
-    "round(" + _div0("cum_pos", "p") + ", 6) AS recall FROM rk, (SELECT SUM(pos) AS p FROM rk) WHERE before_pos < p "
+    "round(" + _div0("cum_pos", "p") + ", 6) AS recall FROM rk, (SELECT SUM(pos) AS p FROM rk) "
     "UNION ALL SELECT NULL, 1.0, 0.0", FT, SCORED_CTE, _RANK_CTE))
 def q_pr_curve(spark, d):
-    """Precision-recall points down to full recall, closed by (recall 0, precision 1)."""
+    """Precision-recall points of every distinct score, closed by (recall 0, precision 1)."""
     return ev.pr_curve(_scored(spark, d))
 
 

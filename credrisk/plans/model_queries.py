@@ -1,8 +1,10 @@
-"""Model queries: preparation, MLlib fits, importances, oversampling, model
-persistence and registry, batch and stream scoring, results document."""
+"""Model queries: preparation, the thirteen training configurations, importances,
+oversampling, model persistence and registry, batch and stream scoring, results document."""
 
 from __future__ import annotations
 
+import hashlib
+import threading
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -20,28 +22,39 @@ from ..operators.smote import knn_lists, smote
 from ..schema import FEATURES, SMOTE_RATIO
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.clients import client_view
-from ..sources.io import REGISTRY
-from ..sources.tables import table
+from ..sources.io import REGISTRY, failed_models, write_leaderboard, write_results
 from ..streaming.scoring_stream import run_file_stream
 from . import oracle_sql as S
-from .catalog import featured, register
+from .catalog import featured, register, source_files
 from .evaluation_queries import CARDS, FT, SPLIT_CTE, _card_preds, _card_preds_sql, _div0, _split, score_sql
 from .oracle_sql import with_clients
 
 BY_NAME = {c.name: c for c in mdl.CONFIGS}
+_MADE: dict = {}
+_LOCKS: dict = {}
+_GUARD = threading.Lock()
 
 
-def _matrix_split(spark, d):
-    """(ID, 32 features, DEFAULT, label, split, fold), persisted once."""
-    m = feature_matrix(featured(spark, d, "train"))
-    return cut_lineage(m.join(_split(spark, d).select("ID", "split", "fold"), "ID"))
+def _once(key, make):
+    """Make something once per application, whichever thread asks first."""
+    with _GUARD:
+        lock = _LOCKS.setdefault(key, threading.Lock())
+    with lock:
+        if key not in _MADE:
+            _MADE[key] = make()
+        return _MADE[key]
 
 
-def _fit_predict(spark, d, name: str):
-    cfg = BY_NAME[name]
-    data = _matrix_split(spark, d)
-    model = mdl.fit(cfg, smp.train_part(data))
-    return mdl.predictions(model, smp.test_part(data), cfg)
+def _source(spark, d) -> tuple:
+    return (spark.sparkContext.applicationId, *source_files(spark, d))
+
+
+def _matrix_split(spark, d):
+    """(ID, 32 features, DEFAULT, label, split, fold), written once per application and source."""
+    def make():
+        m = feature_matrix(featured(spark, d, "train"))
+        return cut_lineage(m.join(_split(spark, d).select("ID", "split", "fold"), "ID"))
+    return _once(("matrix", *_source(spark, d)), make)
 
 
 # --- preparation ------------------------------------------------------------------------
@@ -63,127 +76,227 @@ def q_prep_tree(spark, d):
     return _prepared(spark, d, "tree")
 
 
-# --- single fits (test-split predictions) ----------------------------------------------------
-@register("model_logistic")
-def q_model_logistic(spark, d):
-    """Baseline logistic regression: test-split probability and class at 0.5."""
-    return _fit_predict(spark, d, "Logistic Regression")
+# --- training: one artifact per configuration ------------------------------------------------
+def _search_log(spark, key: str) -> str:
+    """Folder of a search's finished (draw, fold) results; it outlives the application, so that an
+    interrupted search goes on where it stopped."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/searches/{key}"
 
 
-@register("model_tree")
-def q_model_tree(spark, d):
-    """Baseline decision tree (depth 6): test-split predictions."""
-    return _fit_predict(spark, d, "Decision Tree")
+def _searched(spark, cfg, train, key: str):
+    log = _search_log(spark, key)
+    schema = "draw int, fold int, f1 double"
+    try:
+        done = {(r.draw, r.fold): r.f1 for r in spark.read.schema(schema).json(log).collect()}
+    except Exception as e:  # noqa: BLE001 - nothing logged yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        done = {}
 
+    def record(draw: int, fold: int, f1: float) -> None:
+        spark.createDataFrame([(draw, fold, f1)], schema).coalesce(1).write.mode("append").json(log)
 
-@register("model_forest")
-def q_model_forest(spark, d):
-    """Baseline random forest (200 trees): test-split predictions."""
-    return _fit_predict(spark, d, "Random Forest")
+    return mdl.random_search(cfg, train, done=done, record=record)
 
 
-@register("model_gbt")
-def q_model_gbt(spark, d):
-    """Baseline gradient-boosted trees (100 × depth 3, rate 0.1): test-split predictions."""
-    return _fit_predict(spark, d, "Gradient Boosting")
+def trained(spark, d, name: str) -> dict:
+    """Fit one configuration and write its bundle into the shared folder: the pipeline, the
+    predictions of both splits, and its importances; the returned card names them.  Bundles
+    belong to the application, the source files and the settings; nothing stale is reused."""
+    cfg = BY_NAME[name]
+    key = hashlib.md5(repr((cfg, *source_files(spark, d))).encode()).hexdigest()
+
+    def make() -> dict:
+        data = _matrix_split(spark, d)
+        train, best = smp.train_part(data), {}
+        if cfg.search:
+            model, best, _ = _searched(spark, cfg, train, key)
+        else:
+            model = mdl.fit(cfg, train)
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundles/{key}"
+        model.write().overwrite().save(f"{base}/model")
+        scored = mdl.with_probability(model.transform(data)).select(
+            F.lit(cfg.name).alias("model"), F.lit(cfg.group).alias("group"), F.lit(cfg.threshold).alias("threshold"),
+            "ID", "split", F.col("label").cast("int").alias("label"), "score")
+        scored.write.mode("overwrite").parquet(f"{base}/predictions")
+        prepared = PipelineModel(stages=model.stages[:-1]).transform(train)
+        mdl.feature_importances(model, prepared, spark).write.mode("overwrite").parquet(f"{base}/importances")
+        return {"model": name, "path": f"{base}/model", "features": list(FEATURES), "threshold": cfg.threshold,
+                "predictions": f"{base}/predictions", "importances": f"{base}/importances",
+                "best_params": {k: str(v) for k, v in best.items()} or None}
+    return _once((spark.sparkContext.applicationId, key), make)
+
+
+def trained_all(spark, d) -> list[dict]:
+    """Bundles of all thirteen configurations; missing ones are fitted side by side."""
+    _matrix_split(spark, d)
+    return mdl.in_parallel(lambda c: trained(spark, d, c.name), list(mdl.CONFIGS), threads=4)
+
+
+def _all_predictions(spark, cards: list[dict]):
+    return spark.read.parquet(*[c["predictions"] for c in cards])
+
+
+def _all_importances(spark, cards: list[dict]):
+    return union_boards(*[spark.read.parquet(c["importances"]).withColumn("model", F.lit(c["model"])) for c in cards])
+
+
+def _register_model(key: str, name: str, what: str) -> None:
+    def query(spark, d):
+        return (spark.read.parquet(trained(spark, d, name)["predictions"]).filter(F.col("split") == "test")
+                .select("ID", "label", "score", (F.col("score") >= F.col("threshold")).cast("int").alias("prediction")))
+    query.__doc__ = f"{what}: test-split probability and class at the configuration's threshold."
+    register(key)(query)
+
+
+for _key, _name, _what in [
+        ("model_logistic", "Logistic Regression", "Baseline logistic regression"),
+        ("model_tree", "Decision Tree", "Baseline decision tree (depth 6)"),
+        ("model_forest", "Random Forest", "Baseline random forest (200 trees)"),
+        ("model_gbt", "Gradient Boosting", "Baseline gradient-boosted trees (100 x depth 3, rate 0.1)"),
+        ("model_boosted", "XGBoost", "Baseline boosting (300 x depth 5, rate 0.05)"),
+        ("model_smote_logistic", "SMOTE Logistic Regression", "Logistic regression on oversampled rows"),
+        ("model_smote_forest", "SMOTE Random Forest", "Random forest on oversampled rows"),
+        ("model_smote_boosted", "SMOTE XGBoost", "Boosting on oversampled rows"),
+        ("model_weight_logistic", "Weight Logistic Regression", "Class-weighted logistic regression"),
+        ("model_weight_forest", "Weight Random Forest", "Class-weighted random forest"),
+        ("model_weight_boosted", "Weight XGBoost", "Boosting with a positive-class weight"),
+        ("model_tuned_smote", "Tuned SMOTE XGBoost", "Boosting on oversampled rows, 20 draws x 5 folds searched"),
+        ("model_tuned_weight", "Tuned Weight XGBoost", "Boosting with a positive-class weight, 20 draws x 5 folds searched")]:
+    _register_model(_key, _name, _what)
 
 
 @register("feature_importances")
 def q_feature_importances(spark, d):
     """Decision-tree importances with one-hot slots summed back to their column."""
-    cfg = BY_NAME["Decision Tree"]
-    data = _matrix_split(spark, d)
-    model = mdl.fit(cfg, smp.train_part(data))
-    prepared = PipelineModel(stages=model.stages[:-1]).transform(smp.train_part(data))
-    return mdl.feature_importances(model, prepared, spark)
+    return spark.read.parquet(trained(spark, d, "Decision Tree")["importances"])
 
 
 @register("train_all")
 def q_train_all(spark, d):
-    """Every baseline and imbalance-handling configuration fitted on train and
-    ranked on test: the comparison board joined with confusion counts."""
-    data = _matrix_split(spark, d)
-    train, test = smp.train_part(data), smp.test_part(data)
-    parts = []
-    configs = [c for c in mdl.CONFIGS if c.search is None]
-    for cfg, _model, s_train, s_test in mdl.fit_all(configs, train, test):
-        for p, split in ((s_train, "train"), (s_test, "test")):
-            parts.append(p.select(F.lit(cfg.name).alias("model"), F.lit(cfg.group).alias("group"),
-                                  F.lit(cfg.threshold).alias("threshold"), "ID", F.lit(split).alias("split"),
-                                  F.col("label").cast("int").alias("label"), "score"))
-    preds = cut_lineage(union_boards(*parts))
-    return leaderboard(comparison_rows(preds), confusion_by_model(preds))
+    """All thirteen configurations fitted on train and ranked on test: the comparison board
+    joined with confusion counts.  The board and the results document are written."""
+    cards = trained_all(spark, d)
+    preds = _all_predictions(spark, cards)
+    board = cut_lineage(comparison_rows(preds))
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results/{uuid.uuid4().hex}"
+    write_leaderboard(board, f"{out}/leaderboard")
+    write_results(results_of(spark, cards), f"{out}/results")
+    return leaderboard(board, confusion_by_model(preds))
+
+
+def results_of(spark, cards: list[dict], curve_points: bool = False):
+    """Results document of trained configurations: metrics, confusion matrix, importances, best
+    parameters; with ``curve_points`` also the curves as arrays (one entry per distinct score)."""
+    preds = _all_predictions(spark, cards)
+    doc = results_document(preds, curve_points)
+    fi = _all_importances(spark, cards).groupBy("model").agg(  # at most 32 features per model
+        F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("feature_importances"))
+    best = spark.createDataFrame([(c["model"], c["best_params"]) for c in cards], "model string, best_params map<string,string>")
+    return doc.join(fi, "model", "left").join(best, "model", "left")
+
+
+@register("results_all")
+def q_results_all(spark, d):
+    """Results document of all thirteen configurations, importances and best parameters as rows."""
+    doc = results_of(spark, trained_all(spark, d))
+    entries = F.concat(F.transform(F.map_entries(F.coalesce("feature_importances", F.create_map().cast("map<string,double>"))),
+                                   lambda e: F.struct(F.lit("importance").alias("kind"), e["key"].alias("name"), e["value"].cast("string").alias("value"))),
+                       F.transform(F.map_entries(F.coalesce("best_params", F.create_map().cast("map<string,string>"))),
+                                   lambda e: F.struct(F.lit("best_param").alias("kind"), e["key"].alias("name"), e["value"].alias("value"))))
+    return doc.select("model", "auc", "f1", F.inline_outer(entries))
+
+
+@register("top_importances_by_model")
+def q_top_importances_by_model(spark, d):
+    """The 15 most important features of every trained model."""
+    from pyspark.sql import Window
+    order = Window.partitionBy("model").orderBy(F.desc("importance"), "feature")
+    return (_all_importances(spark, trained_all(spark, d)).withColumn("rank", F.row_number().over(order))
+            .filter("rank <= 15").select("model", "rank", "feature", "importance"))
 
 
 # --- oversampling --------------------------------------------------------------------------
+def _prepared_train(spark, d):
+    train = smp.train_part(_matrix_split(spark, d))
+    return cut_lineage(preparation("tree").fit(train).transform(train).select("ID", "features", "label"))
+
+
 @register("smote")
 def q_smote(spark, d):
-    """SMOTE at ratio 0.5 on the tree-prepared training rows (exact 5-NN)."""
-    data = _matrix_split(spark, d)
-    train = smp.train_part(data)
-    prepared = preparation("tree").fit(train).transform(train).select("ID", "features", "label")
-    out = smote(prepared, SMOTE_RATIO)
+    """SMOTE at ratio 0.5 on the tree-prepared training rows (5 neighbours)."""
+    out = smote(_prepared_train(spark, d), SMOTE_RATIO)
     return out.select("ID", "label", "synthetic", vector_to_array("features").alias("features"))
 
 
+@register("smote_counts", with_clients(
+    "SELECT CAST(\"DEFAULT\" AS INTEGER) AS label, false AS synthetic, COUNT(*) AS n FROM tr GROUP BY \"DEFAULT\" UNION ALL "
+    "SELECT 1, true, CAST(floor(0.5 * count_if(\"DEFAULT\" = 0)) - count_if(\"DEFAULT\" = 1) AS BIGINT) FROM tr",
+    SPLIT_CTE, "tr AS (SELECT c.* FROM clients c JOIN spl USING (ID) WHERE spl.split = 'train')"))
+def q_smote_counts(spark, d):
+    """Rows per label and origin after SMOTE at ratio 0.5."""
+    out = smote(_prepared_train(spark, d), SMOTE_RATIO)
+    return out.groupBy(F.col("label").cast("int").alias("label"), "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("smote_neighbours")
 def q_smote_neighbours(spark, d):
-    """Exact 5 nearest neighbours among the minority (label 0) embeddings."""
-    from pyspark.ml.functions import array_to_vector
-    emb = table(spark, d, "embeddings")
-    minority = emb.filter(F.col("label") == 0).select(
-        array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
-    lists = knn_lists(minority)
-    return lists.select("vkey", F.size("nn").alias("n_neighbours"),
-                        F.aggregate(F.transform("nn", lambda v: F.sqrt(F.aggregate(
-                            F.zip_with(v, F.col("x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                            lambda acc, z: acc + z))), F.lit(0.0), lambda acc, z: F.greatest(acc, z)).alias("kth_distance"))
+    """Nearest neighbours of the credit minority (distinct training vectors) found by the forest."""
+    lists = knn_lists(_prepared_train(spark, d).filter("label = 1"))
+    far = F.array_max(F.transform("nn", lambda v: F.sqrt(F.aggregate(
+        F.zip_with(v, F.col("x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, z: acc + z))))
+    return lists.select("x", F.size("nn").alias("n_neighbours"), far.alias("kth_distance"))
 
 
 # --- persistence, registry, batch and stream scoring ---------------------------------------------
-def _save_models(spark, d, names):
-    data = _matrix_split(spark, d)
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/models-{uuid.uuid4().hex[:12]}"
-    rows = []
-    for name in names:
-        cfg = BY_NAME[name]
-        path = f"{base}/{name.replace(' ', '_')}"
-        model = mdl.fit(cfg, smp.train_part(data))
-        model.write().overwrite().save(path)
-        rows.append((name, path, list(FEATURES), cfg.threshold))
-    return rows, base
-
-
-def load_registry(spark, entries):
-    """Registry rows; a model whose directory cannot be loaded is kept with its error."""
+def load_registry(spark, cards):
+    """Registry rows; a model whose directory cannot be loaded is kept with its error text."""
     out = []
-    for name, path, feats, thr in entries:
+    for c in cards:
         try:
-            PipelineModel.load(path)
-            out.append((name, path, feats, thr, "loaded", None))
+            PipelineModel.load(c["path"])
+            out.append((c["model"], c["path"], c["features"], c["threshold"], "loaded", None))
         except Exception as e:  # noqa: BLE001 — the failure is the row's content
-            out.append((name, path, feats, thr, "failed", type(e).__name__))
+            out.append((c["model"], c["path"], c["features"], c["threshold"], "failed", f"{type(e).__name__}: {str(e)[:500]}"))
     return spark.createDataFrame(out, REGISTRY)
 
 
 @register("model_registry")
 def q_model_registry(spark, d):
-    """Saved model directories and their load status (one missing path included)."""
-    rows, base = _save_models(spark, d, ["Logistic Regression", "Decision Tree"])
-    rows.append(("Missing Model", f"{base}/absent", list(FEATURES), 0.5))
-    return load_registry(spark, rows)
+    """All thirteen saved bundles and their load status (one missing path included), written and reread."""
+    cards = trained_all(spark, d)
+    cards = [*cards, {**cards[0], "model": "Missing Model", "path": cards[0]["path"] + "-absent", "threshold": 0.5}]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry/{uuid.uuid4().hex}"
+    load_registry(spark, cards).write.json(path)
+    return spark.read.schema(REGISTRY).json(path)
+
+
+@register("failed_artifacts")
+def q_failed_artifacts(spark, d):
+    """Registry rows whose bundle could not be loaded."""
+    return failed_models(q_model_registry(spark, d)).select("model", "status", "error")
 
 
 @register("score_batch")
 def q_score_batch(spark, d):
-    """Save → load the baseline logistic model, score every client, tier the probability."""
-    rows, _ = _save_models(spark, d, ["Logistic Regression"])
-    model = PipelineModel.load(rows[0][1])
+    """Load the saved baseline logistic model, score every client, tier the probability."""
+    model = PipelineModel.load(trained(spark, d, "Logistic Regression")["path"])
     every = feature_matrix(featured(spark, d, "train"))
     scored = mdl.with_probability(model.transform(every))
     return with_tier(scored).select("ID", "score", "pct", "tier")
 
 
+@register("score_stream_model")
+def q_score_stream_model(spark, d):
+    """Client files scored by a file stream with the saved logistic model: probability, tier and
+    the five explanation factors per client."""
+    model = PipelineModel.load(trained(spark, d, "Logistic Regression")["path"])
+
+    return run_file_stream(spark, _stream_source(spark, d), lambda rows: mdl.with_probability(model.transform(feature_matrix(rows))),
+                           factors=True)
+
+
 _SC = f'sc AS (SELECT *, {score_sql()} AS score FROM ft)'
 
 
@@ -192,27 +305,34 @@ _SC = f'sc AS (SELECT *, {score_sql()} AS score FROM ft)'
     f"{S.tier_verdict(S.risk_tier('score * 100'))} AS verdict FROM sc", FT, _SC))
 def q_score_stream(spark, d):
     """Client files scored by a file stream (availableNow) with the scorecard."""
+    return run_file_stream(spark, _stream_source(spark, d), scorecard_score)
+
+
+def _stream_source(spark, d) -> str:
+    """Client files for the stream: the raw client view as Spark partitions it."""
     src = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-src-{uuid.uuid4().hex[:12]}"
-    client_view(spark, d).repartition(4).write.parquet(src)
-    return run_file_stream(spark, src, scorecard_score, max_files_per_trigger=1)
+    client_view(spark, d).write.parquet(src)
+    return src
 
 
 # --- results document ------------------------------------------------------------------------------
-def results_document(preds):
-    """One row per model: auc, f1, ROC and PR arrays, confusion matrix.
-
-    The arrays gather one curve per model; their length is the number of
-    distinct scores, bounded by 10,001 for 4-dp scores."""
+def results_document(preds, curve_points: bool = False):
+    """One row per model: auc, f1, confusion matrix; with ``curve_points`` also the ROC and PR
+    curves as arrays, one entry per distinct score (bounded where scores are rounded).  The curves
+    themselves are the long tables of ``ev.roc_curve`` and ``ev.pr_curve``."""
     test = preds.filter(F.col("split") == "test")
     auc = ev.roc_auc(test, by=["model"], places=6)
+    cm = confusion_by_model(preds)
+    f1 = cm.select("model", F.round(ev._div0(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"),
+                   F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("cm"))
+    doc = auc.select("model", "auc").join(f1, "model")
+    if not curve_points:
+        return doc
     roc = ev.roc_curve(test, by=["model"]).withColumn("_o", F.coalesce(-F.col("threshold"), F.lit(-2.0)))
     pr = ev.pr_curve(test, by=["model"]).withColumn("_o", F.coalesce(F.col("threshold"), F.lit(2.0)))
     roc_a = roc.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("_o", "fpr", "tpr"))).alias("_r"))
     pr_a = pr.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("_o", "precision", "recall"))).alias("_p"))
-    cm = confusion_by_model(preds)
-    f1 = cm.select("model", F.round(ev._div0(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"),
-                   F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("cm"))
-    return (auc.select("model", "auc").join(f1, "model").join(roc_a, "model").join(pr_a, "model")
+    return (doc.join(roc_a, "model").join(pr_a, "model")
             .select("model", "auc", "f1", F.col("_r.fpr").alias("fpr"), F.col("_r.tpr").alias("tpr"),
                     F.col("_p.precision").alias("prec"), F.col("_p.recall").alias("rec"), "cm"))
 
@@ -226,7 +346,9 @@ def _curves_sql() -> list[str]:
         "WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
         "tot AS (SELECT model, SUM(pos) AS p, SUM(neg) AS n FROM rkm2 GROUP BY model)",
         "rocp AS (SELECT model, -score AS o, round(" + _div0("cum_neg", "n") + ", 6) AS fpr, round("
-        + _div0("cum_pos", "p") + ", 6) AS tpr FROM rkm2 JOIN tot USING (model) "
+        + _div0("cum_pos", "p") + ", 6) AS tpr FROM (SELECT *, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg "
+        "FROM rkm2 WINDOW w AS (PARTITION BY model ORDER BY score DESC)) JOIN tot USING (model) "
+        "WHERE cum_pos + cum_neg = pos + neg OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg "
         "UNION ALL SELECT model, -2.0, 0.0, 0.0 FROM tot)",
     ]
 
@@ -236,7 +358,7 @@ def _curves_sql() -> list[str]:
     FT, SPLIT_CTE, *_curves_sql()))
 def q_curve_points_long(spark, d):
     """ROC arrays of the results document exploded back to (model, point, fpr, tpr)."""
-    doc = results_document(_card_preds(spark, d))
+    doc = results_document(_card_preds(spark, d), curve_points=True)
     return doc.select("model", F.posexplode(F.arrays_zip("fpr", "tpr")).alias("point", "p")).select(
         "model", "point", F.col("p.fpr").alias("fpr"), F.col("p.tpr").alias("tpr"))
 
@@ -252,7 +374,7 @@ def q_curve_points_long(spark, d):
 def q_model_lookup(spark, d):
     """Results-document entry of one model by key: confusion cells (default
     zeros when absent) and the ROC length."""
-    doc = results_document(_card_preds(spark, d))
+    doc = results_document(_card_preds(spark, d), curve_points=True)
     zero = F.array(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")),
                    F.array(F.lit(0).cast("long"), F.lit(0).cast("long")))
     hit = doc.filter(F.col("model") == CARDS[0][0])

@@ -3,8 +3,6 @@ delinquency stages."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import scoring as sc
 from ..schema import (COVERAGE_HIGH, COVERAGE_MODERATE, DELAY_HIGH, DELAY_MODERATE, DELINQUENCY_STAGES,
                       FACTOR_NAMES, LIMIT_LOW, LIMIT_MODERATE, TIER_ELSE, TIERS, UTIL_HIGH,
@@ -56,12 +54,14 @@ def _factor_sql() -> str:
     def lvl(high, mod):
         return f"CASE WHEN {high} THEN 'HIGH' WHEN {mod} THEN 'MODERATE' ELSE 'LOW' END"
     vals = [
-        ("UTIL_RATE * 100", lvl(f"UTIL_RATE > {UTIL_HIGH}", f"UTIL_RATE > {UTIL_MODERATE}"), "NULL"),
+        ("UTIL_RATE * 100", lvl(f"UTIL_RATE > {UTIL_HIGH}", f"UTIL_RATE > {UTIL_MODERATE}"),
+         "format('{:.1f}%', UTIL_RATE * 100)"),
         ("greatest(0, PAY_0) / CAST(8.0 AS DOUBLE) * 100", lvl(f"PAY_0 > {DELAY_HIGH}", f"PAY_0 > {DELAY_MODERATE}"),
          "CASE WHEN PAY_0 > 0 THEN CAST(PAY_0 AS VARCHAR) || ' months delay' ELSE 'On time ✓' END"),
         ("greatest(CAST(0.0 AS DOUBLE), AVG_PAY_STATUS) / CAST(8.0 AS DOUBLE) * 100",
-         lvl(f"AVG_PAY_STATUS > {DELAY_HIGH}", f"AVG_PAY_STATUS > {DELAY_MODERATE}"), "NULL"),
-        ("greatest(CAST(0.0 AS DOUBLE), 1 - PAY_RATIO) * 100", lvl(f"PAY_RATIO < {COVERAGE_HIGH}", f"PAY_RATIO < {COVERAGE_MODERATE}"), "NULL"),
+         lvl(f"AVG_PAY_STATUS > {DELAY_HIGH}", f"AVG_PAY_STATUS > {DELAY_MODERATE}"), "format('{:.1f} avg months late', AVG_PAY_STATUS)"),
+        ("greatest(CAST(0.0 AS DOUBLE), 1 - PAY_RATIO) * 100", lvl(f"PAY_RATIO < {COVERAGE_HIGH}", f"PAY_RATIO < {COVERAGE_MODERATE}"),
+         "format('{:.1f}% of bills paid', PAY_RATIO * 100)"),
         ("greatest(CAST(0.0 AS DOUBLE), 1 - LIMIT_BAL / CAST(1000000.0 AS DOUBLE)) * 100",
          f"CASE WHEN LIMIT_BAL > {LIMIT_LOW} THEN 'LOW' WHEN LIMIT_BAL > {LIMIT_MODERATE} THEN 'MODERATE' ELSE 'HIGH' END",
          "'NT$' || format('{:,}', LIMIT_BAL)"),
@@ -95,5 +95,3 @@ def q_delinquency_stage(spark, d):
     """Clients, default rate and utilization by delinquency stage of the latest status."""
     return sc.delinquency_profile(featured(spark, d, "dash"))
 
-
-_ = F

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it
+    (on a cluster, ship it with ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -55,17 +66,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (reliable checkpoint).
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
-    Used after iterative or multi-pass stages so that a lost executor does not
-    force recomputation of the whole upstream plan.
+    Used after iterative or multi-pass stages: a lost executor does not force the
+    upstream plan to run again, and later scans still prune columns and push filters.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    # AQE coalesces small results to very few partitions; CPU-heavy consumers
-    # (grids, kNN, MLlib fits) would then run in one task.  Only small tables
-    # come out below the default parallelism, so re-spreading them is cheap.
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if out.rdd.getNumPartitions() < target:
-        out = out.repartition(target).checkpoint(eager=True)
-    return out
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,22 +13,28 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.features import with_features
 from ..operators.ingest import ingest
-from ..operators.scoring import with_tier
+from ..operators.scoring import factor_analysis, with_tier
 from ..schema import CLIENT_RAW
 from ..session import ensure_checkpoint_dir
 
 
-def scoring_frame(raw: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Raw client rows (batch or stream) → (ID, score, pct, tier, verdict)."""
-    scored = score(with_features(ingest(raw), "train"))
-    return with_tier(scored).select("ID", "score", "pct", "tier", "verdict")
+def scoring_frame(raw: DataFrame, score: Callable[[DataFrame], DataFrame], factors: bool = False) -> DataFrame:
+    """Raw client rows (batch or stream) → (ID, score, pct, tier, verdict), and with ``factors``
+    one row for each of the five explanation factors of a client."""
+    scored = with_tier(score(with_features(ingest(raw), "train")))
+    if not factors:
+        return scored.select("ID", "score", "pct", "tier", "verdict")
+    packed = scored.withColumn("ID", F.struct("ID", "score", "pct", "tier", "verdict"))
+    return factor_analysis(packed, key="ID").select("ID.*", "factor_ord", "factor", "risk_value", "bar_pct", "level", "display")
 
 
 def run_file_stream(spark: SparkSession, source_dir: str, score: Callable[[DataFrame], DataFrame],
-                    sink_dir: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+                    sink_dir: str | None = None, max_files_per_trigger: int | None = None,
+                    factors: bool = False) -> DataFrame:
     """Score every client file in ``source_dir`` as a stream; return the sink
     contents as a batch DataFrame."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -37,7 +43,7 @@ def run_file_stream(spark: SparkSession, source_dir: str, score: Callable[[DataF
     reader = spark.readStream.schema(CLIENT_RAW)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = scoring_frame(reader.parquet(source_dir), score)
+    stream = scoring_frame(reader.parquet(source_dir), score, factors)
     q = (stream.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", f"{base}/stream-ckpt-{run}")
          .trigger(availableNow=True).start(sink_dir))
