@@ -1,28 +1,32 @@
-"""Model-side invariants: AUC floor, save → load identity, search plumbing."""
+"""Model-side invariants: AUC floor, save → load identity, search, neighbour forest."""
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credrisk.operators import evaluation as ev
 from credrisk.operators import models as mdl
 from credrisk.operators import sampling as smp
+from credrisk.operators import smote as sm
 from credrisk.operators.ingest import feature_matrix
 from credrisk.plans.catalog import featured
 from credrisk.plans.evaluation_queries import _split
-
-from conftest import SMOKE
+from credrisk.session import cut_lineage
 
 SF = "/root/testdata/sf0.01"
+BY_NAME = {c.name: c for c in mdl.CONFIGS}
 
 
 @pytest.fixture(scope="module")
 def data(spark):
     m = feature_matrix(featured(spark, SF, "train"))
-    return m.join(_split(spark, SF).select("ID", "split", "fold"), "ID").cache()
+    return cut_lineage(m.join(_split(spark, SF).select("ID", "split", "fold"), "ID"))
 
 
 def test_logistic_auc_floor_and_persistence(spark, data, tmp_path):
-    cfg = mdl.BY_NAME["Logistic Regression"] if hasattr(mdl, "BY_NAME") else mdl.CONFIGS[0]
+    cfg = BY_NAME["Logistic Regression"]
     model = mdl.fit(cfg, smp.train_part(data))
     pred = mdl.predictions(model, smp.test_part(data), cfg)
     auc = ev.roc_auc(pred.withColumn("label", F.col("label").cast("int"))).first()["auc"]
@@ -35,20 +39,47 @@ def test_logistic_auc_floor_and_persistence(spark, data, tmp_path):
 
 
 def test_weighted_tree_and_importances(spark, data):
-    cfg = mdl.CONFIGS[1]  # decision tree
-    model = mdl.fit(cfg, smp.train_part(data))
-    from pyspark.ml import PipelineModel as PM
-    prepared = PM(stages=model.stages[:-1]).transform(smp.train_part(data))
+    model = mdl.fit(BY_NAME["Decision Tree"], smp.train_part(data))
+    prepared = PipelineModel(stages=model.stages[:-1]).transform(smp.train_part(data))
     imp = mdl.feature_importances(model, prepared, spark).toPandas()
     assert abs(imp.importance.sum() - 1.0) < 1e-4
-    assert "GENDER" in set(imp.feature) or imp.importance.sum() > 0
+    assert {"GENDER", "EDUCATION", "MARRIAGE", "PAY_0"} <= set(imp.feature)
+    bare = prepared.select(F.col("features")).withMetadata("features", {})
+    assert {f"feature_{i}" for i in range(3)} <= set(mdl.feature_importances(model, bare, spark).toPandas().feature)
+
+
+def test_search_scores_infeasible_draws_zero_and_resumes(spark, data):
+    small = {"maxIter": 5, "maxDepth": 2, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+    draws = [{**small, "smote_ratio": 0.05}, {**small, "smote_ratio": 0.5}]
+    seen = []
+    train = smp.train_part(data)
+    model, best, scores = mdl.random_search(BY_NAME["Tuned SMOTE XGBoost"], train, n_folds=2, draws=draws,
+                                            record=lambda *x: seen.append(x))
+    assert best == draws[1] and scores[0][1] == 0.0 and 0 < scores[1][1] <= 1
+    assert sorted((d, f) for d, f, _ in seen) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert model.transform(train).select("probability").first() is not None
+    again = []
+    mdl.random_search(BY_NAME["Tuned SMOTE XGBoost"], train, n_folds=2, draws=draws, done={(d, f): s for d, f, s in seen},
+                      record=lambda *x: again.append(x))
+    assert not again
+
+
+def test_gamma_leaves_every_listed_value_room_to_split(spark, data):
+    cfg = BY_NAME["Tuned Weight XGBoost"]
+    from credrisk.operators.prep import preparation
+    train = smp.train_part(data)
+    rows = cut_lineage(preparation("tree").fit(train).transform(train).select("ID", "features", "label"))
+    for gamma in mdl.WEIGHT_SEARCH["gamma"]:
+        model = mdl.fit_rows(cfg, rows, {"maxIter": 5, "maxDepth": 3, "stepSize": 0.1, "gamma": gamma})
+        assert model.transform(rows).select("probability").distinct().count() > 10, gamma
 
 
-def test_random_search_one_draw(spark, data):
-    cfg = mdl.CONFIGS[-1]  # tuned weight boosting
-    best, params, scores = mdl.random_search(cfg, smp.train_part(data), n_draws=1, parallelism=1)
-    assert len(scores) == 1 and set(params) == set(cfg.search)
-    assert 0.0 <= scores[0][1] <= 1.0
+def test_smote_l2_strength_counts_the_resampled_rows(spark, data):
+    model = mdl.fit(BY_NAME["SMOTE Logistic Regression"], smp.train_part(data))
+    train = smp.train_part(data)
+    n_major = train.filter("label = 0").count()
+    n = n_major + int(0.5 * n_major)
+    assert model.stages[-1].getRegParam() == pytest.approx(1 / n)
 
 
 def test_param_sampling_is_seeded_and_distinct():
@@ -57,4 +88,37 @@ def test_param_sampling_is_seeded_and_distinct():
     assert a == b and len({tuple(sorted(d.items())) for d in a}) == 20
 
 
-_ = SMOKE
+def clustered(n, seed=0):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(40, 20))[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, 20))
+
+
+def test_neighbour_forest_recall_over_several_leaves(spark):
+    x = clustered(3000)
+    schema = T.StructType([T.StructField("features", VectorUDT())])
+    frame = spark.createDataFrame([(Vectors.dense(v.tolist()),) for v in x], schema)
+    got = {tuple(r["x"]): r["nn"] for r in sm.knn_lists(frame).collect()}
+    hits = 0
+    for i in range(0, 3000, 30):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        true = {tuple(x[j].tolist()) for j in np.argsort(d)[:5]}
+        mine = [tuple(v) for v in got[tuple(x[i].tolist())]]
+        assert len(mine) == 5 and [((np.array(v) - x[i]) ** 2).sum() for v in mine] == sorted(((np.array(v) - x[i]) ** 2).sum() for v in mine)
+        hits += len(true & set(mine))
+    assert hits / 500 >= 0.95
+
+
+def test_neighbour_forest_work_per_row_does_not_grow():
+    largest = []
+    for n in (4000, 16_000, 64_000):
+        x = clustered(n)
+        model = sm.plant_forest(x[:1000], n, 2, 200, 1)
+        largest.append(np.bincount(sm.leaves(x, model)[:, 0]).mean())
+    assert max(largest) < 1.5 * 200
+
+
+def test_null_labels_are_refused(spark):
+    frame = spark.createDataFrame([(1, 0), (2, None)], "ID long, DEFAULT int")
+    with pytest.raises(Exception, match="cannot stratify"):
+        smp.stratified_split(frame).collect()
