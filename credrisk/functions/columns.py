@@ -62,11 +62,6 @@ def count_positive(cols) -> Column:
     return reduce(add, [F.coalesce((col(c) > 0).cast("int"), F.lit(0)) for c in cols])
 
 
-def safe_div(num, den) -> Column:
-    """``num / den`` as double; NULL when den is 0 or NULL."""
-    return col(num).cast("double") / F.nullif(col(den), F.lit(0)).cast("double")
-
-
 def lookup(c, mapping: dict, default=None) -> Column:
     """Literal dictionary recode; ``default`` (a value or Column) when unmatched."""
     c = col(c)

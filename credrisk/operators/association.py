@@ -3,6 +3,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,35 +48,52 @@ def pair_stats(df: DataFrame, cols, target: str | None = None) -> DataFrame:
     return stats.select(x.alias("x"), y.alias("y"), r.alias("r"), "n")
 
 
+def gramian(df: DataFrame, cols, shift: list[float]) -> np.ndarray:
+    """AᵀA of A = [x·m, x²·m, m] with x the shifted values and m the not-NULL mask: one matrix
+    product per batch in the workers, one row per task, summed entry by entry."""
+    d, base = len(cols), np.array(shift)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((3 * d, 3 * d))
+        for batch in batches:
+            raw = batch.to_numpy(dtype=float)
+            mask = ~np.isnan(raw)
+            x = np.where(mask, raw - base, 0.0)
+            a = np.hstack([x, x * x, mask.astype(float)])
+            total += a.T @ a
+        yield pd.DataFrame({"g": [total.ravel()]})
+
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInPandas(partial, "g array<double>")
+    entries = parts.select(F.posexplode("g").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(9 * d * d)
+    for k, v in entries:
+        out[k] = v
+    return out.reshape(3 * d, 3 * d)
+
+
 def corr_matrix(df: DataFrame, cols, places: int = 6) -> DataFrame:
-    """Full matrix as (x, y, r, n); the diagonal is 1 (NULL for a constant column).
+    """Full pairwise-complete matrix as (x, y, r, n); a constant side gives NULL.
 
-    One counting pass first.  Without NULLs, pairwise-complete equals plain
-    Pearson and MLlib's ``Correlation.corr`` builds the d×d matrix from a single
-    Gramian tree aggregation (no row expansion; the d×d result is bounded by
-    the column count).  With NULLs, every pair is masked on its own
-    (:func:`pair_stats`).
+    One path whether or not values are NULL (NaN counts as NULL): the Gramian of
+    values, squares and masks holds every pair's n, Σx, Σx² and Σxy over the rows where both
+    sides are present.  Its size depends on the column count only.  Values are shifted by the
+    column mean (a constant column by its value), which keeps the sums well conditioned.
     """
     cols = list(cols)
-    counts = df.agg(F.count(F.lit(1)).alias("_n"),
-                    *[F.count_if(F.col(c).isNull()).alias(f"_z{i}") for i, c in enumerate(cols)]).first()
-    if counts is not None and counts["_n"] > 1 and all(counts[f"_z{i}"] == 0 for i in range(len(cols))):
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(
-            df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-        m = Correlation.corr(vec, "_v").first()[0].toArray()
-        n = int(counts["_n"])
-        rows = []
-        for i, a in enumerate(cols):
-            for j, b in enumerate(cols):
-                v = float(m[i, j])
-                rows.append((a, b, None if v != v else round(v, places), n))
-        return df.sparkSession.createDataFrame(rows, "x string, y string, r double, n long")
-    half = pair_stats(df, cols).withColumn("r", F.round("r", places))
-    mirror = half.filter(F.col("x") != F.col("y")).select(
-        F.col("y").alias("x"), F.col("x").alias("y"), "r", "n")
-    return half.unionByName(mirror)
+    row = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(cols)
+                   for k, f in (("a", F.avg), ("l", F.min), ("h", F.max))]).first()
+    shift = [float(row[f"l{i}"] if row[f"l{i}"] == row[f"h{i}"] else row[f"a{i}"]) if row[f"a{i}"] is not None else 0.0
+             for i in range(len(cols))]
+    g, d = gramian(df, cols, shift), len(cols)
+    n, sx, sxx, sxy = g[2 * d:, 2 * d:], g[:d, 2 * d:], g[d:2 * d, 2 * d:], g[:d, :d]
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            m = n[i, j]
+            vx, vy = (sxx[i, j] - sx[i, j] ** 2 / m, sxx[j, i] - sx[j, i] ** 2 / m) if m else (0.0, 0.0)
+            r = (sxy[i, j] - sx[i, j] * sx[j, i] / m) / math.sqrt(vx * vy) if vx > 0 and vy > 0 else None
+            rows.append((a, b, None if r is None else round(float(r), places) + 0.0, int(m)))
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double, n long")
 
 
 def corr_with_target(df: DataFrame, cols, target: str = TARGET, descending: bool = False) -> DataFrame:

@@ -62,12 +62,6 @@ def score_counts(pred: DataFrame, label: str = "label", score: str = "score",
             .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
 
 
-def _keyed(pred: DataFrame, by) -> tuple[DataFrame, list[str], list[str]]:
-    """(frame, grouping keys, output keys)."""
-    by = list(by or [])
-    return pred, by, by
-
-
 def _attach_totals(r: DataFrame, tot: DataFrame, keys: list[str], out: list[str]) -> DataFrame:
     """Per-group totals beside each ranked row: a broadcast hash join on the
     group keys (one row per group), or two literals when there is no group."""
@@ -90,7 +84,7 @@ def roc_auc(pred: DataFrame, label: str = "label", score: str = "score",
 
     Σ over distinct scores of neg·(positives above + ½ positives tied) / (P·N).
     """
-    pred, keys, out = _keyed(pred, by)
+    keys = out = list(by or [])
     r = _ranked_desc(pred, label, score, keys)
     agg = r.groupBy(*keys).agg(
         F.sum(F.col("neg") * (F.col("before_pos") + F.col("pos") / 2.0)).alias("_u"),
@@ -105,7 +99,7 @@ def roc_curve(pred: DataFrame, label: str = "label", score: str = "score",
     """(threshold, fpr, tpr) per distinct score, descending, plus the starting
     point (NULL threshold, 0, 0).  A point is left out if the curve goes straight
     on through it: the next score adds as many positives and negatives."""
-    pred, keys, out = _keyed(pred, by)
+    keys = out = list(by or [])
     r = running_sums(score_counts(pred, label, score, keys).withColumnRenamed(score, "score"), [("score", False)],
                      ["pos", "neg"], groups=keys, following=True)
     first = (F.col("before_pos") + F.col("before_neg")) == 0
@@ -125,7 +119,7 @@ def pr_curve(pred: DataFrame, label: str = "label", score: str = "score",
              by: list[str] | None = None, places: int = 6) -> DataFrame:
     """(threshold, precision, recall) per distinct score, plus the closing point
     (NULL, 1, 0)."""
-    pred, keys, out = _keyed(pred, by)
+    keys = out = list(by or [])
     r = _ranked_desc(pred, label, score, keys)
     tot = r.groupBy(*keys).agg(F.sum("pos").alias("P"))
     pts = _attach_totals(r, tot, keys, out)

@@ -103,39 +103,57 @@ def running_sums(df: DataFrame, order: list[tuple[str, bool]], values: list[str]
     )
 
 
-def exact_quantiles(long_df: DataFrame, groups: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``).
-
-    ``long_df`` holds (groups..., value) rows.  Values are first counted per
-    distinct value (distributed), ranked with :func:`running_sums`, and the two
-    order statistics around each position ``q·(n−1)`` are picked by a join with
-    a small (groups × quantiles) position table.  Output: groups..., q, quantile.
+def exact_quantiles(long_df: DataFrame, groups: list[str], value: str, qs: list[float],
+                    accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``), by selection.
+
+    ``long_df`` holds (groups..., value) rows.  A sketch brackets every quantile between
+    two values a few ten-thousandths of the rows apart; one aggregate counts the rows
+    below each bracket and takes the nearest value on either side of it; only the
+    values inside the brackets are counted per distinct value and ranked with
+    :func:`running_sums`.  The sketch only places the brackets: a position outside
+    bracket and neighbours would raise.  Output: groups..., q, quantile.
     """
     groups = list(groups)
-    # value counts feed four passes (split points, totals, ranks, positions):
-    # written once to the shared checkpoint folder instead of recomputed
-    vc = cut_lineage(long_df.filter(F.col(value).isNotNull())
-                     .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")))
-    ranked = running_sums(vc, [(value, True)], ["_n"], groups=groups)
-    n = vc.groupBy(*groups).agg(F.sum("_n").alias("_total"))
-    pos = n.select(*groups, "_total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-    pos = pos.select(*groups, "q", (F.col("q") * (F.col("_total") - 1)).alias("_pos"))
-    pos = pos.select(*groups, "q", "_pos", F.floor("_pos").cast("long").alias("_lo"))
-    # order statistic i (0-based) is the value with before <= i < cum
-    stats = ranked.select(*groups, value, F.col("before__n").alias("_b"), F.col("cum__n").alias("_c"))
-
-    # both order statistics (lo, lo + 1) in one join with the position table
-    # (groups x quantiles rows: broadcast, never a shuffle on the group key)
-    lo, hi = F.col("_lo"), F.col("_lo") + 1
-    at_lo = (F.col("_b") <= lo) & (lo < F.col("_c"))
-    at_hi = (F.col("_b") <= hi) & (hi < F.col("_c"))
-    picked = (stats.join(F.broadcast(pos), groups, "inner").filter(at_lo | at_hi)
-              .groupBy(*groups, "q", "_pos", "_lo")
-              .agg(F.max(F.when(at_lo, F.col(value).cast("double"))).alias("_xlo"),
-                   F.max(F.when(at_hi, F.col(value).cast("double"))).alias("_xhi")))
-    frac = F.col("_pos") - F.col("_lo")
-    return picked.select(*groups, "q",
-                         (F.col("_xlo") + frac * (F.coalesce("_xhi", "_xlo") - F.col("_xlo"))).alias("quantile"))
+    rows = long_df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
+    slack, marks = 2.0 / accuracy, []
+    for q in qs:
+        marks += [max(0.0, q - slack), min(1.0, q + slack)]
+    sketch = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", marks, accuracy).alias("_m"))
+    # groups x quantiles brackets: bounded, safe to broadcast
+    brackets = cut_lineage(sketch.select(*groups, F.array(*[
+        F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("pos"),
+                 F.col("_m")[2 * i].alias("lo"), F.col("_m")[2 * i + 1].alias("hi")) for i, q in enumerate(qs)]).alias("_b")))
+    placed = rows.select(*groups, "_v").join(F.broadcast(brackets), groups)
+    v, sides = F.col("_v"), []
+    for i in range(len(qs)):
+        b = F.col("_b")[i]
+        sides += [F.first(b).alias(f"b{i}"), F.count_if(v < b["lo"]).alias(f"n{i}"), F.max(F.when(v < b["lo"], v)).alias(f"p{i}"),
+                  F.min(F.when(v > b["hi"], v)).alias(f"x{i}")]
+    around = placed.groupBy(*groups).agg(*sides).select(*groups, F.inline(F.array(*[
+        F.struct(F.col(f"b{i}")["q"].alias("q"), F.col(f"b{i}")["pos"].alias("_pos"), F.col(f"n{i}").alias("_below"),
+                 F.col(f"p{i}").alias("_prev"), F.col(f"x{i}").alias("_next")) for i in range(len(qs))])))
+    inside = placed.select(*groups, "_v", F.explode(F.filter("_b", lambda b: (v >= b["lo"]) & (v <= b["hi"]))).alias("_in"))
+    counted = cut_lineage(inside.groupBy(*groups, F.col("_in.q").alias("q"), "_v").agg(F.count(F.lit(1)).alias("_n")))
+    ranked = running_sums(counted, [("_v", True)], ["_n"], groups=[*groups, "q"])
+    lo = F.floor("_pos").cast("long")
+
+    def held(at):  # order statistic i (0-based) is the value with before <= i < cum
+        return F.max(F.when((F.col("_below") + F.col("before__n") <= at) & (at < F.col("_below") + F.col("cum__n")), v))
+
+    found = (ranked.join(F.broadcast(cut_lineage(around)), [*groups, "q"])
+             .groupBy(*groups, "q", "_pos", "_below", "_prev", "_next")
+             .agg(F.sum("_n").alias("_inside"), held(lo).alias("_xlo"), held(lo + 1).alias("_xhi")))
+
+    def taken(x, at):
+        return (F.when(x.isNotNull(), x).when(at == F.col("_below") - 1, F.col("_prev"))
+                .when(at == F.col("_below") + F.col("_inside"), F.col("_next"))
+                .otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double")))
+
+    frac = F.col("_pos") - lo
+    low = taken(F.col("_xlo"), lo)
+    high = F.when(frac > 0, taken(F.col("_xhi"), lo + 1)).otherwise(low)
+    return found.select(*groups, "q", (low + frac * (high - low)).alias("quantile"))
 
 
 def quantile_columns(qdf: DataFrame, groups: list[str], names: dict[float, str]) -> DataFrame:

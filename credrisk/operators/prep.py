@@ -58,6 +58,7 @@ class PopulationStandardScalerModel(Model, _ScalerParams, DefaultParamsReadable,
 # --- Yeo-Johnson ----------------------------------------------------------------------
 # Fixed values of the λ search: coarse grid, then two refinements around the best.
 YJ_PASSES = [(0.0, 0.25, 12), (None, 0.025, 10), (None, 0.0025, 10)]
+YJ_LIMIT = 60.0
 
 
 def yeo_johnson(x: Column, lam: Column) -> Column:
@@ -75,32 +76,35 @@ def yeo_johnson_lambdas(df: DataFrame, cols) -> DataFrame:
     Each pass is one aggregation job: (column, value) rows × grid λ →
     var_pop(ψ), n and Σ sign(x)·log1p|x| per (column, λ); llf(λ) =
     −n/2·ln var + (λ−1)·Σ sign(x)·log1p|x|; the best λ (ties → smaller) centres
-    the next, finer grid.  Output: (variable, lambda).
+    the next, finer grid.  A best λ on the edge of its grid becomes the centre of
+    another grid of the same step, so λ is not bounded; its resolution is the last
+    step.  Output: (variable, lambda).
     """
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])))
     long = long.filter(F.col("x").isNotNull())
-    best: dict[str, float] | None = None
-    for center, step, half in YJ_PASSES:
-        offs = F.array(*[F.lit(k) for k in range(-half, half + 1)])
-        if best is None:
-            base = F.lit(center)
-        else:
+    best, fitted = {c: float(YJ_PASSES[0][0]) for c in cols}, set()
+    for _, step, half in YJ_PASSES:
+        open_cols = list(cols)
+        while open_cols:
             # previous winners: one scalar per column, passed as a literal map
-            base = F.element_at(F.create_map(*[e for c, v in best.items() for e in (F.lit(c), F.lit(v))]),
-                                F.col("variable"))
-        grid = long.withColumn("k", F.explode(offs)).withColumn("lam", F.round(base + F.col("k") * step, 6))
-        x, lam = F.col("x"), F.col("lam")
-        agg = grid.groupBy("variable", "lam").agg(
-            F.var_pop(yeo_johnson(x, lam)).alias("_var"), F.count(F.lit(1)).alias("_n"),
-            F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("_s"))
-        llf = -F.col("_n") / 2.0 * F.log(F.col("_var")) + (F.col("lam") - 1) * F.col("_s")
-        scored = agg.withColumn("llf", F.when(F.col("_var") > 0, llf))
-        winners = scored.groupBy("variable").agg(
-            F.max_by(F.col("lam"), F.struct(F.col("llf"), -F.col("lam"))).alias("best"))
-        best = {r["variable"]: float(r["best"]) for r in winners.collect()}
-    spark = df.sparkSession
-    return spark.createDataFrame([(c, best[c]) for c in cols if c in best], "variable string, lambda double")
+            base = F.element_at(F.create_map(*[e for c in open_cols for e in (F.lit(c), F.lit(best[c]))]), F.col("variable"))
+            grid = (long.filter(F.col("variable").isin(open_cols))
+                    .withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(-half, half + 1)])))
+                    .withColumn("lam", F.round(base + F.col("k") * step, 6)))
+            x, lam = F.col("x"), F.col("lam")
+            agg = grid.groupBy("variable", "lam").agg(
+                F.var_pop(yeo_johnson(x, lam)).alias("_var"), F.count(F.lit(1)).alias("_n"),
+                F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("_s"))
+            llf = -F.col("_n") / 2.0 * F.log(F.col("_var")) + (F.col("lam") - 1) * F.col("_s")
+            scored = agg.filter((F.col("_var") > 0) & (F.col("_var") < float("inf"))).withColumn("llf", llf)
+            winners = {r["variable"]: float(r["best"]) for r in scored.groupBy("variable").agg(
+                F.max_by(F.col("lam"), F.struct(F.col("llf"), -F.col("lam"))).alias("best")).collect()}
+            # a likelihood that only rises (nearly constant values) ends at YJ_LIMIT
+            open_cols = [c for c in winners if abs(winners[c] - best[c]) >= (half - 0.5) * step and abs(winners[c]) < YJ_LIMIT]
+            best.update(winners)
+            fitted.update(winners)
+    return df.sparkSession.createDataFrame([(c, best[c]) for c in cols if c in fitted], "variable string, lambda double")
 
 
 class _YJParams(HasInputCols, HasOutputCols):

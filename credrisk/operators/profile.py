@@ -41,10 +41,6 @@ def duplicate_ids(df: DataFrame, key: str = "ID") -> DataFrame:
     )
 
 
-def duplicate_id_list(df: DataFrame, key: str = "ID") -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-
-
 def numeric_summary(df: DataFrame, cols) -> DataFrame:
     """count, mean, sample std, min, exact 25/50/75 % (linear), max per column,
     one row per column.  The quantiles use the distributed exact plan of

@@ -429,7 +429,6 @@ def q_top_importances(spark, d):
 
 
 __all__ = ["dashboard_frame"]
-_ = (F, age_group_ord)
 
 
 _CHI_COLS = ["GENDER", "EDUCATION", "MARRIAGE"]

@@ -114,6 +114,3 @@ def q_prep_yeo_johnson(spark, d):
     model = prep.YeoJohnsonTransformer(inputCols=BILL_COLS, outputCols=[f"yj__{c}" for c in BILL_COLS]).fit(
         smp.train_part(fs))
     return model.transform(fs).select("ID", *[F.round(f"yj__{c}", 6).alias(f"yj__{c}") for c in BILL_COLS])
-
-
-_ = S

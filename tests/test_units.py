@@ -249,6 +249,47 @@ def test_clients_csv_scan(spark, tmp_path):
     assert "GENDER" in df.columns and "DEFAULT" in df.columns and df.count() == 1
 
 
+def test_yeo_johnson_lambda_beyond_the_first_grid(spark):
+    from credrisk.operators.prep import yeo_johnson_lambdas
+    rng = np.random.default_rng(2)
+    x = np.log1p(np.maximum(0.05, 1 + 0.2 * rng.normal(size=800)) * 400) / 3  # left-skewed: a large lambda
+    df = spark.createDataFrame([(float(v),) for v in x], "a double")
+    got = {r["variable"]: r["lambda"] for r in yeo_johnson_lambdas(df, ["a"]).collect()}
+
+    def llf(lam):
+        y = ((x + 1) ** lam - 1) / lam
+        return -len(x) / 2 * np.log(y.var()) + (lam - 1) * np.log1p(x).sum()
+
+    grid = np.arange(0.5, 40, 0.0025)
+    best = grid[np.argmax([llf(v) for v in grid])]
+    assert best > 3.3 and abs(got["a"] - best) <= 0.0051
+
+
+def test_correlations_do_not_change_path_with_nulls(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.3], [0, 0, 1]]) + 1000
+    rows = [(float(a), float(b) if i % 7 else None, float(c) if i % 5 else None, 2.5) for i, (a, b, c) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, k double")
+    import pandas as pd
+    want = pd.DataFrame(rows, columns=list("abck")).astype(float).corr()
+    for r in corr_matrix(df, list("abck")).collect():
+        w = want.loc[r["x"], r["y"]]
+        assert (r["r"] is None and (np.isnan(w) or "k" in (r["x"], r["y"]))) or r["r"] == pytest.approx(w, abs=1e-6)
+    assert {(r["x"], r["y"]): r["n"] for r in corr_matrix(df, list("abck")).collect()}[("b", "c")] == sum(1 for i in range(300) if i % 7 and i % 5)
+
+
+def test_exact_quantiles_of_small_and_skewed_groups(spark):
+    rng = np.random.default_rng(8)
+    sets = {f"g{n}": rng.integers(0, 50, n).astype(float) for n in (1, 2, 3, 4, 5, 7, 11, 64, 333)}
+    sets["big"] = np.concatenate([rng.lognormal(size=30_000), np.full(9_000, 1.0)])
+    df = spark.createDataFrame([(g, float(v)) for g, xs in sets.items() for v in xs], "variable string, value double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r["variable"], r["q"]): r["quantile"] for r in exact_quantiles(df, ["variable"], "value", qs).collect()}
+    assert len(got) == len(sets) * len(qs)
+    for (g, q), v in got.items():
+        assert v == pytest.approx(np.quantile(sets[g], q)), (g, q)
+
+
 def test_roc_curve_drops_points_inside_straight_steps(spark):
     rng = np.random.default_rng(3)
     rows = [(round(float(x), 2), int(y)) for x, y in zip(rng.random(400), rng.integers(0, 2, 400))] + [(2.0 + k, 1) for k in range(6)]
