@@ -11,11 +11,12 @@ from __future__ import annotations
 import itertools
 import random
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target, keyword_only
+from pyspark import SparkContext, inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
@@ -195,10 +196,26 @@ def sample_param_maps(space: dict, n: int, seed: int = SEED) -> list[dict]:
 
 
 def in_parallel(job: Callable, items: list, threads: int) -> list:
-    """Run ``job`` for every item from a thread pool, in this session."""
+    """Run ``job`` for every item from a thread pool, in this session.
+
+    If the caller is interrupted or a job fails, running Spark jobs of the pool are
+    cancelled and no further item is begun.
+    """
+    context, group, stopped = SparkContext.getOrCreate(), uuid.uuid4().hex, threading.Event()
+
+    def one(item):
+        if stopped.is_set():
+            return None
+        context.setJobGroup(group, "parallel fits", interruptOnCancel=True)
+        return job(item)
+
     pool = ThreadPool(max(1, min(threads, len(items))))
     try:
-        return pool.map(inheritable_thread_target(job), items, chunksize=1)
+        return pool.map(inheritable_thread_target(one), items, chunksize=1)
+    except BaseException:
+        stopped.set()
+        context.cancelJobGroup(group)
+        raise
     finally:
         pool.close()
 

@@ -128,10 +128,13 @@ def trained(spark, d, name: str) -> dict:
     return _once((spark.sparkContext.applicationId, key), make)
 
 
-def trained_all(spark, d) -> list[dict]:
-    """Bundles of all thirteen configurations; missing ones are fitted side by side."""
+UNTUNED = [c for c in mdl.CONFIGS if c.search is None]
+
+
+def trained_all(spark, d, configs=mdl.CONFIGS) -> list[dict]:
+    """Bundles of the given configurations; missing ones are fitted side by side."""
     _matrix_split(spark, d)
-    return mdl.in_parallel(lambda c: trained(spark, d, c.name), list(mdl.CONFIGS), threads=4)
+    return mdl.in_parallel(lambda c: trained(spark, d, c.name), list(configs), threads=8)
 
 
 def _all_predictions(spark, cards: list[dict]):
@@ -175,9 +178,18 @@ def q_feature_importances(spark, d):
 
 @register("train_all")
 def q_train_all(spark, d):
-    """All thirteen configurations fitted on train and ranked on test: the comparison board
-    joined with confusion counts.  The board and the results document are written."""
-    cards = trained_all(spark, d)
+    """All thirteen configurations, both searches included, fitted on train and ranked on test."""
+    return _board(spark, trained_all(spark, d))
+
+
+@register("train_untuned")
+def q_train_untuned(spark, d):
+    """The eleven configurations without a search, fitted on train and ranked on test."""
+    return _board(spark, trained_all(spark, d, UNTUNED))
+
+
+def _board(spark, cards):
+    """The comparison board joined with confusion counts; board and results document are written."""
     preds = _all_predictions(spark, cards)
     board = cut_lineage(comparison_rows(preds))
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results/{uuid.uuid4().hex}"
@@ -197,10 +209,10 @@ def results_of(spark, cards: list[dict], curve_points: bool = False):
     return doc.join(fi, "model", "left").join(best, "model", "left")
 
 
-@register("results_all")
-def q_results_all(spark, d):
-    """Results document of all thirteen configurations, importances and best parameters as rows."""
-    doc = results_of(spark, trained_all(spark, d))
+@register("results_untuned")
+def q_results_untuned(spark, d):
+    """Results document of the eleven configurations without a search, importances as rows."""
+    doc = results_of(spark, trained_all(spark, d, UNTUNED))
     entries = F.concat(F.transform(F.map_entries(F.coalesce("feature_importances", F.create_map().cast("map<string,double>"))),
                                    lambda e: F.struct(F.lit("importance").alias("kind"), e["key"].alias("name"), e["value"].cast("string").alias("value"))),
                        F.transform(F.map_entries(F.coalesce("best_params", F.create_map().cast("map<string,string>"))),
@@ -210,10 +222,10 @@ def q_results_all(spark, d):
 
 @register("top_importances_by_model")
 def q_top_importances_by_model(spark, d):
-    """The 15 most important features of every trained model."""
+    """The 15 most important features of every model without a search."""
     from pyspark.sql import Window
     order = Window.partitionBy("model").orderBy(F.desc("importance"), "feature")
-    return (_all_importances(spark, trained_all(spark, d)).withColumn("rank", F.row_number().over(order))
+    return (_all_importances(spark, trained_all(spark, d, UNTUNED)).withColumn("rank", F.row_number().over(order))
             .filter("rank <= 15").select("model", "rank", "feature", "importance"))
 
 
@@ -264,8 +276,8 @@ def load_registry(spark, cards):
 
 @register("model_registry")
 def q_model_registry(spark, d):
-    """All thirteen saved bundles and their load status (one missing path included), written and reread."""
-    cards = trained_all(spark, d)
+    """The eleven untuned bundles and their load status (one missing path included), written and reread."""
+    cards = trained_all(spark, d, UNTUNED)
     cards = [*cards, {**cards[0], "model": "Missing Model", "path": cards[0]["path"] + "-absent", "threshold": 0.5}]
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry/{uuid.uuid4().hex}"
     load_registry(spark, cards).write.json(path)
