@@ -41,9 +41,9 @@ def duplicate_ids(df: DataFrame, key: str = "ID") -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, cols) -> DataFrame:
+def numeric_summary(df: DataFrame, cols, places: int | None = 4) -> DataFrame:
     """count, mean, sample std, min, exact 25/50/75 % (linear), max per column,
-    one row per column.  The quantiles use the distributed exact plan of
+    one row per column, rounded to ``places`` (not at all with None).  The quantiles use the distributed exact plan of
     :mod:`ordered` (no single-task percentile buffer)."""
     stacked = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])))
@@ -57,9 +57,11 @@ def numeric_summary(df: DataFrame, cols) -> DataFrame:
     q = quantile_columns(exact_quantiles(stacked, ["variable"], "value", [0.25, 0.5, 0.75]),
                          ["variable"], {0.25: "p25", 0.5: "median", 0.75: "p75"})
     out = basic.join(q, "variable", "left")
+    if places is None:
+        return out
     return out.select(
         "variable", "count",
-        *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "median", "p75", "max")])
+        *[F.round(c, places).alias(c) for c in ("mean", "std", "min", "p25", "median", "p75", "max")])
 
 
 def value_counts(df: DataFrame, key: str, by_count: bool = True) -> DataFrame:

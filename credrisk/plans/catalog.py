@@ -62,4 +62,5 @@ def featured(spark: SparkSession, sf_dir: str, variant: str = "train") -> DataFr
 
 def load_all() -> None:
     """Import the query modules so that they register themselves."""
-    from . import analysis_queries, evaluation_queries, model_queries, prep_queries, scoring_queries  # noqa: F401
+    from . import (analysis_queries, evaluation_queries, model_queries, prep_queries, scoring_queries,  # noqa: F401
+                   source_queries)
