@@ -312,7 +312,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     packed = source.where("id is not null").mapInPandas(
         lambda batches: pack_documents(batches, block_bytes), "block string, n_bytes long, ids binary, sizes binary, body binary")
     total = source.where("id is not null").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, parts = int(total // bucket_bytes + 1), int(total // table_bytes + 1)
+    buckets = int(total // bucket_bytes + 1)
+    # with fewer table buckets than shuffle partitions Spark would deal the blocks out anew in every join
+    parts = min(max(int(total // table_bytes + 1), int(spark.conf.get("spark.sql.shuffle.partitions"))),
+                int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"llm_blocks_{uuid.uuid4().hex}"
     packed.repartition(parts, "block").write.bucketBy(parts, "block").option(
         "path", f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name)
