@@ -3,8 +3,9 @@
 Plan: explode the normalised lines to (document, position, 128-bit hash of the
 key); the hashes are written once (28 bytes a line instead of the line); count
 distinct documents per hash with Spark's two-level distinct aggregation, so a
-line held by a third of all documents is combined map-side; join the hashes over
-the threshold back (AQE splits a hot hash); gather the dropped positions per
+line held by a third of all documents is combined map-side; write the hashes over
+the threshold, so that both sides of the next join are plain exchanges and AQE
+splits a hot hash; join them back; gather the dropped positions per
 document and reassemble the text by position.  The texts are shuffled once.
 """
 
@@ -43,9 +44,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.length("key") >= min_chars)
     hashed = materialise(lines.select("id", "text_hash", "pos", *hash_pair("h", F.col("key"))), "lines")
 
-    repeated = (hashed.groupBy("h1", "h2")
-                .agg(F.countDistinct("id").alias("n_docs"), F.max("id").alias("keeper"))
-                .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"))
+    repeated = materialise(hashed.groupBy("h1", "h2")
+                           .agg(F.countDistinct("id").alias("n_docs"), F.max("id").alias("keeper"))
+                           .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "repeated-lines")
     dropped = (hashed.join(repeated, ["h1", "h2"]).where(F.col("id") != F.col("keeper"))
                .groupBy("id", "text_hash").agg(F.collect_set("pos").alias("drop")))
     joined = rows.join(dropped, ["id", "text_hash"], "left")
