@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .pretokens import per_worker
 
 BLOCK = 512          # bytes parsed before a new phrase is begun
@@ -168,8 +169,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         "id is not null and lang is not null and text is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), "id")
-    chosen = rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(
-        F.col("k") <= docs_per_language).select("id", "lang").distinct()
+    # written: its few rows are then known to be few, and the join need not shuffle the texts
+    chosen = materialise(rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(
+        F.col("k") <= docs_per_language).select("id", "lang").distinct(), "language-sample")
     share = bytes_per_language // docs_per_language * 4
     picked = rows.join(chosen, ["id", "lang"]).select("lang", "id", F.left("text", F.lit(share)).alias("text"))
     order = Window.partitionBy("lang").orderBy("id", "text")
