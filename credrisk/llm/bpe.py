@@ -30,9 +30,9 @@ class Codec:
         back = {c: b for b, c in self.cutter.alphabet.items()}
         self.ids = {bytes(map(back.__getitem__, t)): i for t, i in self.cutter.vocab.items()}
         self.octets = {i: t for t, i in self.ids.items()}
-        self.longest = [0] * 256
+        self.longest: dict[bytes, int] = {}  # by the first two bytes
         for t in self.ids:
-            self.longest[t[0]] = max(self.longest[t[0]], len(t))
+            self.longest[t[:2]] = max(self.longest.get(t[:2], 0), len(t))
         self.names = {i: t for t, i in self.cutter.vocab.items()}
         self.pairs: dict[int, bool] = {}
         self.cache: dict[str, tuple[str, int, str]] = {}
@@ -41,9 +41,9 @@ class Codec:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match over the vocabulary (every single byte is a token)."""
-        out, pos, n, ids = [], 0, len(word), self.ids
+        out, pos, n, ids, longest = [], 0, len(word), self.ids, self.longest
         while pos < n:
-            end = min(n, pos + self.longest[word[pos]])
+            end = min(n, pos + longest.get(word[pos:pos + 2], 1))
             while (token := ids.get(word[pos:end])) is None:
                 end -= 1
             out.append(token)
@@ -77,7 +77,7 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Make sure that every word of a piece is in the cache."""
-        new = list({w for w in words if w not in self.cache})
+        new = list(set(words).difference(self.cache))
         if not new:
             return
         if len(self.cache) + len(new) > self.limit:
@@ -125,7 +125,7 @@ def _codec(docs: DataFrame, tokenizer_path: str, cache_size: int):
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  cache_size: int = 250_000) -> DataFrame:
+                  cache_size: int = 500_000) -> DataFrame:
     """``id``, ``ids`` (array of int) and ``decoded`` (their text) per input row.
 
     Ids equal the library's with add_special_tokens=False, truncation and padding
@@ -142,7 +142,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
 
 def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                   cache_size: int = 250_000) -> DataFrame:
+                   cache_size: int = 500_000) -> DataFrame:
     """``id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` per input row: the same round
     trip as ``encode_decode`` without moving the ids out of the workers."""
     codec = _codec(docs, tokenizer_path, cache_size)
