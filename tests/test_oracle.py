@@ -23,7 +23,7 @@ def test_every_query_has_a_docstring():
 def test_entry_contract(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
-    assert df.count() >= 3 and "clients" in df.columns
+    assert df.count() >= 3 and df.columns == ["EDU_LABEL", "default_rate_pct", "count"]
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
