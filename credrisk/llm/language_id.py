@@ -2,9 +2,10 @@
 
 A suffix automaton of a bounded sample of labelled text is built per language.  A
 text is cross-parsed against each: it is cut greedily into the longest phrases
-that occur in the language's sample.  The phrase count times log2(sample length)
-over the text's bytes estimates the cross entropy in bits a byte; the language
-with the smallest value wins.
+that occur in the language's sample.  A phrase costs log2(size of the largest sample)
+bits and a byte that the sample never holds eight more; the sum over the text's bytes
+estimates the cross entropy in bits a byte; the language with the smallest value wins.
+All languages pay the same, so that a small sample is never a cheap one.
 
 The automata are laid out as one dense transition table (state x byte class), in
 which a missing transition leads to the state of a new phrase and carries a flag.
@@ -29,6 +30,7 @@ from .pretokens import per_worker
 BLOCK = 512          # bytes parsed before a new phrase is begun
 LOCKSTEP = 4096      # blocks parsed together
 LETTER = re.compile(r"[^\W\d_]")
+UNSEEN_BITS = 8.0    # on top of a phrase, for a byte that a sample never holds
 UNDETERMINED = "und"
 
 
@@ -72,11 +74,13 @@ def suffix_automaton(texts: list[bytes]) -> list[dict[int, int]]:
 
 @dataclass
 class Model:
-    """Languages, one flat table over (state, byte class) holding next * 2 + flag, and its lay-out."""
+    """Languages, one flat table over (state, byte class) holding next * 2 + flag, and its lay-out;
+    bits of a phrase, and bits of each byte value by language (more than 0 where its sample lacks it)."""
 
     languages: list[str]
     roots: np.ndarray
-    weights: np.ndarray
+    weight: float
+    unseen: np.ndarray
     table: np.ndarray
     classes: np.ndarray
     width: int
@@ -88,8 +92,9 @@ class Model:
         pad, unknown, width = len(seen), len(seen) + 1, len(seen) + 2
         classes = np.full(256, unknown, dtype=np.uint8 if width <= 256 else np.uint16)
         classes[seen] = np.arange(len(seen))
-        tables, roots, weights, offset = [], [], [], 0
-        for lang in languages:
+        unseen = np.full((256, len(languages)), UNSEEN_BITS)
+        tables, roots, offset = [], [], 0
+        for k, lang in enumerate(languages):
             edges = suffix_automaton(samples[lang])
             first = np.full(width, offset * 2 + 1, dtype=np.int32)
             for b, q in edges[0].items():
@@ -101,10 +106,11 @@ class Model:
                     rows[s, classes[b]] = (offset + q) * 2
             tables.append(rows)
             roots.append(offset)
-            weights.append(math.log2(max(2, sum(map(len, samples[lang])))))
+            unseen[list(edges[0]), k] = 0
             offset += len(edges)
+        weight = math.log2(max([2, *(sum(map(len, texts)) for texts in samples.values())]))
         table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
-        return cls(languages, np.array(roots, dtype=np.int32), np.array(weights), table, classes, width)
+        return cls(languages, np.array(roots, dtype=np.int32), weight, unseen, table, classes, width)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrase counts, one row per text and one column per language."""
@@ -131,6 +137,11 @@ class Model:
         sums = np.concatenate([np.zeros((1, len(self.languages)), dtype=np.int64), np.cumsum(counts, axis=0)])
         return sums[ends] - sums[ends - np.array(blocks, dtype=np.int64)]
 
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """Bits to write the texts, one row per text and one column per language."""
+        held = np.array([np.bincount(np.frombuffer(t, dtype=np.uint8), minlength=256) for t in texts]).reshape(len(texts), 256)
+        return self.phrases(texts) * self.weight + held @ self.unseen
+
     def predict(self, texts: list[str | None], batch_bytes: int = 2 << 20) -> list[tuple[str, float]]:
         """(language, score) per text; the score is one minus best over second-best entropy."""
         out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
@@ -138,7 +149,7 @@ class Model:
         size = 0
 
         def flush() -> None:
-            bits = self.phrases([t for _, t in pending]) * self.weights
+            bits = self.bits([t for _, t in pending])
             best = bits.argmin(axis=1)
             for row, (k, _), b in zip(bits, pending, best.tolist(), strict=True):
                 rest = np.delete(row, b)
@@ -164,10 +175,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     At most ``docs_per_language`` documents per language (smallest hashes of their
     ids) give at most ``bytes_per_language`` bytes, an equal share of each; all languages
     together keep to ``max_total_bytes``, which bounds the broadcast table.  Rows
-    with a null id, text or language teach nothing.
+    with a null id, text or language and texts without letters teach nothing.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
-        "id is not null and lang is not null and text is not null")
+        "id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), "id")
     # written: its few rows are then known to be few, and the join need not shuffle the texts
     chosen = materialise(rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(

@@ -225,6 +225,20 @@ def test_language_id(spark, corpus):
     assert {r.lang_pred for r in nothing} == {"und"} and {r.score for r in nothing} == {0.0}
 
 
+def test_language_with_little_text_wins_nothing_else(spark):
+    english = ("It was late in the year when the ship came back to the harbour, and the people of the town went down to the water to see "
+               "what she had brought. The captain spoke of long winds and quiet nights; nobody asked how many men had stayed behind. ")
+    spanish = ("Era tarde en el año cuando el barco volvió al puerto, y la gente del pueblo bajó hasta el agua para ver lo que había traído. "
+               "El capitán habló de vientos largos y noches tranquilas; nadie preguntó cuántos hombres se habían quedado. ")
+    rows = [(1, english, "en"), (2, spanish, "es"), (3, "", "empty"), (4, " 12 \n", "blank"), (5, "ok", "two"), (6, "hola", "four"), (7, "a quick brown fox jumps", "short")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "es", "four", "short", "two"]
+    docs = ["The people of the harbour asked the captain how the winds had been.", "La gente del puerto preguntó al capitán por los vientos largos.", "ああああ"]
+    assert [x for x, _ in model.predict(docs[:2] * 3)] == ["en", "es"] * 3
+    assert model.bits([docs[2].encode()]).tolist() == [[(12 + 1) * model.weight + 12 * 8] * 5]
+    assert language_id.Model.build({"en": [english.lower().encode()], "empty": [b""]}).predict(docs[:1])[0][0] == "en"
+
+
 def test_language_id_held_out_accuracy(spark):
     out = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     r = out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.min("score"), F.max("score"), F.count("*")).first()
