@@ -1,6 +1,6 @@
 """Pre-tokens of whole texts, exactly as the tokenizers library cuts them.
 
-Texts whose characters all lie below U+0250 are cut by Python's ``re`` with the
+Texts whose characters (lower-cased, if the tokenizer does that) all lie below U+0250 are cut by Python's ``re`` with the
 letter, number and space classes of that range written out (there the
 normalizer of the lower-casing tokenizer is plain ``lower``).  Any other text goes
 through the library's own normalizer and pre-tokenizer.
@@ -63,8 +63,9 @@ class PreTokenizer:
 
     def words(self, piece: str) -> list[str]:
         """Pre-tokens of a piece without special tokens."""
-        if BEYOND.search(piece) is None:
-            return self.pattern.findall(piece.lower() if self.lower else piece)
+        plain = piece.lower() if self.lower else piece  # some capitals of the range leave it here
+        if BEYOND.search(plain) is None:
+            return self.pattern.findall(plain)
         if self.lower:
             piece = self.tokenizer.normalizer.normalize_str(piece)
         return [piece[s:e] for _, (s, e) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]

@@ -174,6 +174,19 @@ def test_tokenizers(spark, corpus, name, run):
         assert 0 < codec.failed < codec.proposed
 
 
+def test_capitals_whose_lower_case_leaves_the_fixed_range():
+    cutter = pretokens.PreTokenizer(open(queries.tokenizer("word_bpe_49k.json"), encoding="utf-8").read())
+    lengths = token_counts.Lengths(cutter, {}, 100)
+    every = list(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    capitals = [c for c in every if c < "\u0250" and c.lower() > "\u024f"]
+    inward = [c for c in every if c > "\u024f" and all(x < "\u0250" for x in c.lower())]
+    assert len(capitals) == 23 and inward == ["\u1e9e", "\u212a", "\u212b", "\u2c7e", "\u2c7f"]
+    for c in [*capitals, *inward, "\u0130", "i\u0307"]:
+        for text in (f"AZ{c}RBAYCAN", f"the {c} ok{c}", f"{c}{c}1{c}'s", f"EL{c} o{c}e", c):
+            assert lengths.count(text) == len(cutter.tokenizer.encode(text, add_special_tokens=False).ids), text
+    assert lengths.count("AZERƏBAYCAN") == 5
+
+
 def test_decontamination(spark, corpus):
     rng = random.Random(2)
     passage = corpus[7][1][:-6]
