@@ -282,6 +282,21 @@ def test_secret_scan(spark):
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
 
 
+def test_allowed_text_excuses_only_itself():
+    scanner, rng = secret_scan.Scanner(), random.Random(6)
+    token = "ghp_a8Kx92LmQ0zRt7VbN4cYp1WsEd6F"
+    block = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400))
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(60))
+    for text, at in ((f"see repo/example/blob/{token} there", token), (f"abcdefghijklmnop/{token}", token), (f"123e4567-e89b-12d3-a456-426614174000/{token}", token),
+                     (f"0123456789abcdef-{token}", token), (f"{block}Example{block}", block), (f"key {letters}.", letters), (f"the-quick-brown-fox-jumps-over-{letters}", letters)):
+        covered = {p for s, _, e in scanner.random_looking(text) for p in range(s, e)}
+        where = range(text.index(at), text.index(at) + len(at))
+        assert len(covered & set(where)) >= 0.8 * len(at), text
+    for text in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef" * 3, "thecaptainbroughtmyoldfriendswestward",
+                 "123e4567-e89b-12d3-a456-426614174000", "2024-01-12/4929_1234_5678_9012+33612345678", "notificationSubscriptionManagerFactory"):
+        assert scanner.random_looking(text) == [], text
+
+
 def test_entropy_windows():
     scanner, rng = secret_scan.Scanner(), random.Random(0)
     for _ in range(100):
