@@ -16,6 +16,10 @@ so the windows (strings of ``length`` bytes) are first brought together by conte
    sorted; the previous and next smaller document in suffix order give the longest
    earlier match of each (its longest previous factor); a bit per window goes back.
 
+An anchor that very many units have is hot; its units would all meet in one bucket.  They
+are dealt by their text's hash in step 3, and in step 4 their single windows by the
+window's hash, once per block with the smallest document.
+
 Equal units of a block are merged before each exchange, so a passage that a third of
 the documents share costs a bucket one entry per block.  Only hashes of repeated
 places and texts of open units travel, and all answers are exact.
@@ -104,9 +108,9 @@ class Block:
         place[order] = np.arange(len(order))
         return distinct[order], bucket[order], place[inverse]
 
-    def texts_hash(self, units: np.ndarray) -> np.ndarray:
-        """A hash of everything that the windows of each unit cover."""
-        s, e, grams = self.start[units], self.last[units], words8(self.data)
+    def texts_hash(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """A hash of everything that the windows starting at s to e (inclusive) cover."""
+        grams = words8(self.data)
         c = (e - s).astype(np.uint64) * M4
         offsets = sorted({*range(0, self.length - 7, 8), self.length - 8})
         for at, o, m in [(s, o, M1) for o in offsets] + [(e, self.length - 8 - o, M2) for o in range(0, min(self.length - 7, 32), 8)]:
@@ -114,20 +118,42 @@ class Block:
             c ^= c >> S29
         return c
 
-    def classes(self, buckets: int, repeated: np.ndarray) -> dict[str, np.ndarray]:
-        """Distinct (anchor, text hash) of the units whose anchor is repeated, ordered by bucket,
-        with the smallest document, a unit of it, and the class of each such unit."""
+    def classes(self, buckets: int, repeated: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
+        """Distinct (anchor, text hash) of the units whose anchor is repeated, ordered by bucket (the
+        text's if the anchor is hot), with the smallest document, a unit of it, and the class of each such unit."""
         distinct, bucket, place = self.anchors(buckets)
         units = np.flatnonzero(repeated[place]) if len(place) else np.zeros(0, dtype=np.int64)
-        text, where, doc = self.texts_hash(units), place[units], self.doc[units]
+        text, where, doc = self.texts_hash(self.start[units], self.last[units]), place[units], self.doc[units]
         order = np.lexsort((doc, text, where))
         where, text, doc = where[order], text[order], doc[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (where[1:] != where[:-1]) | (text[1:] != text[:-1])
         of = np.empty(len(order), dtype=np.int64)
         of[order] = np.cumsum(new) - 1
-        return {"bucket": bucket[where[new]], "anchor": distinct[where[new]], "text": text[new], "doc": doc[new],
-                "unit": units[order[new]], "units": units, "class_of": of}
+        heated = hot[where[new]]
+        home = np.where(heated, (text[new] % np.uint64(buckets)).astype(np.int64), bucket[where[new]])
+        dealt = np.argsort(home, kind="stable")
+        at = np.empty(len(dealt), dtype=np.int64)
+        at[dealt] = np.arange(len(dealt))
+        return {"bucket": home[dealt], "anchor": distinct[where[new]][dealt], "text": text[new][dealt], "doc": doc[new][dealt],
+                "hot": heated[dealt], "unit": units[order[new]][dealt], "units": units, "class_of": at[of]}
+
+    def single_windows(self, buckets: int, classes: dict[str, np.ndarray], chosen: np.ndarray) -> dict[str, np.ndarray]:
+        """Distinct windows of the chosen classes, ordered by bucket (buckets and up), with a start and the
+        smallest document; and for every window of a class its class, step, document and distinct window."""
+        start, size = self.start[classes["unit"][chosen]], (self.last - self.start + 1)[classes["unit"][chosen]]
+        of = np.repeat(chosen, size)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        at, doc = np.repeat(start, size) + step, classes["doc"][of]
+        text = self.texts_hash(at, at)
+        bucket = (text % np.uint64(buckets)).astype(np.int64) + buckets
+        order = np.lexsort((doc, text, bucket))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = text[order][1:] != text[order][:-1]
+        entry = np.empty(len(order), dtype=np.int64)
+        entry[order] = np.cumsum(new) - 1
+        first = order[new]
+        return {"bucket": bucket[first], "start": at[first], "first": doc[first], "class": of, "step": step, "doc": doc, "entry": entry}
 
 
 def slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -178,19 +204,24 @@ def pack_documents(batches: Iterator[pd.DataFrame], block_bytes: int) -> Iterato
         yield block()
 
 
-def repeated_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which anchors of a bucket two documents hold: bits per block, in the block's order."""
-    counts, keys, several = [], [], []
+def repeated_anchors(rows: pd.DataFrame, heavy_blocks: int, hot_blocks: int) -> pd.DataFrame:
+    """Bits per block, in the block's order: two documents hold the anchor; it is hot."""
+    counts, keys, several, heavy, seen = [], [], [], [], 0
     for payload in rows["payload"]:
         n = int.from_bytes(payload[:8], "little")
         counts.append(n)
         keys.append(np.frombuffer(payload[8:8 + 4 * n], dtype=np.uint32))
-        several.append(np.unpackbits(np.frombuffer(payload[8 + 4 * n:], dtype=np.uint8), count=n).astype(bool))
+        end = 8 + 4 * n - (-n // 8)
+        several.append(np.unpackbits(np.frombuffer(payload[8 + 4 * n:end], dtype=np.uint8), count=n).astype(bool))
+        heavy.append(np.frombuffer(payload[end:], dtype=np.uint32).astype(np.int64) + seen)
+        seen += n
     values, inverse, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    hot = times > 1
-    hot[inverse[np.concatenate(several)]] = True
-    parts = np.split(hot[inverse], np.cumsum(counts)[:-1])
-    return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "payload": [bits(p) for p in parts]})
+    shared = times > 1
+    shared[inverse[np.concatenate(several)]] = True
+    hot = (np.bincount(inverse[np.concatenate(heavy)], minlength=len(values)) >= heavy_blocks) | (times >= hot_blocks)
+    cuts = np.cumsum(counts)[:-1]
+    return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"],
+                         "payload": [bits(p) + bits(h) for p, h in zip(np.split(shared[inverse], cuts), np.split(hot[inverse], cuts), strict=True)]})
 
 
 def judged_classes(rows: pd.DataFrame) -> pd.DataFrame:
@@ -296,9 +327,11 @@ def removed_runs(block: Block, classes: dict[str, np.ndarray], covered: np.ndarr
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50,
-                     block_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20, table_bytes: int = 24 << 20) -> DataFrame:
+                     block_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20, table_bytes: int = 24 << 20,
+                     heavy_units: int = 16, heavy_blocks: int = 16, hot_blocks: int = 1024) -> DataFrame:
     """``id``, ``n_bytes``, ``spans`` (maximal removed byte runs, end exclusive) and ``kept`` (binary)
-    per input row; ids are integers, ``length`` is 32 to 55 bytes.
+    per input row; ids are integers, ``length`` is 32 to 55 bytes.  An anchor is hot that ``hot_blocks``
+    blocks hold, or ``heavy_blocks`` blocks in ``heavy_units`` units each; results don't depend on it.
 
     Edge cases: a null text is empty; texts shorter than ``length`` stay whole; rows
     with one id are one document and never remove each other's bytes; a row without id takes
@@ -338,38 +371,51 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
             np.minimum.at(low, place, b.doc)
             np.maximum.at(high, place, b.doc)
+            heavy = np.bincount(place, minlength=len(distinct)) >= heavy_units
             keys = (distinct >> S32).astype(np.uint32)
-            yield emit([(k, row["block"], (s.stop - s.start).to_bytes(8, "little") + keys[s].tobytes() + bits(low[s] < high[s])) for k, s in slices(bucket)])
+            yield emit([(k, row["block"], (s.stop - s.start).to_bytes(8, "little") + keys[s].tobytes() + bits(low[s] < high[s])
+                         + np.flatnonzero(heavy[s]).astype(np.uint32).tobytes()) for k, s in slices(bucket)])
+
+    def known_classes(b: Block, row: dict) -> dict:
+        _, bucket, _ = b.anchors(buckets)
+        return b.classes(buckets, flags(row["repeated"], bucket, 0), flags(row["repeated"], bucket, 1))
 
     def send_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, b in opened(batches):
-            _, bucket, _ = b.anchors(buckets)
-            c = b.classes(buckets, flags(row["repeated"], bucket, 0))
+            c = known_classes(b, row)
             keys = (c["anchor"] >> S32).astype(np.uint32)
             yield emit([(k, row["block"], (s.stop - s.start).to_bytes(8, "little") + keys[s].tobytes() + c["text"][s].tobytes()
                          + zstandard.compress(c["doc"][s].tobytes(), 1)) for k, s in slices(c["bucket"])])
 
-    def open_classes(b: Block, row: dict) -> tuple[dict, np.ndarray, np.ndarray]:
-        _, bucket, _ = b.anchors(buckets)
-        c = b.classes(buckets, flags(row["repeated"], bucket, 0))
-        return c, flags(row["judged"], c["bucket"], 0), np.flatnonzero(flags(row["judged"], c["bucket"], 1))
+    def open_classes(b: Block, row: dict) -> tuple[dict, np.ndarray, np.ndarray, dict]:
+        """Classes, which are covered, the open ones of other anchors, and the windows of those of hot ones."""
+        c = known_classes(b, row)
+        covered, several = (flags(row["judged"], c["bucket"], which) for which in (0, 1))
+        return c, covered, np.flatnonzero(several & ~c["hot"]), b.single_windows(buckets, c, np.flatnonzero(c["hot"] & ~covered))
 
     def send_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, b in opened(batches):
-            c, _, chosen = open_classes(b, row)
+            c, _, chosen, single = open_classes(b, row)
             start, last, doc = b.start[c["unit"][chosen]], b.last[c["unit"][chosen]], c["doc"][chosen]
             rows = []
             for k, s in slices(c["bucket"][chosen]):
                 texts = b"".join(b.data[p:q + length] for p, q in zip(start[s].tolist(), last[s].tolist(), strict=True))
                 head = (s.stop - s.start).to_bytes(8, "little") + doc[s].tobytes() + (last[s] - start[s] + 1).astype(np.uint8).tobytes()
                 rows.append((k, row["block"], zstandard.compress(head + texts, 1)))
+            for k, s in slices(single["bucket"]):
+                texts = b"".join(b.data[p:p + length] for p in single["start"][s].tolist())
+                head = (s.stop - s.start).to_bytes(8, "little") + single["first"][s].tobytes() + b"\1" * (s.stop - s.start)
+                rows.append((k, row["block"], zstandard.compress(head + texts, 1)))
             yield emit(rows)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, b in opened(batches):
-            c, covered, chosen = open_classes(b, row)
+            c, covered, chosen, single = open_classes(b, row)
             masks = np.zeros(len(c["bucket"]), dtype=np.uint32)
             masks[chosen] = flags(row["windows"], c["bucket"][chosen], 0, np.uint32)
+            earlier = flags(row["windows"], single["bucket"], 0, np.uint32)[single["entry"]] > 0
+            earlier |= single["doc"] > single["first"][single["entry"]]
+            np.bitwise_or.at(masks, single["class"][earlier], np.uint32(1) << single["step"][earlier].astype(np.uint32))
             gone = removed_runs(b, c, covered, masks)
             out, at = [], 0
             raw = np.frombuffer(b.data, dtype=np.uint8)
@@ -384,7 +430,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def exchange(rows: DataFrame, judge, tag: str) -> DataFrame:
         return materialise(rows.groupBy("bucket").applyInPandas(judge, PACKED), tag)
 
-    repeated = exchange(blocks.mapInPandas(send_anchors, PACKED), repeated_anchors, "anchors")
+    repeated = exchange(blocks.mapInPandas(send_anchors, PACKED), lambda rows: repeated_anchors(rows, heavy_blocks, hot_blocks), "anchors")
     known = blocks.join(answered(repeated, "repeated"), "block", "left")
     judged = exchange(known.mapInPandas(send_classes, PACKED), judged_classes, "classes")
     known = known.join(answered(judged, "judged"), "block", "left")

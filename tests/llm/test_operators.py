@@ -137,6 +137,35 @@ def test_suffix_dedup(spark, corpus):
     assert suffix_dedup.dedup_substrings(table(spark, [(None, "x"), (1, None)])).count() == 2
 
 
+def test_suffix_dedup_spreads_a_hot_anchor(spark, monkeypatch):
+    written, rng = {}, random.Random(8)
+    keep = lambda df, tag: written.setdefault(tag, common.materialise(df, tag))
+    monkeypatch.setattr(suffix_dedup, "materialise", keep)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    ends = [say(60) for _ in range(150)]
+    rows = [(i, say(40) + "A SLOGAN OF SOME FORTY BYTES FOR ALL OF US" + (rng.choice(ends) if i % 3 else say(60))) for i in range(900)]
+    rows += [(rng.randrange(900), rows[k][1][30:120]) for k in range(0, 900, 9)] + [(None, rows[5][1])]
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49 if i is not None else 0):
+            first[t[k:k + 50]] = min(first.get(t[k:k + 50], i), i)
+    want = []
+    for i, t in rows:
+        gone = {p for k in range(len(t) - 49 if i is not None else 0) if first[t[k:k + 50]] < i for p in range(k, k + 50)}
+        want.append((i, "".join(c for k, c in enumerate(t) if k not in gone)))
+    got = [(r.id, bytes(r.kept).decode()) for r in suffix_dedup.dedup_substrings(table(spark, rows), block_bytes=4000, bucket_bytes=4000).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    for tag in ("classes", "windows"):
+        loads = [r[1] for r in written[tag].groupBy("bucket").agg(F.sum(F.length("payload"))).collect()]
+        assert max(loads) < 0.15 * sum(loads), (tag, max(loads), sum(loads))
+
+
+def test_suffix_dedup_with_every_anchor_hot(spark, corpus):
+    run = lambda **hot: sorted(((r.id, r.n_bytes, r.spans, bytes(r.kept)) for r in suffix_dedup.dedup_substrings(
+        table(spark, corpus), block_bytes=3000, bucket_bytes=4000, **hot).collect()), key=str)
+    assert run(hot_blocks=1) == run(hot_blocks=1 << 30, heavy_blocks=1 << 30)
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(0)
     for _ in range(200):
