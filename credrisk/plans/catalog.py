@@ -18,15 +18,16 @@ from ..sources.clients import client_view
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SEARCHED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}  # need both searches: hours, so no sweep walks over them
 ORACLE: dict[str, str] = {}
 DOCS: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, searched: bool = False):
     def deco(fn):
-        if name in QUERIES:
+        if name in QUERIES or name in SEARCHED:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        (SEARCHED if searched else QUERIES)[name] = fn
         if sql is not None:
             ORACLE[name] = sql
         DOCS[name] = (fn.__doc__ or "").strip().splitlines()[0] if fn.__doc__ else ""

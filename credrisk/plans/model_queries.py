@@ -8,7 +8,7 @@ import threading
 import uuid
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
@@ -23,6 +23,7 @@ from ..schema import FEATURES, SMOTE_RATIO
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.clients import client_view
 from ..sources.io import REGISTRY, failed_models, write_leaderboard, write_results
+from ..sources.tables import table
 from ..streaming.scoring_stream import run_file_stream
 from . import oracle_sql as S
 from .catalog import featured, register, source_files
@@ -212,7 +213,17 @@ def results_of(spark, cards: list[dict], curve_points: bool = False):
 @register("results_untuned")
 def q_results_untuned(spark, d):
     """Results document of the eleven configurations without a search, importances as rows."""
-    doc = results_of(spark, trained_all(spark, d, UNTUNED))
+    return _result_rows(spark, trained_all(spark, d, UNTUNED))
+
+
+@register("results_all", searched=True)
+def q_results_all(spark, d):
+    """Results document of all thirteen configurations, importances and best parameters as rows."""
+    return _result_rows(spark, trained_all(spark, d))
+
+
+def _result_rows(spark, cards):
+    doc = results_of(spark, cards)
     entries = F.concat(F.transform(F.map_entries(F.coalesce("feature_importances", F.create_map().cast("map<string,double>"))),
                                    lambda e: F.struct(F.lit("importance").alias("kind"), e["key"].alias("name"), e["value"].cast("string").alias("value"))),
                        F.transform(F.map_entries(F.coalesce("best_params", F.create_map().cast("map<string,string>"))),
@@ -223,9 +234,19 @@ def q_results_untuned(spark, d):
 @register("top_importances_by_model")
 def q_top_importances_by_model(spark, d):
     """The 15 most important features of every model without a search."""
+    return _top_importances(spark, trained_all(spark, d, UNTUNED))
+
+
+@register("top_importances_all", searched=True)
+def q_top_importances_all(spark, d):
+    """The 15 most important features of all thirteen models."""
+    return _top_importances(spark, trained_all(spark, d))
+
+
+def _top_importances(spark, cards):
     from pyspark.sql import Window
     order = Window.partitionBy("model").orderBy(F.desc("importance"), "feature")
-    return (_all_importances(spark, trained_all(spark, d, UNTUNED)).withColumn("rank", F.row_number().over(order))
+    return (_all_importances(spark, cards).withColumn("rank", F.row_number().over(order))
             .filter("rank <= 15").select("model", "rank", "feature", "importance"))
 
 
@@ -255,7 +276,20 @@ def q_smote_counts(spark, d):
 @register("smote_neighbours")
 def q_smote_neighbours(spark, d):
     """Nearest neighbours of the credit minority (distinct training vectors) found by the forest."""
-    lists = knn_lists(_prepared_train(spark, d).filter("label = 1"))
+    return _with_distances(knn_lists(_prepared_train(spark, d).filter("label = 1")))
+
+
+@register("embedding_neighbours")
+def q_embedding_neighbours(spark, d):
+    """Nearest neighbours of all embeddings (distinct vectors of the commonest length) found by the same forest."""
+    whole = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("v")).filter(
+        F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))  # also no NaN, which is above infinity
+    length = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    same = whole.filter(F.size("v") == (length["n"] if length else 0))
+    return _with_distances(knn_lists(same.select(array_to_vector("v").alias("features"))))
+
+
+def _with_distances(lists):
     far = F.array_max(F.transform("nn", lambda v: F.sqrt(F.aggregate(
         F.zip_with(v, F.col("x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, z: acc + z))))
     return lists.select("x", F.size("nn").alias("n_neighbours"), far.alias("kth_distance"))
@@ -277,7 +311,16 @@ def load_registry(spark, cards):
 @register("model_registry")
 def q_model_registry(spark, d):
     """The eleven untuned bundles and their load status (one missing path included), written and reread."""
-    cards = trained_all(spark, d, UNTUNED)
+    return _reread_registry(spark, trained_all(spark, d, UNTUNED))
+
+
+@register("model_registry_all", searched=True)
+def q_model_registry_all(spark, d):
+    """All thirteen bundles and their load status (one missing path included), written and reread."""
+    return _reread_registry(spark, trained_all(spark, d))
+
+
+def _reread_registry(spark, cards):
     cards = [*cards, {**cards[0], "model": "Missing Model", "path": cards[0]["path"] + "-absent", "threshold": 0.5}]
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry/{uuid.uuid4().hex}"
     load_registry(spark, cards).write.json(path)
@@ -290,6 +333,12 @@ def q_failed_artifacts(spark, d):
     return failed_models(q_model_registry(spark, d)).select("model", "status", "error")
 
 
+@register("failed_artifacts_all", searched=True)
+def q_failed_artifacts_all(spark, d):
+    """Registry rows of all thirteen configurations whose bundle could not be loaded."""
+    return failed_models(q_model_registry_all(spark, d)).select("model", "status", "error")
+
+
 @register("score_batch")
 def q_score_batch(spark, d):
     """Load the saved baseline logistic model, score every client, tier the probability."""

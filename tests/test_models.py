@@ -122,3 +122,31 @@ def test_null_labels_are_refused(spark):
     frame = spark.createDataFrame([(1, 0), (2, None)], "ID long, DEFAULT int")
     with pytest.raises(Exception, match="cannot stratify"):
         smp.stratified_split(frame).collect()
+
+
+def test_all_thirteen_models_have_results_importances_and_registry(spark, monkeypatch, tmp_path):
+    """The fits are replaced by one small tree, the searches by a fixed draw."""
+    import __spark_entry__ as entry
+    from credrisk.plans import model_queries as mq
+    fit, tree = mdl.fit, mq.BY_NAME["Decision Tree"]
+    monkeypatch.setattr(mq, "_MADE", {})
+    monkeypatch.setattr(mq, "ensure_checkpoint_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(mdl, "fit", lambda cfg, train: fit(tree, train))
+    monkeypatch.setattr(mdl, "random_search", lambda cfg, train, done, record: (fit(tree, train), {"max_depth": 6}, []))
+    queries, names, smoke = entry.queries(), {c.name for c in mdl.CONFIGS}, "/root/testdata/sf0.001"
+    rows = queries["results_all"](spark, smoke).collect()
+    assert len(names) == 13 and {r.model for r in rows} == names
+    assert {(r.model, r.name, r.value) for r in rows if r.kind == "best_param"} == {(c.name, "max_depth", "6") for c in mdl.CONFIGS if c.search}
+    assert {r.model for r in queries["top_importances_all"](spark, smoke).collect()} == names
+    assert {(r.model, r.status) for r in queries["model_registry_all"](spark, smoke).collect()} == {(n, "loaded") for n in names} | {("Missing Model", "failed")}
+    assert [r.model for r in queries["failed_artifacts_all"](spark, smoke).collect()] == ["Missing Model"]
+
+
+def test_neighbours_of_all_embeddings(spark, tmp_path):
+    from credrisk.plans.catalog import QUERIES, load_all
+    load_all()
+    x = clustered(600).tolist()
+    rows = [(i, v) for i, v in enumerate(x)] + [(600, None), (601, [float("nan")] * 20), (602, [None] * 20), (603, [1.0] * 3), (604, x[0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["embedding_neighbours"](spark, str(tmp_path)).collect()
+    assert len(got) == 600 and {r.n_neighbours for r in got} == {5}
