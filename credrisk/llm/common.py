@@ -36,3 +36,11 @@ def ascii_lower(text: Column) -> Column:
 def hash_pair(prefix: str, value: Column) -> list[Column]:
     """Two differently seeded 64-bit hashes: a 128-bit identity for grouping."""
     return [F.xxhash64(value).alias(f"{prefix}1"), F.xxhash64(F.lit(prefix), value).alias(f"{prefix}2")]
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression for the unsigned CRC-32 of an ASCII or UTF-8 string: eight shifts a byte."""
+    bit = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda o: ('0x' || o)::BIGINT)"
+    step = f"list_reduce(range(8), lambda a, b: {bit.format('a')}, xor(c, o))"
+    return f"xor(list_reduce({octets}, lambda c, o: {step}, 4294967295::BIGINT), 4294967295)"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import ann, bpe, decontaminate, language_id, line_dedup, secret_scan, simhash, suffix_dedup, token_counts, weak_labels
+from . import ann, bpe, decontaminate, language_id, line_dedup, secret_scan, simhash, spelling, suffix_dedup, token_counts, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,3 +110,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every whole text by byte_bpe_50k.json, as digests."""
     return bpe.encode_digests(texts(spark, sf_dir), tokenizer("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+@register("op11_spelling_variants", spelling.SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 5+ characters and 3+ occurrences, with the commoner word one edit away and the end of that chain."""
+    return spelling.spelling_variants(texts(spark, sf_dir), min_chars=5, min_count=3, slip=97)
