@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import ann, bpe, decontaminate, language_id, line_dedup, secret_scan, simhash, spelling, suffix_dedup, token_counts, weak_labels
+from . import ann, bpe, decontaminate, language_id, line_dedup, merkle, secret_scan, simhash, spelling, suffix_dedup, token_counts, weak_labels
+from .common import ascii_lower
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +117,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of 5+ characters and 3+ occurrences, with the commoner word one edit away and the end of that chain."""
     return spelling.spelling_variants(texts(spark, sf_dir), min_chars=5, min_count=3, slip=97)
+
+
+@register("op12_merkle_manifest", merkle.SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; every fifth or so is checked with a lower-cased text."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = merkle.manifest(table(spark, sf_dir, "documents").select(*columns), columns,
+                          tampered={"text": F.when(hit, ascii_lower(F.col("text"))).otherwise(F.col("text"))})
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+                      "folded_root", "verified")
