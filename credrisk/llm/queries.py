@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import ann, bpe, decontaminate, language_id, line_dedup, merkle, secret_scan, simhash, spelling, suffix_dedup, token_counts, weak_labels
+from . import ann, bpe, decontaminate, language_id, line_dedup, merkle, secret_scan, simhash, spelling, suffix_dedup, token_counts, url_filter, weak_labels
 from .common import ascii_lower
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                           tampered={"text": F.when(hit, ascii_lower(F.col("text"))).otherwise(F.col("text"))})
     return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
                       "folded_root", "verified")
+
+
+@register("op13_url_filter", url_filter.SQL)
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule, template and verdict of every page's url."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).withColumnRenamed("id", "page_id")
