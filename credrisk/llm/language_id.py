@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import uuid
 from dataclasses import dataclass
 
@@ -29,11 +30,16 @@ from .pretokens import per_worker
 
 BLOCK = 512          # bytes parsed before a new phrase is begun
 LOCKSTEP = 4096      # blocks parsed together
-LETTER = re.compile(r"[^\W\d_]")
+WORD_CHARACTER = re.compile(r"[^\W\d_]")   # letters, and numbers such as ½ or Ⅷ
 UNSEEN_BITS = 8.0    # on top of a phrase, for a byte that a sample never holds
 UNDETERMINED = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of category L occurs (as ``\\p{L}`` in Spark)."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in WORD_CHARACTER.finditer(text))
+
+
 def suffix_automaton(texts: list[bytes]) -> list[dict[int, int]]:
     """Transitions of the automaton of all substrings of the texts; state 0 is the root."""
     edges, link, length = [{}], [-1], [0]
@@ -156,7 +162,7 @@ class Model:
                 out[k] = (self.languages[b], float(1 - row[b] / rest.min()) if len(rest) else 1.0)
 
         for k, text in enumerate(texts):
-            if not self.languages or not text or not LETTER.search(text):
+            if not self.languages or not text or not has_letter(text):
                 continue
             pending.append((k, text.lower().encode("utf-8")))
             size += len(pending[-1][1])
@@ -172,10 +178,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         docs_per_language: int = 48, bytes_per_language: int = 16_384, max_total_bytes: int = 1 << 18) -> Model:
     """Build the automata from a bounded, seeded sample of the labelled rows.
 
-    At most ``docs_per_language`` documents per language (smallest hashes of their
-    ids) give at most ``bytes_per_language`` bytes, an equal share of each; all languages
-    together keep to ``max_total_bytes``, which bounds the broadcast table.  Rows
-    with a null id, text or language and texts without letters teach nothing.
+    At most ``docs_per_language`` documents per language (smallest hashes of their ids) give one
+    piece each, from a place that the hash chooses anywhere in the text, so that openings and
+    footers which many texts share don't stand for the language; equal pieces count once.  The pieces of a
+    language have ``bytes_per_language`` bytes at most, and those of all languages
+    ``max_total_bytes``, which bounds the broadcast table: with more than ``max_total_bytes /
+    bytes_per_language`` languages each gets an equal share of it.  Rows with a null id, text or
+    language and texts without letters teach nothing.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         "id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
@@ -183,19 +192,21 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     # written: its few rows are then known to be few, and the join need not shuffle the texts
     chosen = materialise(rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(
         F.col("k") <= docs_per_language).select("id", "lang").distinct(), "language-sample")
-    share = bytes_per_language // docs_per_language * 4
-    picked = rows.join(chosen, ["id", "lang"]).select("lang", "id", F.left("text", F.lit(share)).alias("text"))
-    order = Window.partitionBy("lang").orderBy("id", "text")
+    share = max(1, bytes_per_language // docs_per_language)
+    room = F.greatest(F.length("text") - share, F.lit(0)) + 1
+    piece = F.substr("text", (F.pmod(F.xxhash64("id", "text", F.lit(11)), room) + 1).cast("int"), F.lit(share))
+    picked = rows.join(chosen, ["id", "lang"]).select("lang", "id", piece.alias("piece"))
+    order = Window.partitionBy("lang").orderBy("id", "piece")
     picked = picked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_language).orderBy("lang", "k")
     samples: dict[str, list[bytes]] = {}
     for r in picked.collect():
-        samples.setdefault(r.lang, []).append(r.text.lower().encode("utf-8"))
+        samples.setdefault(r.lang, []).append(r.piece.lower().encode("utf-8"))
     limit = min(bytes_per_language, max_total_bytes // max(1, len(samples)))
-    for lang, texts in samples.items():
-        kept, room = [], limit
-        for k, t in enumerate(sorted(texts, key=len)):
-            kept.append(t[:room // (len(texts) - k)])
-            room -= len(kept[-1])
+    for lang, pieces in samples.items():
+        kept, left, pieces = [], limit, sorted(set(pieces), key=lambda t: (len(t), t))
+        for k, t in enumerate(pieces):
+            kept.append(t[:left // (len(pieces) - k)])
+            left -= len(kept[-1])
         samples[lang] = kept
     return Model.build(samples)
 
@@ -205,7 +216,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Edge cases: a null text, an empty one and one without letters give ``und`` and
     score 0, as does every text if nothing was learned; with one language the
-    score is 1; ties go to the first name; repeated rows give repeated results.
+    score is 1; ties go to the first name; repeated rows give repeated results; a very
+    long text is parsed whole, in blocks; extra columns of any name are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
