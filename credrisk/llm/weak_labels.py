@@ -139,14 +139,18 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], passes: int = 20, ra
     return w, b
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            sample_docs: int = 4000, sample_bytes: int = 1 << 16) -> DataFrame:
     """``id``, ``votes`` (one letter per labeller), ``posterior`` of the label model, ``score`` of the trained
     scorer (0 to 1, good is high) and ``keep`` (score of at least 0.5) per input row.
 
-    The label model counts all documents; the scorer is fitted on about ``sample_docs`` of
-    them, a bounded sample.  Edge cases: null and empty texts have no words, are voted on
-    like any other and score 0; repeated rows give repeated results; a null id stays null; an empty
-    table gives no rows.
+    The label model counts all documents; the scorer is fitted on a bounded sample: about
+    ``sample_docs`` of them, chosen by the hash of id and text among those of at most
+    ``sample_bytes`` bytes, and put in the order of that hash, so that the layout of the table
+    doesn't matter.  Edge cases: null and empty texts have no words, are voted on
+    like any other and score 0; a very long text is voted on and scored whole; a score of exactly
+    0.5 is kept; repeated rows give repeated results; a null id stays null; extra columns of any name
+    are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -160,23 +164,26 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
         return pd.Series(out, dtype="object")
 
     voted = materialise(rows.select("id", vote("text").alias("votes")), "votes")
-    patterns = {r.votes: r["count"] for r in voted.groupBy("votes").count().collect()}
+    patterns = {r.votes: r["count"] for r in voted.groupBy("votes").count().orderBy("votes").collect()}
     _, posterior = accuracies(patterns)
     total = sum(patterns.values())
     model, bias = np.zeros(SLOTS), 0.0
     if total:
-        sample = rows.sample(fraction=min(1.0, sample_docs / total), seed=42).select("text").where("text <> ''")
+        span, place = 1 << 31, F.pmod(F.xxhash64("id", "text"), F.lit(1 << 31))
+        sample = rows.where("text <> ''").where(F.octet_length("text") <= sample_bytes).select(place.alias("place"), "text").where(
+            F.col("place") < int(span * min(1.0, sample_docs / total)))
 
         def taught(batches):
             for batch in batches:
                 out = []
-                for t in batch["text"]:
+                for place, t in zip(batch["place"], batch["text"], strict=True):
                     facts = Facts(t)
                     at, x = hashed(facts)
-                    out.append((at, x, posterior["".join(label(facts) for label in LABELLERS)]))
-                yield pd.DataFrame(out, columns=["at", "x", "target"])
+                    out.append((place, at, x, posterior["".join(label(facts) for label in LABELLERS)]))
+                yield pd.DataFrame(out, columns=["place", "at", "x", "target"])
 
-        picked = sample.mapInPandas(taught, "at array<long>, x array<double>, target double").collect()
+        picked = sample.mapInPandas(taught, "place long, at array<long>, x array<double>, target double").collect()
+        picked.sort(key=lambda r: (r.place, r.at, r.x))
         model, bias = train([(np.array(r.at), np.array(r.x), r.target) for r in picked])
     shared, key = spark.sparkContext.broadcast((model, bias, posterior)), uuid.uuid4().hex
 
