@@ -71,6 +71,17 @@ def known(run: str) -> list[tuple[int, int]]:
     return out
 
 
+def covered(spans: list[tuple[int, int]], by: list[tuple[int, int]]) -> list[bool]:
+    """For each span, whether one of ``by`` holds it; both are sorted by start and read once."""
+    out, k, reach = [], 0, -1
+    for s, e in spans:
+        while k < len(by) and by[k][0] <= s:
+            reach = max(reach, by[k][1])
+            k += 1
+        out.append(e <= reach)
+    return out
+
+
 def words_only(span: str, size: int) -> bool:
     """Letters with the pairs of words in every window: words and identifiers, not random letters."""
     if not LETTERS.fullmatch(span):
@@ -94,12 +105,13 @@ class Scanner:
 
     def assigned(self, text: str) -> list[tuple[int, int]]:
         """The pattern never crosses a line and needs ':' or '=', so only such lines are searched."""
-        out, at = [], 0
+        out, at, marks = [], 0, {c: text.find(c) for c in ":="}
         while True:
-            marks = [p for p in (text.find(":", at), text.find("=", at)) if p >= 0]
-            if not marks:
+            marks = {c: p if p >= at else text.find(c, at) for c, p in marks.items() if p >= 0}
+            ahead = [p for p in marks.values() if p >= 0]
+            if not ahead:
                 return out
-            lo, hi = max(at, text.rfind("\n", 0, min(marks)) + 1), text.find("\n", min(marks))
+            lo, hi = max(at, text.rfind("\n", at, min(ahead)) + 1), text.find("\n", min(ahead))
             hi = len(text) if hi < 0 else hi
             out += [m.span() for m in ASSIGN.finditer(text, lo, hi) if len(m[1]) >= 6]
             at = hi
@@ -137,16 +149,17 @@ class Scanner:
                 run = m[0]
                 if spans := self.windows(run, c.window, c.bits):
                     allowed = known(run)
-                    found += [(m.start() + s, KINDS.index(c.kind), m.start() + e) for s, e in spans
-                              if not (NUMBERS.fullmatch(run, s, e) or words_only(run[s:e], c.window)
-                                      or any(a <= s and e <= b for a, b in allowed))]
+                    inside = covered(spans, allowed)
+                    found += [(m.start() + s, KINDS.index(c.kind), m.start() + e) for (s, e), held in zip(spans, inside, strict=True)
+                              if not (held or NUMBERS.fullmatch(run, s, e) or words_only(run[s:e], c.window))]
         return found
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans, and base spans with the method's; a span inside a base span adds nothing."""
         base = self.base(text)
-        added = [x for x in self.random_looking(text) if not any(s <= x[0] and x[2] <= e for s, _, e in base)]
-        return base, sorted({*base, *added})
+        added = sorted(self.random_looking(text))
+        inside = covered([(s, e) for s, _, e in added], [(s, e) for s, _, e in base])
+        return base, sorted({*base, *(x for x, held in zip(added, inside, strict=True) if not held)})
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -158,7 +171,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``n_assign``, ``n_access``, ``n_hex``, and the texts ``base`` and ``spans`` (kind:start:end by start, then kind).
 
     Edge cases: a null text is empty; an empty one has no spans and empty texts; repeated
-    rows give repeated results; a null id stays null; an empty table gives no rows.
+    rows give repeated results; a very long text is scanned whole, in time proportional to its length and
+    spans; a null id stays null; extra columns of any name are ignored; an empty table gives no rows.
     """
     scanner = Scanner()
 
