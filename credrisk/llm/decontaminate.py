@@ -7,7 +7,9 @@ always shares a kept gram.  Kept grams of the documents first meet a bit table o
 the benchmark's grams, whose size is fixed whatever the benchmark holds; the
 survivors carry the words around them and are joined with the benchmark's grams.
 Each distinct (gram, context) is extended to both sides once: a run of ``span``
-equal words or more is a hit.  Hits go back to the documents by a join.
+equal words or more is a hit.  A gram with many surroundings in the benchmark (a
+template's words) isn't extended against all of them: there the windows that
+hold the gram are joined by their whole words.  Hits go back to the documents by a join.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,7 @@ from .pretokens import per_worker
 # A-Z lower-cased; everything below 0x80 but digits and letters separates words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 SLOTS = 1 << 24
+MANY = 16            # surroundings of a benchmark gram beyond which its windows are joined by their words
 HIT = "array<struct<size:int,gram:long,pos:int,lead:int,context:string>>"
 
 
@@ -136,6 +139,17 @@ def extend(size: pd.Series, lead: pd.Series, context: pd.Series, item_lead: pd.S
     return pd.DataFrame(out, columns=["back", "ahead"]).astype("Int32")
 
 
+def windows_around(size: str, lead: str, context: str) -> Column:
+    """The windows of ``size`` words that hold the gram at word ``lead`` of a context: their words, and how many
+    of them come before the gram and from its start on (exploded as ``window``)."""
+    words, n, at = F.split(F.col(context), " "), F.col(size), F.col(lead)
+    first = F.greatest(at + F.floor((n + 1) / 2) - n, F.lit(0)).cast("int")   # the gram's words end inside the window
+    last = F.least(at, F.size(words) - n).cast("int")
+    starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.explode(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("words"),
+                                                            (at - i).alias("back"), (n - at + i).cast("int").alias("ahead")))).alias("window")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", span: int = 10) -> DataFrame:
     """``id``, ``n_words``, ``n_hit``, ``items`` (sorted array of item ids as strings) and
@@ -144,7 +158,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Edge cases: null texts and texts without words have no words and no hits; an
     item without words is never found; items with equal texts are all named; an item
     without id marks words and isn't named; repeated rows give repeated results;
-    with an empty benchmark every document is clean.
+    a very long text is scanned whole, with the texts of its group of 2 MB; extra columns of any name
+    are ignored; with an empty benchmark every document is clean.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
     sized = materialise(grams(items, []).select("n_words").distinct(), "item-sizes")
@@ -157,13 +172,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                        .withColumn("row", F.monotonically_increasing_id()), "document-grams")
     place = ["size", "gram", "lead", "context"]
     hits = rows.select("row", F.explode("hits").alias("h")).select("row", "h.*")
-    windows = bench.select("size", "gram", "item_lead", "item_context").distinct()
-    runs = (hits.select(*place).distinct().join(windows, ["size", "gram"])
-            .withColumn("run", extend("size", "lead", "context", "item_lead", "item_context"))
-            .where("run.ahead is not null").select(*place, "item_lead", "item_context", "run"))
-    named = runs.join(bench, ["size", "gram", "item_lead", "item_context"]).groupBy(*place).agg(
-        F.max("run.back").alias("back"), F.max("run.ahead").alias("ahead"),
-        F.collect_set(F.struct("run.back", "run.ahead")).alias("runs"), F.collect_set("item").alias("items"))
+    around = bench.groupBy("size", "gram", "item_lead", "item_context").agg(F.collect_set("item").alias("items"))
+    spread = around.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("contexts"))
+    met = hits.select(*place).distinct().join(spread, ["size", "gram"])
+    rare = met.where(F.col("contexts") <= MANY).join(around, ["size", "gram"]).withColumn(
+        "run", extend("size", "lead", "context", "item_lead", "item_context")).where("run.ahead is not null")
+    crowded = around.join(spread.where(F.col("contexts") > MANY), ["size", "gram"])
+    held = (crowded.select("size", "gram", "items", windows_around("size", "item_lead", "item_context"))
+            .groupBy("size", "gram", "window.words").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+    equal = (met.where(F.col("contexts") > MANY).select(*place, windows_around("size", "lead", "context"))
+             .select(*place, "window.words", F.struct("window.back", "window.ahead").alias("run")).join(held, ["size", "gram", "words"]))
+    named = rare.select(*place, "run", "items").union(equal.select(*place, "run", "items")).groupBy(*place).agg(
+        F.collect_set("run").alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     per_row = hits.join(named, place).groupBy("row").agg(
         F.flatten(F.collect_list(F.expr("transform(runs, r -> named_struct('start', pos - r.back, 'end', pos + r.ahead))"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
