@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -64,6 +65,8 @@ def test_line_dedup(spark, corpus):
     got = [(r.doc.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert out.select("doc.*").columns == table(spark, []).columns
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("split(") < plan.index("Join LeftOuter")  # texts are cut above the join that moves them
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
@@ -108,6 +111,18 @@ def test_simhash(spark, corpus):
         assert pairs == {(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) % 2**64).bit_count() <= bits}
 
 
+def test_chain_budgets_prune_before_the_hamming_check(spark):
+    rng = random.Random(8)
+    near = [simhash.signed((0x0123456789ABCDEF ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9)))) % 2**64) for _ in range(3000)]
+    prints = spark.createDataFrame([(x,) for x in set(near)], "fp long")
+    met = simhash.candidates(prints)
+    pruned = met.where(simhash.within_chain(2, 8))
+    linked = pruned.where(F.bit_count("diff") <= 2)
+    sizes = [d.select("a", "b").distinct().count() for d in (met, pruned, linked)]
+    assert sizes[0] > 1.2 * sizes[1] > 1.2 * sizes[2] > 0
+    assert len(simhash.chain_keys(2, 8)) == 16 and all(m.bit_count() == 32 for m, _ in simhash.chain_keys(2, 8))
+
+
 def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(0, 300)] + [(1000, 2000 + k) for k in range(50)] + [(5000, 5000)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -241,6 +256,26 @@ def test_decontamination(spark, corpus):
     assert decontaminate.contamination(table(spark, corpus), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_templated_benchmark_makes_no_pairs_of_contexts(spark):
+    words = [f"w{k}" for k in range(3000)]
+    rng = random.Random(12)
+    template = "which of the following is"
+    items = [(k, " ".join(rng.choices(words, k=8)) + f" {template} " + " ".join(rng.choices(words, k=8))) for k in range(300)]
+    docs = [(k, " ".join(rng.choices(words, k=8)) + f" {template} " + " ".join(rng.choices(words, k=8))) for k in range(900)]
+    docs += [(1000 + k, "x " + " ".join(t.split()[3:13]) + " y") for k, t in items[::50]] + [(2000 + k, "x " + " ".join(t.split()[4:12]) + " y") for k, t in items[::50]]
+    docs += [(3000, items[7][1]), (3001, items[8][1].upper())]
+    out = {r.id: r for r in decontaminate.contamination(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(out[k].n_hit == 0 for k in range(900)) and all(out[2000 + k].n_hit == 0 for k, _ in items[::50])
+    assert all((out[1000 + k].n_hit, list(out[1000 + k]["items"])) == (10, [str(k)]) for k, _ in items[::50])
+    assert (out[3000].n_hit, out[3001].n_hit, list(out[3001]["items"])) == (21, 21, ["8"])
+
+
+@pytest.mark.parametrize("many", [0, 1])
+def test_decontamination_with_every_gram_crowded(spark, corpus, monkeypatch, many):
+    monkeypatch.setattr(decontaminate, "MANY", many)
+    test_decontamination(spark, corpus)
+
+
 def test_language_id(spark, corpus):
     rng = random.Random(4)
     for _ in range(40):
@@ -281,6 +316,23 @@ def test_language_with_little_text_wins_nothing_else(spark):
     assert language_id.Model.build({"en": [english.lower().encode()], "empty": [b""]}).predict(docs[:1])[0][0] == "en"
 
 
+def test_numbers_are_no_letters(spark):
+    model = language_id.fit(spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr"), (3, "½ ² Ⅷ", "number")], "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "fr"]
+    texts = ["½ ² 12", "Ⅷ", "① ②", "_ 9 ٣", "½ x", "ª"]
+    assert [x == "und" for x, _ in model.predict(texts)] == [True] * 4 + [False] * 2
+    assert [language_id.has_letter(t) for t in texts] == [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(r"\p{L}")).collect()]
+
+
+def test_language_id_learns_past_a_shared_opening(spark):
+    header = "Copyright notice. All rights reserved by the publisher and its licensors; see the terms of use for more. " * 6
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", F.concat(F.lit(header), "text").alias("text"))
+    model = language_id.fit(docs.where("doc_id % 3 <> 1"))
+    out = language_id.identify(docs.where("doc_id % 3 = 1 and length(text) > 1200"), model).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
+    right, n = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert right >= 0.95 and n > 100
+
+
 def test_language_id_held_out_accuracy(spark):
     out = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     r = out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.min("score"), F.max("score"), F.count("*")).first()
@@ -311,6 +363,17 @@ def test_secret_scan(spark):
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
 
 
+def test_secret_scan_takes_time_in_proportion(spark):
+    scanner, rng = secret_scan.Scanner(), random.Random(3)
+    text = " ".join(f"token={rng.getrandbits(128):032x}{k}" for k in range(40_000)) + "\nx: y" * 100_000
+    started = time.process_time()
+    base, spans = scanner.scan(text)
+    assert len(base) == 80_000 and set(base) <= set(spans) and time.process_time() - started < 10
+    rows = [(1, text), (1, text), (1, "token=abcdef0")]
+    got = secret_scan.scan_secrets(table(spark, rows)).collect()
+    assert sorted(r.n_assign for r in got) == [1, 40_000, 40_000]
+
+
 def test_allowed_text_excuses_only_itself():
     scanner, rng = secret_scan.Scanner(), random.Random(6)
     token = "ghp_a8Kx92LmQ0zRt7VbN4cYp1WsEd6F"
@@ -352,6 +415,12 @@ def test_quality(spark):
     assert weak_labels.quality(empty(spark)).count() == 0
 
 
+def test_quality_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, other = (sorted((r.id, r.votes, r.score, r.keep) for r in weak_labels.quality(d).collect()) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == other
+
+
 def test_quality_follows_the_labels(spark):
     out = queries.op6_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     assert out.agg(F.avg((F.col("keep") == (F.col("quality") == 1)).cast("double"))).first()[0] > 0.95
