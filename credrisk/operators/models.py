@@ -1,9 +1,9 @@
 """Model training, tuning, scoring and importances on MLlib (C1–C13, L1–L9,
 E10, M10–M12).
 
-Fits are MLlib jobs (tree aggregation on the executors); independent fits run from
-a thread pool, so that their jobs share the executors.  XGBoost is not available
-here: ``GBTClassifier`` stands in with the closest settings (see README).
+Fits are MLlib jobs (tree aggregation on the executors) or the histogram boosting of
+:mod:`credrisk.operators.boosting`, which grows all fits of a search together; independent
+fits run from a thread pool, so that their jobs share the executors.
 """
 
 from __future__ import annotations
@@ -28,35 +28,32 @@ from pyspark.sql import functions as F
 from ..schema import (CAT_COLS, GROUP_BASELINE, GROUP_IMBALANCE, GROUP_TUNED, N_FOLDS, SEED, SMOTE_RATIO,
                       THRESHOLD_BASELINE, THRESHOLD_REBALANCED)
 from ..session import cut_lineage
-from .evaluation import confusion_counts, metrics_from_counts
+from .boosting import BLOCK_ROWS, BoostedTreesModel, Fit, boost
 from .prep import linear_preparation, preparation, tree_preparation
-from .smote import InfeasibleRatio, knn_lists, smote
+from .smote import InfeasibleRatio, class_sizes, knn_lists, smote, synthetic_rows
 
 # Estimator settings of the thirteen configurations.
 FOREST_TREES = 200
 FOREST_MAX_DEPTH = 30          # MLlib allows no more; the reference leaves it unlimited
 GBT_DEFAULT = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
-XGB_BASELINE = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8,
-                "featureSubsetStrategy": "0.8"}
+XGB_BASELINE = {"trees": 300, "rate": 0.05, "depth": 5, "rows": 0.8, "columns": 0.8}
 # the boosting library's own defaults (100 rounds, depth 6, rate 0.3)
-XGB_DEFAULT = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}
+XGB_DEFAULT = {"trees": 100, "depth": 6, "rate": 0.3}
 TREE_DEPTH = 6
 LR_MAX_ITER = 1000
-# Random-search spaces, in the reference's list order.  Estimator names map as
-# n_estimators→maxIter, max_depth→maxDepth, learning_rate→stepSize,
-# subsample→subsamplingRate, colsample_bytree→featureSubsetStrategy (per node
-# here), gamma→gamma (see classifier), sampling_strategy→smote_ratio.
+# Random-search spaces, in the reference's list order.  Settings are named as in
+# :class:`credrisk.operators.boosting.Fit`; smote_ratio is the minority / majority ratio.
 SMOTE_SEARCH = {"smote_ratio": [0.3, 0.4, 0.5, 0.6, 0.8, 0.9],
-                "maxIter": [50, 100, 200, 300, 500, 800],
-                "maxDepth": [2, 3, 4, 6],
-                "stepSize": [0.01, 0.05, 0.02, 0.03, 0.1],
-                "subsamplingRate": [0.5, 0.6, 0.7, 0.8],
-                "featureSubsetStrategy": ["0.7", "0.8", "0.5", "0.6", "0.9", "1.0"]}
-WEIGHT_SEARCH = {"maxIter": [100, 200, 300],
-                 "maxDepth": [3, 5, 7],
-                 "stepSize": [0.01, 0.05, 0.1],
-                 "subsamplingRate": [0.7, 0.8, 1.0],
-                 "featureSubsetStrategy": ["0.7", "0.8", "1.0"],
+                "trees": [50, 100, 200, 300, 500, 800],
+                "depth": [2, 3, 4, 6],
+                "rate": [0.01, 0.05, 0.02, 0.03, 0.1],
+                "rows": [0.5, 0.6, 0.7, 0.8],
+                "columns": [0.7, 0.8, 0.5, 0.6, 0.9, 1.0]}
+WEIGHT_SEARCH = {"trees": [100, 200, 300],
+                 "depth": [3, 5, 7],
+                 "rate": [0.01, 0.05, 0.1],
+                 "rows": [0.7, 0.8, 1.0],
+                 "columns": [0.7, 0.8, 1.0],
                  "gamma": [0.0, 1.0, 5.0]}
 SEARCH_DRAWS = 20
 
@@ -66,7 +63,7 @@ class Config:
     name: str
     group: str
     prep: str                     # 'linear' | 'tree'
-    algo: str                     # 'lr' | 'dt' | 'rf' | 'gbt'
+    algo: str                     # 'lr' | 'dt' | 'rf' | 'gbt' | 'boost'
     rebalance: str = "none"       # 'none' | 'smote' | 'balanced' | 'spw'
     threshold: float = THRESHOLD_BASELINE
     params: dict = field(default_factory=dict)
@@ -78,16 +75,16 @@ CONFIGS = [
     Config("Decision Tree", GROUP_BASELINE, "tree", "dt"),
     Config("Random Forest", GROUP_BASELINE, "tree", "rf"),
     Config("Gradient Boosting", GROUP_BASELINE, "tree", "gbt", params=GBT_DEFAULT),
-    Config("XGBoost", GROUP_BASELINE, "tree", "gbt", params=XGB_BASELINE),
+    Config("XGBoost", GROUP_BASELINE, "tree", "boost", params=XGB_BASELINE),
     Config("SMOTE Logistic Regression", GROUP_IMBALANCE, "linear", "lr", "smote", THRESHOLD_REBALANCED),
     Config("SMOTE Random Forest", GROUP_IMBALANCE, "tree", "rf", "smote", THRESHOLD_REBALANCED),
-    Config("SMOTE XGBoost", GROUP_IMBALANCE, "tree", "gbt", "smote", THRESHOLD_REBALANCED, XGB_DEFAULT),
+    Config("SMOTE XGBoost", GROUP_IMBALANCE, "tree", "boost", "smote", THRESHOLD_REBALANCED, XGB_DEFAULT),
     Config("Weight Logistic Regression", GROUP_IMBALANCE, "linear", "lr", "balanced", THRESHOLD_REBALANCED),
     Config("Weight Random Forest", GROUP_IMBALANCE, "tree", "rf", "balanced", THRESHOLD_REBALANCED),
-    Config("Weight XGBoost", GROUP_IMBALANCE, "tree", "gbt", "spw", THRESHOLD_REBALANCED, XGB_DEFAULT),
-    Config("Tuned SMOTE XGBoost", GROUP_TUNED, "tree", "gbt", "smote", THRESHOLD_REBALANCED, XGB_DEFAULT,
+    Config("Weight XGBoost", GROUP_IMBALANCE, "tree", "boost", "spw", THRESHOLD_REBALANCED, XGB_DEFAULT),
+    Config("Tuned SMOTE XGBoost", GROUP_TUNED, "tree", "boost", "smote", THRESHOLD_REBALANCED, XGB_DEFAULT,
            SMOTE_SEARCH),
-    Config("Tuned Weight XGBoost", GROUP_TUNED, "tree", "gbt", "spw", THRESHOLD_REBALANCED, XGB_DEFAULT,
+    Config("Tuned Weight XGBoost", GROUP_TUNED, "tree", "boost", "spw", THRESHOLD_REBALANCED, XGB_DEFAULT,
            WEIGHT_SEARCH),
 ]
 
@@ -95,9 +92,7 @@ CONFIGS = [
 def classifier(algo: str, params: dict | None = None, weighted: bool = False, total: float | None = None):
     """An unfitted classifier for rows of summed weight ``total``.
 
-    L2 with C = 1 on the summed loss equals regParam = 1 / Σw on the mean loss.  In the
-    same way ``gamma``, a least loss reduction summed over rows, becomes minInfoGain =
-    gamma / Σw, a least gain per unit of weight.
+    L2 with C = 1 on the summed loss equals regParam = 1 / Σw on the mean loss.
     """
     params = dict(params or {})
     w = {"weightCol": "weight"} if weighted else {}
@@ -109,8 +104,7 @@ def classifier(algo: str, params: dict | None = None, weighted: bool = False, to
     if algo == "rf":
         return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_MAX_DEPTH, seed=SEED, **w)
     if algo == "gbt":
-        gamma = params.pop("gamma", 0.0)
-        return GBTClassifier(seed=SEED, minInfoGain=gamma / total if total else 0.0, **params, **w)
+        return GBTClassifier(seed=SEED, **params, **w)
     raise ValueError(algo)
 
 
@@ -141,6 +135,10 @@ def fit_rows(config: Config, rows: DataFrame, params: dict | None = None):
     """Fit the configuration's classifier on prepared rows as they will be seen: already
     resampled, or (ID, features, label) that get their weights here."""
     rows = add_weights(rows, config.rebalance) if is_weighted(config) else rows
+    if config.algo == "boost":
+        weight = F.col("weight") if is_weighted(config) else F.lit(1.0)
+        (trees, _), cuts = boost(sampled_rows(rows, [weight]), [Fit(0, **{**config.params, **(params or {})})])
+        return BoostedTreesModel.of(trees[0], cuts)
     total = rows.agg(F.sum("weight") if is_weighted(config) else F.count(F.lit(1)).cast("double")).first()[0]
     return classifier(config.algo, {**config.params, **(params or {})}, is_weighted(config), total).fit(rows)
 
@@ -220,78 +218,74 @@ def in_parallel(job: Callable, items: list, threads: int) -> list:
         pool.close()
 
 
-class Folds:
-    """Prepared rows of every fold; preparation, neighbours and each resampling are made once
-    per fold and shared by all draws."""
-
-    def __init__(self, config: Config, train: DataFrame, n_folds: int):
-        self.config, self.train, self.n_folds = config, train, n_folds
-        self._made: dict = {}
-        self._locks: dict = {}
-        self._guard = threading.Lock()
-
-    def _once(self, key, make):
-        with self._guard:
-            lock = self._locks.setdefault(key, threading.Lock())
-        with lock:
-            if key not in self._made:
-                try:
-                    self._made[key] = make()
-                except InfeasibleRatio as e:
-                    self._made[key] = e
-            return self._made[key]
-
-    def rows(self, fold: int) -> tuple[DataFrame, DataFrame]:
-        """(training rows, validation rows) of the fold."""
-        def make():
-            inside = self.train.filter(F.col("fold") != fold)
-            fitted, keep = preparation(self.config.prep).fit(inside), ["ID", "features", "label"]
-            return tuple(cut_lineage(fitted.transform(part).select(*keep)) for part in (inside, self.train.filter(F.col("fold") == fold)))
-        return self._once(("rows", fold), make)
-
-    def resampled(self, fold: int, ratio: float) -> DataFrame | InfeasibleRatio:
-        lists = self._once(("knn", fold), lambda: knn_lists(self.rows(fold)[0].filter("label = 1")))
-        return self._once(("smote", fold, ratio), lambda: resampled(self.rows(fold)[0], ratio, lists))
-
-
-def positive_f1(pred: DataFrame) -> float:
-    counts = confusion_counts(pred, [0.5])
-    return float(metrics_from_counts(counts, places=12).first()["f1"])
+def sampled_rows(rows: DataFrame, weights: list) -> DataFrame:
+    """Prepared rows (ID, features, label) as the boosting takes them, with a weight per sample.  The
+    id follows from the row itself, so what is drawn does not depend on the layout."""
+    x = vector_to_array("features")
+    return rows.select(F.xxhash64("ID", x).alias("id"), x.alias("x"), "label", F.array(*[w.cast("float") for w in weights]).alias("weights"))
+
+
+def search_rows(config: Config, rows: DataFrame, n_folds: int, ratios: list[float], threads: int):
+    """Rows (ID, features, label, fold) with their weight in every sample of a search, and the samples as
+    {(fold, ratio): number}; fold None is all rows, a ratio that is not above its fold's current one has
+    no sample.  Neighbours and synthetic rows are made once per fold, for its largest ratio."""
+    folds = [None, *range(n_folds)]
+    part = {f: rows if f is None else rows.filter(F.col("fold") != f) for f in folds}
+    if config.rebalance != "smote":
+        n_pos, n_neg = class_sizes(rows)
+        weight = F.when(F.col("label") == 1, n_neg / max(1, n_pos)).otherwise(1.0)
+        return sampled_rows(rows, [weight if f is None else F.when(F.col("fold") == f, -1.0).otherwise(weight) for f in folds]), {
+            (f, None): k for k, f in enumerate(folds)}
+    sizes = dict(zip(folds, in_parallel(lambda f: class_sizes(part[f]), folds, threads)))
+    wanted = {(f, r): int(r * sizes[f][1]) - sizes[f][0] for f in folds for r in ratios}
+    samples = {fr: k for k, fr in enumerate(fr for fr, n in wanted.items() if n > 0 and sizes[fr[0]][0])}
+    original = sampled_rows(rows, [F.lit(1.0) if f is None else F.when(F.col("fold") == f, -1.0).otherwise(1.0) for f, _ in samples])
+
+    def oversampled(f):
+        minority = part[f].filter("label = 1").select("ID", "features")
+        most = max(wanted[f, r] for r in ratios)
+        new = synthetic_rows(minority, sizes[f][0], most, knn_lists(minority))
+        return cut_lineage(sampled_rows(new.withColumn("label", F.lit(1.0)), [
+            F.when(F.col("number") <= wanted[g, r], 1.0).otherwise(0.0) if g == f else F.lit(0.0) for g, r in samples]))
+
+    every = original
+    for new in in_parallel(oversampled, [f for f in folds if any((f, r) in samples for r in ratios)], threads):
+        every = every.unionByName(new)
+    return every, samples
 
 
 def random_search(config: Config, train: DataFrame, n_draws: int = SEARCH_DRAWS, n_folds: int = N_FOLDS,
-                  threads: int = 8, done: dict | None = None, record: Callable | None = None, draws: list | None = None):
+                  threads: int = 8, draws: list | None = None, block_rows: int = BLOCK_ROWS):
     """Randomized search over stratified folds (``fold`` column), scored by positive-class F1
     at 0.5.  SMOTE draws resample inside each training fold only; a draw whose ratio is not
     above the fold's current one scores 0 there.
 
-    ``done`` holds results of an earlier run as {(draw, fold): F1}; ``record(draw, fold, f1)``
-    is called for each new one, so an interrupted search can go on.  Returns (model refitted on
-    all training rows, best parameters, [(parameters, mean F1)]).
+    All draws grow together on all folds, and on all training rows, so that the best draw's final
+    model is at hand.  Returns (model of all training rows, best parameters, [(parameters, mean F1)]).
     """
     draws = sample_param_maps(config.search, n_draws) if draws is None else draws
-    folds, scores = Folds(config, train, n_folds), dict(done or {})
-
-    def one(job: tuple[int, int]) -> None:
-        draw, fold = job
-        params = {k: v for k, v in draws[draw].items() if k != "smote_ratio"}
-        rows, held = folds.rows(fold)
-        if config.rebalance == "smote":
-            rows = folds.resampled(fold, float(draws[draw]["smote_ratio"]))
-        f1 = 0.0 if isinstance(rows, InfeasibleRatio) else positive_f1(with_probability(fit_rows(config, rows, params).transform(held)))
-        scores[job] = f1
-        if record:
-            record(draw, fold, f1)
-
-    in_parallel(one, [j for j in itertools.product(range(len(draws)), range(n_folds)) if j not in scores], threads)
-    mean = [sum(scores[d, f] for f in range(n_folds)) / n_folds for d in range(len(draws))]
-    best = max(range(len(draws)), key=lambda d: mean[d])
-    fitted = preparation(config.prep).fit(train)
-    rows = cut_lineage(fitted.transform(train).select("ID", "features", "label"))
-    if config.rebalance == "smote":
-        rows = resampled(rows, float(draws[best]["smote_ratio"]))
-    chosen = fit_rows(config, rows, {k: v for k, v in draws[best].items() if k != "smote_ratio"})
-    return PipelineModel(stages=[*fitted.stages, chosen]), draws[best], list(zip(draws, mean))
+    fitted = preparation(config.prep).fit(train)  # learns the category levels only, no label
+    rows = cut_lineage(fitted.transform(train).select("ID", "features", "label", "fold"))
+    every, samples = search_rows(config, rows, n_folds, sorted({float(d["smote_ratio"]) for d in draws if "smote_ratio" in d}), threads)
+    jobs = {}
+    for d, draw in enumerate(draws):
+        settings = {**config.params, **{k: v for k, v in draw.items() if k != "smote_ratio"}}
+        for f in (None, *range(n_folds)):
+            sample = samples.get((f, float(draw["smote_ratio"]) if "smote_ratio" in draw else None))
+            if sample is not None:
+                jobs[d, f] = Fit(sample, **settings)
+    if not any(f is None for _, f in jobs):
+        raise InfeasibleRatio("no draw has a ratio above the current minority ratio")
+    (forests, judged), cuts = boost(cut_lineage(every), list(jobs.values()), block_rows=block_rows)
+    forest, counts = dict(zip(jobs, forests)), dict(zip(jobs, judged.tolist()))
+
+    def f1(d: int, f: int) -> float:
+        tp, fp, fn = counts.get((d, f), (0, 0, 0))
+        return 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+
+    mean = [sum(f1(d, f) for f in range(n_folds)) / n_folds for d in range(len(draws))]
+    best = max((d for d in range(len(draws)) if (d, None) in jobs), key=lambda d: mean[d])
+    return PipelineModel(stages=[*fitted.stages, BoostedTreesModel.of(forest[best, None], cuts)]), draws[best], list(zip(draws, mean))
 
 
 # --- importances -------------------------------------------------------------------------

@@ -137,6 +137,12 @@ def knn_lists(minority: DataFrame, k: int = SMOTE_K, seed: int = SEED, trees: in
     return cut_lineage(distinct.join(best, "vid", "left").select("x", F.slice(F.concat(own, others), 1, k).alias("nn")))
 
 
+def class_sizes(df: DataFrame, label: str = "label") -> tuple[int, int]:
+    """(minority rows, majority rows): labels 1 and 0."""
+    counts = {int(r[label]): int(r["n"]) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return counts.get(1, 0), counts.get(0, 0)
+
+
 def smote(df: DataFrame, ratio: float, k: int = SMOTE_K, seed: int = SEED,
           label: str = "label", key: str = "ID", lists: DataFrame | None = None) -> DataFrame:
     """Original rows plus synthetic minority rows (label 1), ``synthetic`` flag.
@@ -144,15 +150,22 @@ def smote(df: DataFrame, ratio: float, k: int = SMOTE_K, seed: int = SEED,
     ``lists`` are the neighbours of the minority rows if they are known already.
     Raises InfeasibleRatio when ``ratio`` is not above the current one.
     """
-    counts = {int(r[label]): int(r["n"]) for r in
-              df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_min, n_maj = counts.get(1, 0), counts.get(0, 0)
+    n_min, n_maj = class_sizes(df, label)
     n_new = int(ratio * n_maj) - n_min
     if n_new <= 0 or n_min == 0:
         raise InfeasibleRatio(f"SMOTE ratio {ratio} is not above the current minority ratio "
                               f"{n_min / max(n_maj, 1):.4f}: nothing to oversample")
     minority = df.filter(F.col(label) == 1)
     lists = knn_lists(minority, k, seed) if lists is None else lists
+    new = synthetic_rows(minority, n_min, n_new, lists, seed, key).select(
+        F.lit(None).cast(df.schema[key].dataType).alias(key), "features", F.lit(1).cast(df.schema[label].dataType).alias(label),
+        F.lit(True).alias("synthetic"))
+    return df.withColumn("synthetic", F.lit(False)).select(key, "features", label, "synthetic").unionByName(new)
+
+
+def synthetic_rows(minority: DataFrame, n_min: int, n_new: int, lists: DataFrame, seed: int = SEED, key: str = "ID") -> DataFrame:
+    """(key of the origin, features, number): ``n_new`` new rows numbered from 1.  Fewer rows are the
+    same rows up to a smaller number, so one table serves every ratio."""
     h = minority.withColumn("_h", seeded_hash(key, seed)).withColumn("_one", F.lit(1).cast("long"))
     ranked = running_sums(h, [("_h", True), (key, True)], ["_one"],
                           bucket=F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
@@ -165,8 +178,5 @@ def smote(df: DataFrame, ratio: float, k: int = SMOTE_K, seed: int = SEED,
     pick = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("c")), F.size("nn")) + 1
     lam = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("c")), F.lit(1 << 30)) / float(1 << 30)
     nn = F.element_at("nn", pick.cast("int"))
-    new = rows.select(F.lit(None).cast(df.schema[key].dataType).alias(key),
-                      array_to_vector(F.zip_with("x", nn, lambda a, b: a + lam * (b - a))).alias("features"),
-                      F.lit(1).cast(df.schema[label].dataType).alias(label),
-                      F.lit(True).alias("synthetic"))
-    return df.withColumn("synthetic", F.lit(False)).select(key, "features", label, "synthetic").unionByName(new)
+    return rows.select(key, array_to_vector(F.zip_with("x", nn, lambda a, b: a + lam * (b - a))).alias("features"),
+                       ((F.col("c") - 1) * n_min + F.col("cum__one")).cast("long").alias("number"))

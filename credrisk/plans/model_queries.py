@@ -78,29 +78,6 @@ def q_prep_tree(spark, d):
 
 
 # --- training: one artifact per configuration ------------------------------------------------
-def _search_log(spark, key: str) -> str:
-    """Folder of a search's finished (draw, fold) results; it outlives the application, so that an
-    interrupted search goes on where it stopped."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/searches/{key}"
-
-
-def _searched(spark, cfg, train, key: str):
-    log = _search_log(spark, key)
-    schema = "draw int, fold int, f1 double"
-    try:
-        done = {(r.draw, r.fold): r.f1 for r in spark.read.schema(schema).json(log).collect()}
-    except Exception as e:  # noqa: BLE001 - nothing logged yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = {}
-
-    def record(draw: int, fold: int, f1: float) -> None:
-        spark.createDataFrame([(draw, fold, f1)], schema).coalesce(1).write.mode("append").json(log)
-
-    return mdl.random_search(cfg, train, done=done, record=record)
-
-
 def trained(spark, d, name: str) -> dict:
     """Fit one configuration and write its bundle into the shared folder: the pipeline, the
     predictions of both splits, and its importances; the returned card names them.  Bundles
@@ -112,7 +89,7 @@ def trained(spark, d, name: str) -> dict:
         data = _matrix_split(spark, d)
         train, best = smp.train_part(data), {}
         if cfg.search:
-            model, best, _ = _searched(spark, cfg, train, key)
+            model, best, _ = mdl.random_search(cfg, train)
         else:
             model = mdl.fit(cfg, train)
         base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundles/{key}"

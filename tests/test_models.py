@@ -11,6 +11,7 @@ from credrisk.operators import models as mdl
 from credrisk.operators import sampling as smp
 from credrisk.operators import smote as sm
 from credrisk.operators.ingest import feature_matrix
+from credrisk.operators.prep import preparation
 from credrisk.plans.catalog import featured
 from credrisk.plans.evaluation_queries import _split
 from credrisk.session import cut_lineage
@@ -48,30 +49,39 @@ def test_weighted_tree_and_importances(spark, data):
     assert {f"feature_{i}" for i in range(3)} <= set(mdl.feature_importances(model, bare, spark).toPandas().feature)
 
 
-def test_search_scores_infeasible_draws_zero_and_resumes(spark, data):
-    small = {"maxIter": 5, "maxDepth": 2, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-    draws = [{**small, "smote_ratio": 0.05}, {**small, "smote_ratio": 0.5}]
-    seen = []
+def test_search_scores_infeasible_draws_zero(spark, data):
+    small = {"trees": 5, "depth": 2, "rate": 0.1, "rows": 0.8, "columns": 0.8}
+    draws = [{**small, "smote_ratio": 0.05}, {**small, "smote_ratio": 0.5}, {**small, "smote_ratio": 0.8}]
     train = smp.train_part(data)
-    model, best, scores = mdl.random_search(BY_NAME["Tuned SMOTE XGBoost"], train, n_folds=2, draws=draws,
-                                            record=lambda *x: seen.append(x))
-    assert best == draws[1] and scores[0][1] == 0.0 and 0 < scores[1][1] <= 1
-    assert sorted((d, f) for d, f, _ in seen) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    model, best, scores = mdl.random_search(BY_NAME["Tuned SMOTE XGBoost"], train, n_folds=2, draws=draws)
+    assert best in draws[1:] and scores[0][1] == 0.0 and 0 < scores[1][1] <= 1
     assert model.transform(train).select("probability").first() is not None
-    again = []
-    mdl.random_search(BY_NAME["Tuned SMOTE XGBoost"], train, n_folds=2, draws=draws, done={(d, f): s for d, f, s in seen},
-                      record=lambda *x: again.append(x))
-    assert not again
+    with pytest.raises(sm.InfeasibleRatio):
+        mdl.random_search(BY_NAME["Tuned SMOTE XGBoost"], train, n_folds=2, draws=draws[:1])
 
 
-def test_gamma_leaves_every_listed_value_room_to_split(spark, data):
-    cfg = BY_NAME["Tuned Weight XGBoost"]
-    from credrisk.operators.prep import preparation
+def test_search_does_not_depend_on_how_rows_are_dealt(spark, data):
+    draws = [{"trees": 4, "depth": 3, "rate": 0.3, "rows": 0.7, "columns": 0.7, "gamma": g} for g in (0.0, 1000.0)]
     train = smp.train_part(data)
-    rows = cut_lineage(preparation("tree").fit(train).transform(train).select("ID", "features", "label"))
-    for gamma in mdl.WEIGHT_SEARCH["gamma"]:
-        model = mdl.fit_rows(cfg, rows, {"maxIter": 5, "maxDepth": 3, "stepSize": 0.1, "gamma": gamma})
-        assert model.transform(rows).select("probability").distinct().count() > 10, gamma
+    one, other = (mdl.random_search(BY_NAME["Tuned Weight XGBoost"], train, n_folds=2, draws=draws, block_rows=b) for b in (1 << 16, 200))
+    assert one[1:] == other[1:] and one[2][0][1] != one[2][1][1]
+    a, b = (mdl.with_probability(m.transform(train)).select("ID", "score").orderBy("ID").toPandas() for m in (one[0], other[0]))
+    assert np.allclose(a.score, b.score)
+
+
+def test_fold_weights_of_a_search(spark, data):
+    train = smp.train_part(data)
+    rows = cut_lineage(preparation("tree").fit(train).transform(train).select("ID", "features", "label", "fold"))
+    every, samples = mdl.search_rows(BY_NAME["Tuned SMOTE XGBoost"], rows, 2, [0.01, 0.5, 0.9], 4)
+    n = rows.groupBy("fold", "label").count().toPandas().set_index(["fold", "label"])["count"]
+    sums = every.select(F.posexplode("weights").alias("s", "w"), "label").groupBy("s", "label", "w").count().toPandas()
+    assert set(samples) == {(f, r) for f in (None, 0, 1, 2, 3, 4)[:3] for r in (0.5, 0.9)}
+    for (fold, ratio), s in samples.items():
+        inside = n if fold is None else n.drop(fold, level="fold")
+        major = inside.xs(0, level="label").sum()
+        got = {(r.label, r.w): r["count"] for _, r in sums[sums.s == s].iterrows()}
+        assert got[0, 1.0] == major and got[1, 1.0] == int(ratio * major)
+        assert sum(v for (_, w), v in got.items() if w < 0) == (0 if fold is None else n.loc[fold].sum())
 
 
 def test_smote_l2_strength_counts_the_resampled_rows(spark, data):
@@ -132,7 +142,7 @@ def test_all_thirteen_models_have_results_importances_and_registry(spark, monkey
     monkeypatch.setattr(mq, "_MADE", {})
     monkeypatch.setattr(mq, "ensure_checkpoint_dir", lambda spark: str(tmp_path))
     monkeypatch.setattr(mdl, "fit", lambda cfg, train: fit(tree, train))
-    monkeypatch.setattr(mdl, "random_search", lambda cfg, train, done, record: (fit(tree, train), {"max_depth": 6}, []))
+    monkeypatch.setattr(mdl, "random_search", lambda cfg, train: (fit(tree, train), {"max_depth": 6}, []))
     queries, names, smoke = entry.queries(), {c.name for c in mdl.CONFIGS}, "/root/testdata/sf0.001"
     rows = queries["results_all"](spark, smoke).collect()
     assert len(names) == 13 and {r.model for r in rows} == names
