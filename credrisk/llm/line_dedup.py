@@ -6,7 +6,8 @@ distinct documents per hash with Spark's two-level distinct aggregation, so a
 line held by a third of all documents is combined map-side; write the hashes over
 the threshold, so that both sides of the next join are plain exchanges and AQE
 splits a hot hash; join them back; gather the dropped positions per
-document and reassemble the text by position.  The texts are shuffled once.
+document and reassemble the text by position.  The texts are shuffled once, and cut into
+lines again behind that exchange.
 """
 
 from __future__ import annotations
@@ -32,17 +33,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Edge cases: a null or empty text is one empty line; the largest holder keeps
     all its copies of a line; rows sharing an id count as one document; a row
-    without id takes no part and keeps its text; an empty table gives no rows.
+    without id takes no part and keeps its text; a very long text is cut and joined whole, in
+    one row; an empty table gives no rows.
     """
     text = F.coalesce(F.col("doc")[text_col], F.lit(""))
+    lines = F.split(text, "\n", -1)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).select(
-        "doc", F.col("doc")[id_col].alias("id"), F.xxhash64(text).alias("text_hash"),
-        F.split(text, "\n", -1).alias("lines"))
-    lines = rows.where(F.col("id").isNotNull()).select(
-        "id", "text_hash", F.posexplode("lines").alias("pos", "line")).select(
+        "doc", F.col("doc")[id_col].alias("id"), F.xxhash64(text).alias("text_hash"))
+    keyed = rows.where(F.col("id").isNotNull()).select(
+        "id", "text_hash", F.posexplode(lines).alias("pos", "line")).select(
         "id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(
         F.length("key") >= min_chars)
-    hashed = materialise(lines.select("id", "text_hash", "pos", *hash_pair("h", F.col("key"))), "lines")
+    hashed = materialise(keyed.select("id", "text_hash", "pos", *hash_pair("h", F.col("key"))), "lines")
 
     repeated = materialise(hashed.groupBy("h1", "h2")
                            .agg(F.countDistinct("id").alias("n_docs"), F.max("id").alias("keeper"))
@@ -50,6 +52,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = (hashed.join(repeated, ["h1", "h2"]).where(F.col("id") != F.col("keeper"))
                .groupBy("id", "text_hash").agg(F.collect_set("pos").alias("drop")))
     joined = rows.join(dropped, ["id", "text_hash"], "left")
+    joined = joined.select("doc", "drop", lines.alias("lines"))  # cut again here: no exchange carries text and lines
     keep = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     kept = F.array_join(F.transform(keep, lambda i: F.get(F.col("lines"), i)), "\n")
     return joined.select(
