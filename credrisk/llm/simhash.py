@@ -6,11 +6,11 @@ works on distinct fingerprints, so a group of exact copies is one row.
 Pigeonring: cut the 64 bits into a ring of m segments.  If two fingerprints
 differ in at most t bits, some segment starts a chain whose first l segments
 differ in at most l*t/m bits for every l.  With m = 8 and t = 2 that means three
-equal segments, and at most one differing bit in the first seven.  The chain is
-turned into equality keys: seven segments with one of the later four left out
-(28 distinct keys of 48 bits).  Fingerprints that share a key are candidates; the
-chain budgets and then the full Hamming distance decide.  A key leaves 16 bits
-open, so the candidates of one key are bounded whatever the size of the corpus.
+equal segments, at most one differing bit in the first seven, and two in all.  The
+chain's beginning becomes equality keys: its equal segments and all but one of the next
+two, of which one at most may differ (16 keys of 32 bits).  Fingerprints that share a
+key are candidates; those whose cumulative differences leave the budget of any
+proper beginning of that chain are pruned, and only the rest meet the Hamming check.
 """
 
 from __future__ import annotations
@@ -54,44 +54,54 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"))
 
 
-def chain_masks(max_bits: int, segments: int) -> list[int]:
-    """Bit masks of the equality keys that the chain condition implies."""
-    width = 64 // segments
+def chain_keys(max_bits: int, segments: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For every start of a chain: bit mask of an equality key, and the chain's proper beginnings as (bit mask, budget).
+
+    Of the beginnings with one budget the longest holds the others.
+    """
     if max_bits == 0:
-        return [2**64 - 1]
-    equal = (segments - 1) // max_bits            # longest prefix whose budget is below one bit
-    single = min(segments, (2 * segments - 1) // max_bits)  # longest prefix whose budget is below two
-    masks = set()
-    for start in range(segments):
-        for left_out in range(equal, max(single, equal + 1)):
-            chosen = [(start + k) % segments for k in range(max(single, equal)) if k != left_out]
-            masks.add(sum(((1 << width) - 1) << (width * s) for s in chosen))
-    return sorted(masks)
-
-
-def within_chain(diff: Column, max_bits: int, segments: int) -> Column:
-    """True if some start keeps every prefix of the ring within its proportional budget."""
+        return [(2**64 - 1, [])]
     width = 64 // segments
-    part = [F.bit_count(F.shiftrightunsigned(diff, width * s).bitwiseAND(F.lit((1 << width) - 1))) for s in range(segments)]
-    fits = F.lit(False)
-    for start in range(segments):
-        total, chain = F.lit(0), F.lit(True)
-        for k in range(segments):
-            total = total + part[(start + k) % segments]
-            chain = chain & (total <= (k + 1) * max_bits // segments)
-        fits = fits | chain
+    longest = {b: max(l for l in range(1, segments + 1) if l * max_bits // segments <= b) for b in range(max_bits)}
+    equal = longest[0]
+    if equal < 1 or 64 % segments:
+        raise ValueError("the number of segments must divide 64 and exceed the number of bits")
+    loose = min(2, longest.get(1, equal) - equal)   # segments behind the equal ones, of which one may differ
+
+    def mask(start: int, places) -> int:
+        return sum(((1 << width) - 1) << (width * ((start + k) % segments)) for k in places)
+
+    return [(mask(start, [k for k in range(equal + loose) if k != left_out]), [(mask(start, range(l)), b) for b, l in longest.items()])
+            for start in range(segments) for left_out in (range(equal, equal + loose) if loose else [-1])]
+
+
+def signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def candidates(prints: DataFrame, max_bits: int = 2, segments: int = 8) -> DataFrame:
+    """(key, a, b, diff): distinct fingerprints ``fp`` that share a chain's key, a < b."""
+    masks = [F.col("fp").bitwiseAND(F.lit(signed(m))) for m, _ in chain_keys(max_bits, segments)]
+    keyed = prints.select("fp", F.posexplode(F.array(*masks)).alias("key", "part"))
+    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
+                                  & (F.col("x.fp") < F.col("y.fp")))
+    return pairs.select("x.key", F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.fp").bitwiseXOR(F.col("y.fp")).alias("diff"))
+
+
+def within_chain(max_bits: int, segments: int) -> Column:
+    """Whether ``diff`` keeps every proper beginning of the chain of ``key`` within its cumulative budget."""
+    keys = chain_keys(max_bits, segments)
+    fits = F.lit(True)
+    for level, (_, budget) in enumerate(keys[0][1]):
+        masks = F.array(*[F.lit(signed(begins[level][0])) for _, begins in keys])
+        fits = fits & (F.bit_count(F.col("diff").bitwiseAND(F.get(masks, F.col("key")))) <= budget)
     return fits
 
 
 def links(prints: DataFrame, max_bits: int = 2, segments: int = 8) -> DataFrame:
     """(a, b): distinct fingerprints ``fp`` that differ in at most ``max_bits`` bits."""
-    signed = [m - 2**64 if m >= 2**63 else m for m in chain_masks(max_bits, segments)]
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "part"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.mask") == F.col("y.mask")) & (F.col("x.part") == F.col("y.part"))
-                                  & (F.col("x.fp") < F.col("y.fp")))
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    return (pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-            .where(within_chain(diff, max_bits, segments) & (F.bit_count(diff) <= max_bits)).distinct())
+    kept = candidates(prints, max_bits, segments).where(within_chain(max_bits, segments))
+    return kept.where(F.bit_count("diff") <= max_bits).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
@@ -101,7 +111,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Edge cases: null, empty and blank texts have fingerprint zero and link like
     any other; repeated rows share their fingerprint; a row without id gets the
-    smallest id of its component and never names one; an empty table gives no rows.
+    smallest id of its component and never names one; a very long text is read whole;
+    extra columns of any name are ignored; an empty table gives no rows.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, words), "simhash")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
