@@ -9,20 +9,23 @@ so the windows (strings of ``length`` bytes) are first brought together by conte
 2. The minimum hash of the 24-byte grams in a window is its anchor.  Runs of windows
    with one anchor are a unit.  Anchors are exchanged by hash, one packed row per
    block and hash bucket; an anchor that two documents hold sends a bit back.
-3. For those, a hash of the unit's whole text and its smallest document are
-   exchanged.  A unit that an earlier document holds whole is covered.  Where an anchor
-   stands in different surroundings, one unit per text remains open.
-4. The texts of the open units meet in their anchor's bucket.  Their suffixes are
+3. For those, a hash of the unit's whole text and its smallest document are exchanged.
+   Equal units are a class.  The block that holds a class's smallest document sends the
+   text, if other documents hold it too or if the anchor stands in other surroundings
+   as well; for all other copies of the class the hash stands for the text.
+4. The texts meet in their anchor's bucket.  A class that later documents share stands there
+   twice, under its smallest document and under the next.  The suffixes of all texts are
    sorted; the previous and next smaller document in suffix order give the longest
-   earlier match of each (its longest previous factor); a bit per window goes back.
+   earlier match of each (its longest previous factor, counted up to ``length``); a bit per window
+   goes back, for the smallest document of a class and for its later ones.
 
-An anchor that very many units have is hot; its units would all meet in one bucket.  They
-are dealt by their text's hash in step 3, and in step 4 their single windows by the
+An anchor that very many units have is hot; its units would all meet in one bucket.  Their
+classes are dealt by their text's hash in steps 3 and 4, and their single windows by the
 window's hash, once per block with the smallest document.
 
 Equal units of a block are merged before each exchange, so a passage that a third of
-the documents share costs a bucket one entry per block.  Only hashes of repeated
-places and texts of open units travel, and all answers are exact.
+the documents share costs a bucket one entry per block and one text in all.  Which copies are of
+one class, and which windows of one block are equal, rests on 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ from .common import materialise
 
 GRAM = 24
 SLAB = 1 << 17
+NEVER = np.iinfo(np.int64).max
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 S32, S29 = np.uint64(32), np.uint64(29)
 PACKED = "bucket long, block string, payload binary"
@@ -120,7 +124,8 @@ class Block:
 
     def classes(self, buckets: int, repeated: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
         """Distinct (anchor, text hash) of the units whose anchor is repeated, ordered by bucket (the
-        text's if the anchor is hot), with the smallest document, a unit of it, and the class of each such unit."""
+        text's if the anchor is hot), with the smallest document and the next one (or NEVER), a unit of it, and the
+        class of each such unit."""
         distinct, bucket, place = self.anchors(buckets)
         units = np.flatnonzero(repeated[place]) if len(place) else np.zeros(0, dtype=np.int64)
         text, where, doc = self.texts_hash(self.start[units], self.last[units]), place[units], self.doc[units]
@@ -128,14 +133,17 @@ class Block:
         where, text, doc = where[order], text[order], doc[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (where[1:] != where[:-1]) | (text[1:] != text[:-1])
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
         of = np.empty(len(order), dtype=np.int64)
-        of[order] = np.cumsum(new) - 1
+        of[order] = group
+        later = np.where(doc > doc[starts][group], doc, NEVER)
+        later = np.minimum.reduceat(later, starts) if len(starts) else later
         heated = hot[where[new]]
         home = np.where(heated, (text[new] % np.uint64(buckets)).astype(np.int64), bucket[where[new]])
         dealt = np.argsort(home, kind="stable")
         at = np.empty(len(dealt), dtype=np.int64)
         at[dealt] = np.arange(len(dealt))
-        return {"bucket": home[dealt], "anchor": distinct[where[new]][dealt], "text": text[new][dealt], "doc": doc[new][dealt],
+        return {"bucket": home[dealt], "anchor": distinct[where[new]][dealt], "text": text[new][dealt], "doc": doc[new][dealt], "later": later[dealt],
                 "hot": heated[dealt], "unit": units[order[new]][dealt], "units": units, "class_of": at[of]}
 
     def single_windows(self, buckets: int, classes: dict[str, np.ndarray], chosen: np.ndarray) -> dict[str, np.ndarray]:
@@ -225,7 +233,7 @@ def repeated_anchors(rows: pd.DataFrame, heavy_blocks: int, hot_blocks: int) ->
 
 
 def judged_classes(rows: pd.DataFrame) -> pd.DataFrame:
-    """Bits per block: an earlier document holds the whole unit; the unit is open."""
+    """Bits per block: an earlier document is in the class; the anchor has other texts; a later document is in the class."""
     counts, columns = [], []
     for payload in rows["payload"]:
         n = int.from_bytes(payload[:8], "little")
@@ -241,12 +249,11 @@ def judged_classes(rows: pd.DataFrame) -> pd.DataFrame:
     new_t[1:] |= t[1:] != t[:-1]
     first = d[np.flatnonzero(new_t)][np.cumsum(new_t) - 1]
     texts_of = np.add.reduceat(new_t.astype(np.int64), np.flatnonzero(new_a))[np.cumsum(new_a) - 1]
-    covered, open_ = np.empty(len(order), dtype=bool), np.empty(len(order), dtype=bool)
-    covered[order] = first < d
-    open_[order] = (first == d) & (texts_of > 1)
-    cuts = np.cumsum(counts)[:-1]
+    last = d[np.append(np.flatnonzero(new_t)[1:], len(d)) - 1][np.cumsum(new_t) - 1]
+    found = np.empty((3, len(order)), dtype=bool)
+    found[:, order] = first < d, (first == d) & (texts_of > 1), (first == d) & (last > d)
     return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"],
-                         "payload": [bits(c) + bits(o) for c, o in zip(np.split(covered, cuts), np.split(open_, cuts), strict=True)]})
+                         "payload": [b"".join(map(bits, part)) for part in np.split(found, np.cumsum(counts)[:-1], axis=1)]})
 
 
 def nearest_smaller(rank: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
@@ -289,36 +296,73 @@ def covered_windows(data: bytes, place: np.ndarray, doc: np.ndarray, length: int
     return out
 
 
+def pack_texts(doc: np.ndarray, key: np.ndarray, later: np.ndarray, size: np.ndarray, texts: bytes, follower: np.ndarray, follower_doc: np.ndarray) -> bytes:
+    """Classes with their texts (document, hash, next document, number of windows), and copies known by hash."""
+    head = np.array([len(doc), len(follower)], dtype=np.int64).tobytes()
+    parts = [doc.astype(np.int64), key.astype(np.uint64), later.astype(np.int64), size.astype(np.uint8), follower.astype(np.uint64), follower_doc.astype(np.int64)]
+    return zstandard.compress(head + b"".join(p.tobytes() for p in parts) + texts, 1)
+
+
+def unpack_texts(payload: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw, out, at = zstandard.decompress(payload), [], 16
+    n, m = np.frombuffer(raw[:16], dtype=np.int64).tolist()
+    for count, dtype in ((n, np.int64), (n, np.uint64), (n, np.int64), (n, np.uint8), (m, np.uint64), (m, np.int64)):
+        size = count * np.dtype(dtype).itemsize
+        out.append(np.frombuffer(raw[at:at + size], dtype=dtype))
+        at += size
+    return out, raw[at:]
+
+
 def judged_windows(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Per block, a word per open unit: bit j says that its window j is covered."""
-    counts, docs, windows, bodies = [], [], [], []
-    for payload in rows["payload"]:
-        raw = zstandard.decompress(payload)
-        n = int.from_bytes(raw[:8], "little")
-        counts.append(n)
-        docs.append(np.frombuffer(raw[8:8 + 8 * n], dtype=np.int64))
-        windows.append(np.frombuffer(raw[8 + 8 * n:8 + 9 * n], dtype=np.uint8).astype(np.int64))
-        bodies.append(raw[8 + 9 * n:])
-    doc, size = np.concatenate(docs), np.concatenate(windows)
+    """Per block a word for each class with a text (bit j says that its window j is covered), one for its later
+    documents, and one for each copy known by hash."""
+    columns, bodies = zip(*map(unpack_texts, rows["payload"]), strict=True)
+    doc, key, later, size, follower, follower_doc = (np.concatenate(c) for c in zip(*columns, strict=True))
+    size, later = size.astype(np.int64), later.copy()
+    by_key = np.argsort(key, kind="stable")
+    of = by_key[np.searchsorted(key[by_key], follower)] if len(follower) else np.zeros(0, dtype=np.int64)
+    np.minimum.at(later, of, follower_doc)
     begin = np.cumsum(size + length - 1) - (size + length - 1)
     unit = np.repeat(np.arange(len(size)), size)
     step = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-    hit = covered_windows(b"".join(bodies), begin[unit] + step, doc[unit], length)
-    words = np.zeros(len(size), dtype=np.uint32)
-    np.bitwise_or.at(words, unit[hit], np.uint32(1) << step[hit].astype(np.uint32))
-    parts = np.split(words, np.cumsum(counts)[:-1])
-    return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "payload": [p.tobytes() for p in parts]})
-
-
-def removed_runs(block: Block, classes: dict[str, np.ndarray], covered: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """A flag per byte of the block: covered by a window that an earlier document holds."""
+    again = np.flatnonzero(later[unit] < NEVER)          # a class that later documents share stands here twice
+    place = begin[unit] + step
+    hit = covered_windows(b"".join(bodies), np.append(place, place[again]), np.append(doc[unit], later[unit][again]), length)
+    words = np.zeros((2, len(size)), dtype=np.uint32)
+    for k, (which, on) in enumerate(((np.arange(len(unit)), hit[:len(unit)]), (again, hit[len(unit):]))):
+        which = which[on]
+        np.bitwise_or.at(words[k], unit[which], np.uint32(1) << step[which].astype(np.uint32))
+    answers = words[1][of]
+    payload = [own.tobytes() + next_.tobytes() + copies.tobytes() for own, next_, copies in zip(
+        np.split(words[0], np.cumsum([len(c[0]) for c in columns])[:-1]), np.split(words[1], np.cumsum([len(c[0]) for c in columns])[:-1]),
+        np.split(answers, np.cumsum([len(c[4]) for c in columns])[:-1]), strict=True)]
+    return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "payload": payload})
+
+
+def words_back(answers, texts: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The answers of :func:`judged_windows` in the order of a block's entries, given their buckets."""
+    own, next_, copied = (np.zeros(n, dtype=np.uint32) for n in (len(texts), len(texts), len(copies)))
+    for a in answers if answers is not None else []:
+        raw = np.frombuffer(a["payload"], dtype=np.uint32)
+        (lo, hi), (first, last) = (np.searchsorted(b, [a["bucket"], a["bucket"] + 1]).tolist() for b in (texts, copies))
+        n = hi - lo
+        if n or last > first:
+            own[lo:hi], next_[lo:hi], copied[first:last] = raw[:n], raw[n:2 * n], raw[2 * n:]
+    return own, next_, copied
+
+
+def removed_runs(block: Block, classes: dict[str, np.ndarray], own: np.ndarray, next_: np.ndarray) -> np.ndarray:
+    """A flag per byte of the block: covered by a window that an earlier document holds.  ``own`` has the
+    covered windows of each class for its smallest document, ``next_`` for the later ones."""
     edge = np.zeros(len(block.data) + 1, dtype=np.int32)
     of, units = classes["class_of"], classes["units"]
-    whole = covered[of] | (block.doc[units] > classes["doc"][of])
+    mask = np.where(block.doc[units] > classes["doc"][of], next_[of], own[of])
+    size = (block.last - block.start + 1)[units].astype(np.uint32)
+    whole = mask == (np.uint32(1) << size) - np.uint32(1)
     np.add.at(edge, block.start[units[whole]], 1)
     np.add.at(edge, block.last[units[whole]] + block.length, -1)
-    part = ~whole & (masks[of] > 0)
-    at, mask = block.start[units[part]], masks[of[part]]
+    part = ~whole & (mask > 0)
+    at, mask = block.start[units[part]], mask[part]
     for j in range(block.length - GRAM + 1):
         on = at[mask >> np.uint32(j) & np.uint32(1) == 1] + j
         np.add.at(edge, on, 1)
@@ -335,17 +379,20 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Edge cases: a null text is empty; texts shorter than ``length`` stay whole; rows
     with one id are one document and never remove each other's bytes; a row without id takes
-    no part and stays whole; an empty table gives no rows.  Matches never cross documents, and
+    no part and stays whole; a very long text is one block of its own and judged whole; extra
+    columns of any name are ignored; an empty table gives no rows.  Matches never cross documents, and
     strings are judged on the input.
     """
     if not 32 <= length <= 55:
         raise ValueError("length must be 32 to 55 bytes")
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    packed = source.where("id is not null").mapInPandas(
-        lambda batches: pack_documents(batches, block_bytes), "block string, n_bytes long, ids binary, sizes binary, body binary")
     total = source.where("id is not null").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(total // bucket_bytes + 1)
+    # each exchange has a row per block and bucket: with many buckets larger blocks keep rows of many entries
+    block_bytes *= min(16, 1 + buckets // 4096)
+    packed = source.where("id is not null").mapInPandas(
+        lambda batches: pack_documents(batches, block_bytes), "block string, n_bytes long, ids binary, sizes binary, body binary")
     # with fewer table buckets than shuffle partitions Spark would deal the blocks out anew in every join
     parts = min(max(int(total // table_bytes + 1), int(spark.conf.get("spark.sql.shuffle.partitions"))),
                 int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
@@ -353,6 +400,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     packed.repartition(parts, "block").write.bucketBy(parts, "block").option(
         "path", f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}").saveAsTable(name)
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; files and lay-out stay known to ``blocks``
 
     def answered(answers: DataFrame, column: str) -> DataFrame:
         return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias(column))
@@ -388,35 +436,42 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                          + zstandard.compress(c["doc"][s].tobytes(), 1)) for k, s in slices(c["bucket"])])
 
     def open_classes(b: Block, row: dict) -> tuple[dict, np.ndarray, np.ndarray, dict]:
-        """Classes, which are covered, the open ones of other anchors, and the windows of those of hot ones."""
+        """Classes, those that send their text, those known by hash, and the windows of those of hot anchors."""
         c = known_classes(b, row)
-        covered, several = (flags(row["judged"], c["bucket"], which) for which in (0, 1))
-        return c, covered, np.flatnonzero(several & ~c["hot"]), b.single_windows(buckets, c, np.flatnonzero(c["hot"] & ~covered))
+        earlier, several, shared = (flags(row["judged"], c["bucket"], which) for which in range(3))
+        sends = ~earlier & (several & ~c["hot"] | shared | (c["later"] < NEVER))
+        return c, np.flatnonzero(sends), np.flatnonzero(earlier), b.single_windows(buckets, c, np.flatnonzero(c["hot"] & ~earlier))
 
     def send_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.zeros(0, dtype=np.int64)
         for row, b in opened(batches):
-            c, _, chosen, single = open_classes(b, row)
-            start, last, doc = b.start[c["unit"][chosen]], b.last[c["unit"][chosen]], c["doc"][chosen]
-            rows = []
-            for k, s in slices(c["bucket"][chosen]):
+            c, chosen, copies, single = open_classes(b, row)
+            start, last = b.start[c["unit"][chosen]], b.last[c["unit"][chosen]]
+            rows, at = [], {k: [slice(0), slice(0)] for k in np.unique(c["bucket"][np.append(chosen, copies)]).tolist()}
+            for which, part in enumerate((chosen, copies)):
+                for k, s in slices(c["bucket"][part]):
+                    at[k][which] = s
+            for k, (s, f) in at.items():
                 texts = b"".join(b.data[p:q + length] for p, q in zip(start[s].tolist(), last[s].tolist(), strict=True))
-                head = (s.stop - s.start).to_bytes(8, "little") + doc[s].tobytes() + (last[s] - start[s] + 1).astype(np.uint8).tobytes()
-                rows.append((k, row["block"], zstandard.compress(head + texts, 1)))
+                rows.append((k, row["block"], pack_texts(c["doc"][chosen[s]], c["text"][chosen[s]], c["later"][chosen[s]], last[s] - start[s] + 1, texts,
+                                                         c["text"][copies[f]], c["doc"][copies[f]])))
             for k, s in slices(single["bucket"]):
                 texts = b"".join(b.data[p:p + length] for p in single["start"][s].tolist())
-                head = (s.stop - s.start).to_bytes(8, "little") + single["first"][s].tobytes() + b"\1" * (s.stop - s.start)
-                rows.append((k, row["block"], zstandard.compress(head + texts, 1)))
+                n = s.stop - s.start
+                rows.append((k, row["block"], pack_texts(single["first"][s], np.zeros(n), np.full(n, NEVER), np.ones(n), texts, none, none)))
             yield emit(rows)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, b in opened(batches):
-            c, covered, chosen, single = open_classes(b, row)
-            masks = np.zeros(len(c["bucket"]), dtype=np.uint32)
-            masks[chosen] = flags(row["windows"], c["bucket"][chosen], 0, np.uint32)
-            earlier = flags(row["windows"], single["bucket"], 0, np.uint32)[single["entry"]] > 0
+            c, chosen, copies, single = open_classes(b, row)
+            own, next_ = np.zeros((2, len(c["bucket"])), dtype=np.uint32)
+            here = [a for a in (row["windows"] if row["windows"] is not None else []) if a["bucket"] < buckets]
+            own[chosen], next_[chosen], known = words_back(here, c["bucket"][chosen], c["bucket"][copies])
+            own[copies] = next_[copies] = known
+            earlier = words_back(row["windows"], single["bucket"], np.zeros(0, dtype=np.int64))[0][single["entry"]] > 0
             earlier |= single["doc"] > single["first"][single["entry"]]
-            np.bitwise_or.at(masks, single["class"][earlier], np.uint32(1) << single["step"][earlier].astype(np.uint32))
-            gone = removed_runs(b, c, covered, masks)
+            np.bitwise_or.at(own, single["class"][earlier], np.uint32(1) << single["step"][earlier].astype(np.uint32))
+            gone = removed_runs(b, c, own, next_)
             out, at = [], 0
             raw = np.frombuffer(b.data, dtype=np.uint8)
             for i, n in zip(b.ids.tolist(), b.sizes.tolist(), strict=True):
