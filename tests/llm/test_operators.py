@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -181,6 +182,27 @@ def test_suffix_dedup_with_every_anchor_hot(spark, corpus):
     assert run(hot_blocks=1) == run(hot_blocks=1 << 30, heavy_blocks=1 << 30)
 
 
+def test_equal_units_are_judged_in_the_suffix_order():
+    rng = random.Random(2)
+    say = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    one, two, never = say(60), say(55), suffix_dedup.NEVER
+    three = one[3:55] + say(6)                                     # shares windows 3 to 5 of the first text
+    n = [len(t) - 49 for t in (one, two, three)]
+    blocks = [suffix_dedup.pack_texts(np.array([5, 7]), np.array([11, 22]), np.array([never, 8]), np.array(n[:2]), one + two, np.zeros(0), np.zeros(0)),
+              suffix_dedup.pack_texts(np.array([9]), np.array([33]), np.array([never]), np.array(n[2:]), three, np.array([11, 22]), np.array([6, 30])),
+              suffix_dedup.pack_texts(*(np.zeros(0) for _ in range(4)), b"", np.array([33]), np.array([10]))]
+    out = suffix_dedup.judged_windows(pd.DataFrame({"bucket": 4, "block": ["a", "b", "c"], "payload": blocks}), 50)
+    full = [(1 << k) - 1 for k in n]
+    places = [np.array([4, 4]), np.array([4])], [np.array([4]), np.array([4, 4])], [np.zeros(0, dtype=int), np.array([4])]
+    got = [[w.tolist() for w in suffix_dedup.words_back([{"bucket": 4, "payload": p}], texts, copies)] for p, (texts, copies) in zip(
+        out["payload"], [(places[0][0], np.zeros(0, dtype=int)), (places[1][0], places[1][1]), (places[2][0], places[2][1])])]
+    assert got[0] == [[0, 0], [full[0], full[1]], []]             # the first copies stay, later ones go by their match
+    assert got[1] == [[0b111], [full[2]], [full[0], full[1]]]     # a part of a text that document 5 holds, and two copies
+    assert got[2] == [[], [], [full[2]]]
+    nobody = suffix_dedup.judged_windows(pd.DataFrame({"bucket": 4, "block": ["a"], "payload": blocks[:1]}), 50)
+    assert suffix_dedup.words_back([{"bucket": 4, "payload": nobody["payload"][0]}], places[0][0], np.zeros(0, dtype=int))[1].tolist() == [0, full[1]]
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -450,6 +472,23 @@ def test_neighbours(spark):
     assert ann.neighbours(frame.where("vec_id < 4"), "vec_id", "embedding", F.col("id") % 2 == 0).count() == 6
 
 
+def test_neighbours_recall_on_embeddings(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").collect()
+    ids, data = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    got = {}
+    for r in queries.op2_neighbours(spark, sf).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for q in ids[ids % 100 == 0]:
+        score = np.sqrt(((data - data[ids == q][0]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((ids, score)) if ids[i] != q][:10]
+        hits += len({i for _, i, _ in got[q]} & set(ids[order].tolist()))
+        total += 10
+        assert [k for k, *_ in sorted(got[q])] == list(range(1, 11))
+    assert hits / total >= 0.9
+
+
 def test_materialise_goes_to_the_checkpoint_folder(spark):
     from credrisk.session import ensure_checkpoint_dir
     out = common.materialise(spark.range(3), "t")

@@ -45,7 +45,9 @@ def test_pipeline(spark):
 def test_stages_take_empty_and_odd_tables(spark):
     sf = "/root/testdata/sf0.001"
     schema = "doc_id long, text string, lang string, source string, n_chars long, id string, row long"
-    odd = spark.createDataFrame([(1, None, None, None, None, "a", 1), (1, "", "en", "s", 0, "b", 2), (None, "some words here", "en", "s", 15, "c", 3)], schema)
+    long = "a long text of many words " * 20_000
+    odd = spark.createDataFrame([(1, None, None, None, None, "a", 1), (1, "", "en", "s", 0, "b", 2), (None, "some words here", "en", "s", 15, "c", 3),
+                                 (4, long, "en", "s", len(long), "d", 4), (5, long + "end", "en", "s", len(long) + 3, "e", 5)], schema)
     for frame in (spark.createDataFrame([], schema), odd):
         docs = frame
         for _, stage in corpus_pipeline.STAGES:
