@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on everything its predecessor
 kept; all but the last return the columns of ``documents``.  ``run`` writes every
 stage's rows as Parquet into the shared folder and reads them back as the next
 stage's docs.
+
+Edge cases: null texts and texts without letters go in the first stage; empty tables pass all
+stages; rows that share a ``doc_id`` get one decision; a null id is no group's smallest and stays; very
+long texts are read whole by every stage; further columns are carried along whatever their names.
 """
 
 from __future__ import annotations
