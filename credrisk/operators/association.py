@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import chi_square_p, t_test_p
 from ..schema import TARGET
 
 
@@ -107,13 +108,15 @@ def corr_with_target(df: DataFrame, cols, target: str = TARGET, descending: bool
     return out.orderBy(key.desc() if descending else key.asc(), "feature")
 
 
-def corr_significance(corr: DataFrame, critical: float = 1.96) -> DataFrame:
-    """t = r·sqrt((n−2)/(1−r²)) per correlation and a two-sided 5 % flag under
-    the large-sample normal approximation."""
+def corr_significance(corr: DataFrame, level: float = 0.05) -> DataFrame:
+    """t = r·sqrt((n−2)/(1−r²)) per correlation, its two-sided p-value with n − 2 degrees of
+    freedom, and whether that is below ``level``.  A perfect correlation has no t and p = 0; a
+    constant column and fewer than three rows have neither."""
     r, n = F.col("r"), F.col("n")
     t = r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
-    return corr.select("feature", "r", "n", F.round(t, 4).alias("t_stat"),
-                       (F.abs(t) > critical).alias("significant"))
+    p = F.when(n > 2, F.when(F.abs(r) >= 1, 0.0).otherwise(t_test_p(t, n - 2)))
+    return corr.select("feature", "r", "n", F.round(t, 4).alias("t_stat"), p.alias("p")).select(
+        "feature", "r", "n", "t_stat", F.round("p", 6).alias("p_value"), (F.col("p") < level).alias("significant"))
 
 
 def top_associations(corr: DataFrame, k: int) -> DataFrame:
@@ -125,7 +128,7 @@ def top_associations(corr: DataFrame, k: int) -> DataFrame:
 def chi_square(df: DataFrame, cols, target: str = TARGET, places: int = 6) -> DataFrame:
     """Pearson χ² of independence between each categorical column and the
     target: Σ (O − E)² / E over the observed contingency cells (rows with a
-    missing side dropped), with dof = (levels − 1)·(classes − 1).
+    missing side dropped), with dof = (levels − 1)·(classes − 1) and its p-value.
 
     One partially aggregated count per (column, level, class); the marginals
     come from that small table, never from the raw rows again.
@@ -144,5 +147,5 @@ def chi_square(df: DataFrame, cols, target: str = TARGET, places: int = 6) -> Da
     o = F.coalesce(F.col("o"), F.lit(0)).cast("double")
     return (grid.groupBy("feature").agg(F.sum((o - e) * (o - e) / e).alias("_chi"),
                                         F.first("k").alias("k"), F.first("m").alias("m"))
-            .select("feature", F.round("_chi", places).alias("statistic"),
-                    ((F.col("k") - 1) * (F.col("m") - 1)).cast("int").alias("dof")))
+            .select("feature", "_chi", ((F.col("k") - 1) * (F.col("m") - 1)).cast("int").alias("dof"))
+            .select("feature", F.round("_chi", places).alias("statistic"), "dof", F.round(chi_square_p(F.col("_chi"), F.col("dof")), places).alias("p_value")))

@@ -3,6 +3,7 @@ group rates, distributions and correlations."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.features import log1p_cols, with_features
@@ -12,9 +13,11 @@ from ..operators import distribution as dist
 from ..operators import ingest as ing
 from ..operators import profile as prof
 from ..operators import rates
+from ..operators.intervals import band_lookup
 from ..schema import (BILL_COLS, CORR_COLS, DOMAINS, FEATURES, HIST_BINS, HIST_BINS_FEATURES,
                       HIST_COLS, PAY_AMT_COLS, PAY_COLS, PROFILE_COLS, PROFILE_FEATURES, RAW_TARGET,
                       TOP_K_IMPORTANCES)
+from ..session import cut_lineage
 from ..sources.clients import client_view
 from . import oracle_sql as S
 from .catalog import clients, featured, register
@@ -53,6 +56,17 @@ def q_align_features(spark, d):
     return ing.align_features(featured(spark, d, "score"), None)
 
 
+_DASH_HAS = ["UTIL_RATE", "AVG_PAY_STATUS", "TOTAL_BILL", "TOTAL_PAY", "PAY_RATIO"]
+
+
+@register("align_features_absent", with_clients(
+    "SELECT ID, " + ", ".join(c if c in _DASH_HAS or c not in ENGINEERED_TRAIN else f"0 AS {c}" for c in FEATURES) + " FROM fd",
+    S.features_cte("fd", "dash")))
+def q_align_features_absent(spark, d):
+    """Dashboard frame, which lacks four of the model's features, projected onto its list: they become 0."""
+    return ing.align_features(featured(spark, d, "dash"), None)
+
+
 _dash_label_sel = (f"{S.SEX_LABEL} AS SEX_LABEL, {S.EDU_LABEL} AS EDU_LABEL, {S.MAR_LABEL} AS MAR_LABEL, "
                    f"{S.DEFAULT_LABEL} AS DEFAULT_LABEL, {S.age_group()} AS AGE_GROUP, "
                    f"{S.age_group_ord()} AS AGE_GROUP_ORD")
@@ -410,12 +424,22 @@ def q_corr_features(spark, d):
     return assoc.corr_with_target(featured(spark, d, "dash"), FEATURE_CORR_COLS + ["DEFAULT"], descending=True)
 
 
+def _t_p_sql(t: str, df: str, steps: int = 4000) -> str:
+    """Two-sided p of t by Simpson's rule over the density, substituted t = sqrt(df) tan(u)."""
+    # the density becomes cos(u)^(df-1) / B(df/2, 1/2) for u in (-pi/2, pi/2)
+    end = f"atan(abs({t}) / sqrt({df}))"
+    area = (f"list_sum(list_transform(range({steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+            f"* pow(cos(i * {end} / {steps}), {df} - 1))) * {end} / {steps} / 3")
+    return f"greatest(0.0, 1 - 2 * ({area}) * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()))"
+
+
 @register("corr_significance", with_clients(
-    "SELECT feature, r, n, round(r * sqrt((n - 2) / nullif(1 - r * r, 0)), 4) AS t_stat, "
-    "abs(r * sqrt((n - 2) / nullif(1 - r * r, 0))) > 1.96 AS significant FROM ("
-    + _corr_target_sql(_TARGET_COLS, "clients") + ")"))
+    "SELECT feature, r, n, round(t, 4) AS t_stat, round(p, 6) AS p_value, p < 0.05 AS significant FROM ("
+    f"SELECT *, CASE WHEN n > 2 THEN CASE WHEN abs(r) >= 1 THEN 0.0 ELSE {_t_p_sql('t', '(n - 2)')} END END AS p FROM ("
+    "SELECT *, r * sqrt((n - 2) / nullif(1 - r * r, 0)) AS t FROM ("
+    + _corr_target_sql(_TARGET_COLS, "clients") + ")))"))
 def q_corr_significance(spark, d):
-    """t statistic of each correlation with DEFAULT and a 5 % significance flag."""
+    """t statistic of each correlation with DEFAULT, its two-sided p-value and a 5 % significance flag."""
     return assoc.corr_significance(assoc.corr_with_target(clients(spark, d), CORR_COLS))
 
 
@@ -428,18 +452,56 @@ def q_top_importances(spark, d):
     return assoc.top_associations(corr, TOP_K_IMPORTANCES)
 
 
+@register("top_training_features", with_clients(
+    "SELECT feature, r, round(abs(r), 6) AS abs_r FROM (" + _corr_target_sql(FEATURES, "ft")
+    + f") WHERE r IS NOT NULL ORDER BY abs(r) DESC, feature LIMIT {TOP_K_IMPORTANCES}", S.features_cte("ft", "train")))
+def q_top_training_features(spark, d):
+    """The 15 of the 32 training features with the largest |r| with DEFAULT."""
+    corr = assoc.corr_with_target(featured(spark, d, "train"), [*FEATURES, "DEFAULT"])
+    return assoc.top_associations(corr.where("r is not null"), TOP_K_IMPORTANCES)
+
+
+_BANDS_SQL = ("limit_bands AS (SELECT EDUCATION, lag(LIMIT_BAL) OVER (PARTITION BY EDUCATION ORDER BY LIMIT_BAL) AS lo, LIMIT_BAL AS hi, "
+              "round(avg(CAST(\"DEFAULT\" AS DOUBLE)) * 100, 4) AS label FROM clients GROUP BY EDUCATION, LIMIT_BAL)")
+
+
+@register("limit_band_rate", with_clients(
+    "SELECT f.ID, f.EDUCATION, round(f.TOTAL_BILL / 6.0, 4) AS mean_bill, b.label AS peer_rate_pct FROM ft f LEFT JOIN limit_bands b "
+    "ON b.EDUCATION = f.EDUCATION AND (b.lo IS NULL OR f.TOTAL_BILL / 6.0 > b.lo) AND f.TOTAL_BILL / 6.0 <= b.hi",
+    S.features_cte("ft", "train"), _BANDS_SQL))
+def q_limit_band_rate(spark, d):
+    """Default rate of the clients of equal education whose limit is the next one from a client's mean bill
+    upwards: a lookup in a table of bands, one per education and distinct limit."""
+    rate = F.round(F.avg(F.col("DEFAULT").cast("double")) * 100, 4).alias("label")
+    limits = clients(spark, d).groupBy("EDUCATION", F.col("LIMIT_BAL").alias("hi")).agg(rate)
+    below = F.lag("hi").over(Window.partitionBy("EDUCATION").orderBy("hi"))      # one row per distinct limit
+    mean_bill = (F.col("TOTAL_BILL") / 6.0).alias("mean_bill")
+    rows = featured(spark, d, "train").select("ID", "EDUCATION", mean_bill)
+    found = band_lookup(rows, "mean_bill", cut_lineage(limits.withColumn("lo", below)), ["EDUCATION"])
+    return found.select("ID", "EDUCATION", F.round("mean_bill", 4).alias("mean_bill"), F.col("label").alias("peer_rate_pct"))
+
+
 __all__ = ["dashboard_frame"]
 
 
 _CHI_COLS = ["GENDER", "EDUCATION", "MARRIAGE"]
 
 
+def _chi_p_sql(x: str, k: str, steps: int = 4000) -> str:
+    """Upper tail of chi-square by Simpson's rule over the density of its square root."""
+    end = f"sqrt({x})"
+    area = (f"list_sum(list_transform(range({steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+            f"* pow(i * {end} / {steps}, {k} - 1) * exp(-pow(i * {end} / {steps}, 2) / 2))) * {end} / {steps} / 3")
+    return f"greatest(0.0, 1 - 2 * ({area}) / (pow(2, {k} / 2.0) * gamma({k} / 2.0)))"
+
+
 def _chi_sql() -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS level, \"DEFAULT\" AS y FROM clients "
         f"WHERE {c} IS NOT NULL AND \"DEFAULT\" IS NOT NULL" for c in _CHI_COLS)
     return (
-        "SELECT feature, round(SUM((COALESCE(o, 0) - e) * (COALESCE(o, 0) - e) / e), 6) AS statistic, "
+        f"SELECT feature, round(chi, 6) AS statistic, dof, round(CASE WHEN dof > 0 THEN {_chi_p_sql('chi', 'dof')} END, 6) AS p_value FROM ("
+        "SELECT feature, SUM((COALESCE(o, 0) - e) * (COALESCE(o, 0) - e) / e) AS chi, "
         "CAST((max(k) - 1) * (max(m) - 1) AS INTEGER) AS dof FROM ("
         "SELECT g.feature, g.level, g.y, ce.o, CAST(g.r AS DOUBLE) * g.c / g.n AS e, g.k, g.m FROM ("
         "SELECT r.feature, r.level, c.y, r.r, c.c, t.n, t.k, t.m FROM "
@@ -447,7 +509,7 @@ def _chi_sql() -> str:
         "(SELECT feature, y, COUNT(*) AS c FROM lv GROUP BY ALL) c USING (feature) JOIN "
         "(SELECT feature, COUNT(*) AS n, COUNT(DISTINCT level) AS k, COUNT(DISTINCT y) AS m FROM lv GROUP BY ALL) t "
         "USING (feature)) g LEFT JOIN (SELECT feature, level, y, COUNT(*) AS o FROM lv GROUP BY ALL) ce "
-        "USING (feature, level, y)) GROUP BY feature",
+        "USING (feature, level, y)) GROUP BY feature)",
         f"lv AS ({parts})")
 
 
@@ -456,5 +518,5 @@ _chi = _chi_sql()
 
 @register("chi_square_categoricals", with_clients(_chi[0], _chi[1]))
 def q_chi_square(spark, d):
-    """Pearson χ² statistic and dof of sex / education / marriage against DEFAULT."""
+    """Pearson χ² statistic, dof and p-value of sex / education / marriage against DEFAULT."""
     return assoc.chi_square(clients(spark, d), _CHI_COLS)
