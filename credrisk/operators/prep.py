@@ -9,6 +9,11 @@ scalars, and transform is plain column arithmetic.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -56,9 +61,10 @@ class PopulationStandardScalerModel(Model, _ScalerParams, DefaultParamsReadable,
 
 
 # --- Yeo-Johnson ----------------------------------------------------------------------
-# Fixed values of the λ search: coarse grid, then two refinements around the best.
-YJ_PASSES = [(0.0, 0.25, 12), (None, 0.025, 10), (None, 0.0025, 10)]
-YJ_LIMIT = 60.0
+# Fixed values of the λ search: first points, largest step, last step, digits of the result.
+YJ_CENTRE, YJ_STEP, YJ_SIDE = 1.0, 1.0, 4
+YJ_WIDEST, YJ_FINEST, YJ_PLACES = 1024.0, 1e-5, 4
+YJ_RESOLVED = 1e-26     # variance over squared mean below which doubles no longer tell values apart
 
 
 def yeo_johnson(x: Column, lam: Column) -> Column:
@@ -70,41 +76,85 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
+def yeo_johnson_values(x: np.ndarray, lam: float) -> np.ndarray:
+    """ψ(x, λ) of an array."""
+    with np.errstate(all="ignore"):
+        pos = np.log1p(x) if abs(lam) < 1e-12 else np.expm1(lam * np.log1p(x)) / lam
+        neg = -np.log1p(-x) if abs(lam - 2) < 1e-12 else -np.expm1((2 - lam) * np.log1p(-x)) / (2 - lam)
+    return np.where(x >= 0, pos, neg)
+
+
+def yeo_johnson_moments(df: DataFrame, points: dict[str, list[float]], centres: dict[str, float]) -> dict[tuple[str, float], tuple[float, float]]:
+    """(mean, variance) of ψ for every (column, λ): each task sums ψ and its square, shifted by ψ of
+    the column's mean, for all λ of a batch at once; one row per task and pair, added up by Spark."""
+    pairs = [(c, lam) for c, lams in points.items() for lam in lams]
+    shifts = [float(yeo_johnson_values(np.array([centres[c]]), lam)[0]) for c, lam in pairs]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(pairs), 3))
+        for batch in batches:
+            held = {c: x[~np.isnan(x)] for c in points for x in [batch[c].to_numpy(dtype=float)]}
+            with np.errstate(all="ignore"):
+                for k, (c, lam) in enumerate(pairs):
+                    z = yeo_johnson_values(held[c], lam) - shifts[k]
+                    sums[k] += len(z), z.sum(), (z * z).sum()
+        yield pd.DataFrame({"k": np.arange(len(pairs)), "n": sums[:, 0], "s": sums[:, 1], "q": sums[:, 2]})
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in points]).mapInPandas(partial, "k int, n double, s double, q double")
+    out = {}
+    for k, n, total, square in parts.groupBy("k").agg(F.sum("n"), F.sum("s"), F.sum("q")).collect():
+        if n:
+            out[pairs[k]] = (shifts[k] + total / n, square / n - (total / n) ** 2)
+    return out
+
+
 def yeo_johnson_lambdas(df: DataFrame, cols) -> DataFrame:
-    """Maximum-likelihood λ per column on a grid refined in three passes.
-
-    Each pass is one aggregation job: (column, value) rows × grid λ →
-    var_pop(ψ), n and Σ sign(x)·log1p|x| per (column, λ); llf(λ) =
-    −n/2·ln var + (λ−1)·Σ sign(x)·log1p|x|; the best λ (ties → smaller) centres
-    the next, finer grid.  A best λ on the edge of its grid becomes the centre of
-    another grid of the same step, so λ is not bounded; its resolution is the last
-    step.  Output: (variable, lambda).
+    """Maximum-likelihood λ per column, to four places.  Output: (variable, lambda).
+
+    llf(λ) = −n/2·ln var ψ + (λ−1)·Σ sign(x)·log1p|x|, so a pass only needs the variance of ψ at
+    some λ; no row is repeated per λ.  A pass evaluates nine equidistant λ of every column that is
+    still open.  While the best lies at the edge the points move there and widen; else the
+    vertex of the parabola through the best three becomes the centre of points that are sixteen times
+    closer (and that widen again if the vertex misled).
+
+    λ has no bound.  The likelihood of nearly constant values can rise until doubles no longer tell
+    their ψ apart; the last λ before that is the result.  A column without values or with a
+    single one has no λ.
     """
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])))
-    long = long.filter(F.col("x").isNotNull())
-    best, fitted = {c: float(YJ_PASSES[0][0]) for c in cols}, set()
-    for _, step, half in YJ_PASSES:
-        open_cols = list(cols)
-        while open_cols:
-            # previous winners: one scalar per column, passed as a literal map
-            base = F.element_at(F.create_map(*[e for c in open_cols for e in (F.lit(c), F.lit(best[c]))]), F.col("variable"))
-            grid = (long.filter(F.col("variable").isin(open_cols))
-                    .withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(-half, half + 1)])))
-                    .withColumn("lam", F.round(base + F.col("k") * step, 6)))
-            x, lam = F.col("x"), F.col("lam")
-            agg = grid.groupBy("variable", "lam").agg(
-                F.var_pop(yeo_johnson(x, lam)).alias("_var"), F.count(F.lit(1)).alias("_n"),
-                F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("_s"))
-            llf = -F.col("_n") / 2.0 * F.log(F.col("_var")) + (F.col("lam") - 1) * F.col("_s")
-            scored = agg.filter((F.col("_var") > 0) & (F.col("_var") < float("inf"))).withColumn("llf", llf)
-            winners = {r["variable"]: float(r["best"]) for r in scored.groupBy("variable").agg(
-                F.max_by(F.col("lam"), F.struct(F.col("llf"), -F.col("lam"))).alias("best")).collect()}
-            # a likelihood that only rises (nearly constant values) ends at YJ_LIMIT
-            open_cols = [c for c in winners if abs(winners[c] - best[c]) >= (half - 0.5) * step and abs(winners[c]) < YJ_LIMIT]
-            best.update(winners)
-            fitted.update(winners)
-    return df.sparkSession.createDataFrame([(c, best[c]) for c in cols if c in fitted], "variable string, lambda double")
+    cols = list(cols)
+    first = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (
+        ("n", F.count), ("a", F.avg), ("l", F.min), ("h", F.max), ("s", lambda x: F.sum(F.signum(x) * F.log1p(F.abs(x)))))]).first()
+    stat = {c: {k: first[f"{k}{i}"] for k in "nalhs"} for i, c in enumerate(cols)}
+    search = {c: (YJ_CENTRE, YJ_STEP) for c in cols if stat[c]["n"] and stat[c]["l"] < stat[c]["h"]}
+    fitted: dict[str, float] = {}
+    while search:
+        points = {c: [centre + k * step for k in range(-YJ_SIDE, YJ_SIDE + 1)] for c, (centre, step) in search.items()}
+        moments = yeo_johnson_moments(df, points, {c: stat[c]["a"] for c in points})
+        following = {}
+        for c, (_, step) in search.items():
+            llf = []
+            for lam in points[c]:
+                mean, var = moments[c, lam]
+                known = math.isfinite(mean) and math.isfinite(var) and var > YJ_RESOLVED * mean * mean
+                llf.append(-stat[c]["n"] / 2 * math.log(var) + (lam - 1) * stat[c]["s"] if known else -math.inf)
+            k = max(range(len(llf)), key=lambda j: llf[j])
+            best = points[c][k]
+            fitted[c] = best
+            sides = [llf[j] if 0 <= j < len(llf) else None for j in (k - 1, k + 1)]
+            if llf[k] == -math.inf or None in sides and step >= YJ_WIDEST:
+                continue                                              # nothing is resolved, or it rises for ever
+            if None in sides:
+                following[c] = (best, 2 * step)
+            elif -math.inf in sides:                                  # the edge of what doubles resolve
+                if step / YJ_SIDE >= YJ_FINEST:
+                    following[c] = (best, step / YJ_SIDE)
+            else:
+                bend = sides[0] - 2 * llf[k] + sides[1]
+                fitted[c] = best + (step * (sides[0] - sides[1]) / (2 * bend) if bend < 0 else 0.0)
+                if step > YJ_FINEST * 4 * YJ_SIDE:
+                    following[c] = (fitted[c], step / (4 * YJ_SIDE))
+        search = following
+    return df.sparkSession.createDataFrame([(c, round(fitted[c], YJ_PLACES) + 0.0) for c in cols if c in fitted], "variable string, lambda double")
 
 
 class _YJParams(HasInputCols, HasOutputCols):
@@ -115,7 +165,7 @@ class _YJParams(HasInputCols, HasOutputCols):
 
 class YeoJohnsonTransformer(Estimator, _YJParams, DefaultParamsReadable, DefaultParamsWritable):
     """Yeo-Johnson with λ by maximum likelihood, then standardized (the power
-    transform's default)."""
+    transform's default).  A column without a λ keeps its values (λ = 1)."""
 
     @keyword_only
     def __init__(self, inputCols=None, outputCols=None):

@@ -14,8 +14,8 @@ from .catalog import featured, register
 from .evaluation_queries import FT, SPLIT_CTE, _split
 from .oracle_sql import with_clients
 
-_FT_SPLIT = "fts AS (SELECT ft.*, spl.split FROM ft JOIN spl USING (ID))"
-_TR = "trf AS (SELECT * FROM fts WHERE split = 'train')"
+FT_SPLIT = "fts AS (SELECT ft.*, spl.split FROM ft JOIN spl USING (ID))"
+TRAIN = "trf AS (SELECT * FROM fts WHERE split = 'train')"
 
 
 def _featured_split(spark, d):
@@ -31,7 +31,7 @@ def _std_sql() -> str:
     return f"SELECT f.ID, {sel} FROM fts f, (SELECT {stats} FROM trf) m"
 
 
-@register("prep_standardize", with_clients(_std_sql(), FT, SPLIT_CTE, _FT_SPLIT, _TR))
+@register("prep_standardize", with_clients(_std_sql(), FT, SPLIT_CTE, FT_SPLIT, TRAIN))
 def q_prep_standardize(spark, d):
     """Population-std scaling of 11 numerics, fitted on the training split."""
     fs = _featured_split(spark, d)
@@ -48,7 +48,7 @@ def _one_hot_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@register("prep_one_hot", with_clients(_one_hot_sql(), FT, SPLIT_CTE, _FT_SPLIT, _TR))
+@register("prep_one_hot", with_clients(_one_hot_sql(), FT, SPLIT_CTE, FT_SPLIT, TRAIN))
 def q_prep_one_hot(spark, d):
     """One-hot of GENDER / EDUCATION / MARRIAGE on training levels, long form
     (ID, feature, level, value); an unseen level gives all zeros."""
@@ -59,39 +59,42 @@ def q_prep_one_hot(spark, d):
     return prep.one_hot_long(idx_model, enc)
 
 
-# --- Yeo-Johnson: the same three grid passes in SQL ------------------------------------------------
+# --- Yeo-Johnson: λ by golden-section search in SQL -----------------------------------------------
 def _psi(x: str, lam: str) -> str:
     return (f"(CASE WHEN {x} >= 0 THEN (CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {x}) ELSE (pow({x} + 1, {lam}) - 1) / {lam} END) "
             f"ELSE (CASE WHEN abs({lam} - 2) < 1e-12 THEN -ln(1 - {x}) ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END) END)")
 
 
-def _yj_ctes() -> list[str]:
+YJ_BRACKET = (-10.0, 12.0)   # where the twin looks for the highest likelihood
+
+
+def yj_ctes(rounds: int = 52) -> list[str]:
+    """Golden-section search: each round keeps the side of the two inner points with the higher likelihood."""
     long = " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS x FROM trf" for c in BILL_COLS)
-    ctes = [f"yjl AS (SELECT * FROM ({long}) WHERE x IS NOT NULL)"]
-    prev = None
-    for i, (center, step, half) in enumerate(prep.YJ_PASSES, start=1):
-        base = (f"round({center} + k * {step}, 6)" if prev is None else f"round(b.best + k * {step}, 6)")
-        src = ("yjl" if prev is None else f"yjl JOIN {prev} b USING (variable)")
-        ctes.append(
-            f"g{i} AS (SELECT variable, lam, var_pop({_psi('x', 'lam')}) AS v, COUNT(*) AS n, "
-            f"SUM(sign(x) * ln(1 + abs(x))) AS s FROM (SELECT variable, x, {base} AS lam FROM {src}, "
-            f"range({-half}, {half + 1}) t(k)) GROUP BY variable, lam)")
-        ctes.append(
-            f"b{i} AS (SELECT variable, first(lam ORDER BY (CASE WHEN v > 0 THEN -n / 2.0 * ln(v) + (lam - 1) * s END) "
-            f"DESC NULLS LAST, lam ASC) AS best FROM g{i} GROUP BY variable)")
-        prev = f"b{i}"
+    g = (5 ** 0.5 - 1) / 2
+    lo, hi = YJ_BRACKET
+
+    def llf(lam: str) -> str:
+        return f"-count(*) / 2.0 * ln(var_pop({_psi('x', lam)})) + ({lam} - 1) * sum(sign(x) * ln(1 + abs(x)))"
+    ctes = [f"yjl AS (SELECT * FROM ({long}) WHERE x IS NOT NULL)",
+            f"yg0 AS (SELECT variable, {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi FROM yjl GROUP BY variable HAVING min(x) < max(x))"]
+    for k in range(rounds):
+        ctes.append(f"yg{k + 1} AS MATERIALIZED (SELECT variable, CASE WHEN fl < fr THEN l ELSE lo END AS lo, CASE WHEN fl < fr THEN hi ELSE r END AS hi FROM ("
+                    f"SELECT variable, lo, hi, l, r, {llf('l')} AS fl, {llf('r')} AS fr FROM "
+                    f"(SELECT *, hi - {g} * (hi - lo) AS l, lo + {g} * (hi - lo) AS r FROM yg{k}) JOIN yjl USING (variable) GROUP BY variable, lo, hi, l, r))")
+    ctes.append(f"yjb AS MATERIALIZED (SELECT variable, round((lo + hi) / 2, {prep.YJ_PLACES}) AS best FROM yg{rounds})")
     return ctes
 
 
 @register("yeo_johnson_lambda", with_clients(
-    f"SELECT variable, best AS lambda FROM b{len(prep.YJ_PASSES)}", FT, SPLIT_CTE, _FT_SPLIT, _TR, *_yj_ctes()))
+    "SELECT variable, best AS lambda FROM yjb", FT, SPLIT_CTE, FT_SPLIT, TRAIN, *yj_ctes()))
 def q_yeo_johnson_lambda(spark, d):
-    """Maximum-likelihood Yeo-Johnson λ per bill column (three-pass grid) on the training split."""
+    """Maximum-likelihood Yeo-Johnson λ per bill column on the training split."""
     return prep.yeo_johnson_lambdas(smp.train_part(_featured_split(spark, d)), BILL_COLS)
 
 
 def _yj_apply_sql() -> str:
-    lam = f"b{len(prep.YJ_PASSES)}"
+    lam = "yjb"
     stats = " UNION ALL ".join(
         f"SELECT '{c}' AS variable, avg({_psi(f'CAST(t.{c} AS DOUBLE)', 'b.best')}) AS m, "
         f"stddev_pop({_psi(f'CAST(t.{c} AS DOUBLE)', 'b.best')}) AS sd FROM trf t, {lam} b WHERE b.variable = '{c}'"
@@ -104,10 +107,10 @@ def _yj_apply_sql() -> str:
     return f"SELECT f.ID, {sel} FROM fts f {joins}", f"yjs AS ({stats})"
 
 
-_yja = _yj_apply_sql()
+YJ_APPLY = _yj_apply_sql()
 
 
-@register("prep_yeo_johnson", with_clients(_yja[0], FT, SPLIT_CTE, _FT_SPLIT, _TR, *_yj_ctes(), _yja[1]))
+@register("prep_yeo_johnson", with_clients(YJ_APPLY[0], FT, SPLIT_CTE, FT_SPLIT, TRAIN, *yj_ctes(), YJ_APPLY[1]))
 def q_prep_yeo_johnson(spark, d):
     """Yeo-Johnson + standardization of the six bills, fitted on the training split."""
     fs = _featured_split(spark, d)
