@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.recode import default_label
 from ..schema import TARGET
-from .ordered import exact_quantiles, quantile_columns
+from ..session import cut_lineage
+from .ordered import wide_summary
 
 
 def _stack(df: DataFrame, cols, keep) -> DataFrame:
@@ -39,28 +40,26 @@ def histogram_by_class(df: DataFrame, cols, n_bins: int, label: str = TARGET) ->
 
 def box_by_class(df: DataFrame, cols, label: str = TARGET) -> DataFrame:
     """Five-number summary per (variable, class) with 1.5·IQR fences, whiskers
-    at the most extreme points inside the fences, and the outlier count."""
-    lab = df.withColumn("DEFAULT_LABEL", default_label(label))
-    long = _stack(lab, cols, ["DEFAULT_LABEL"]).filter(
-        F.col("value").isNotNull() & F.col("DEFAULT_LABEL").isNotNull())
+    at the most extreme points inside the fences, and the outlier count: two scans for the
+    quartiles, one for what the fences cut off, none of them over stacked columns."""
+    cols = list(cols)
+    lab = df.select(default_label(label).alias("DEFAULT_LABEL"), *[F.col(c).cast("double").alias(c) for c in cols]).filter("DEFAULT_LABEL is not null")
     g = ["variable", "DEFAULT_LABEL"]
-    q = quantile_columns(exact_quantiles(long, g, "value", [0.25, 0.5, 0.75]), g,
-                         {0.25: "q1", 0.5: "median", 0.75: "q3"})
     iqr = F.col("q3") - F.col("q1")
-    fences = q.select(*g, "q1", "median", "q3",
-                      (F.col("q1") - 1.5 * iqr).alias("lower_fence"),
-                      (F.col("q3") + 1.5 * iqr).alias("upper_fence"))
-    x = F.col("value")
-    inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
-    # fences: (variables x classes) rows, bounded; broadcast to the value rows
-    stats = long.join(F.broadcast(fences), g).groupBy(*g, "q1", "median", "q3",
-                                                         "lower_fence", "upper_fence").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(x).alias("min"), F.max(x).alias("max"),
-        F.min(F.when(inside, x)).alias("whisker_lo"),
-        F.max(F.when(inside, x)).alias("whisker_hi"),
-        F.count_if(~inside).alias("n_outliers"))
+    boxes = cut_lineage(wide_summary(lab, cols, {0.25: "q1", 0.5: "median", 0.75: "q3"}, ["DEFAULT_LABEL"]).filter("count > 0").select(
+        *g, F.col("count").alias("n"), "min", "q1", "median", "q3", "max",
+        (F.col("q1") - 1.5 * iqr).alias("lower_fence"), (F.col("q3") + 1.5 * iqr).alias("upper_fence")))
+    # (variables x classes) rows, bounded; one row per class is broadcast to the value rows
+    fences = boxes.groupBy("DEFAULT_LABEL").agg(F.map_from_entries(F.collect_list(F.struct("variable", F.struct("lower_fence", "upper_fence")))).alias("_f"))
+    sides = []
+    for i, c in enumerate(cols):
+        x, fence = F.col(c), F.col("_f")[F.lit(c)]
+        inside = (x >= fence["lower_fence"]) & (x <= fence["upper_fence"])
+        sides += [F.min(F.when(inside, x)).alias(f"lo{i}"), F.max(F.when(inside, x)).alias(f"hi{i}"), F.count_if(~inside).alias(f"out{i}")]
+    cut = lab.join(F.broadcast(fences), "DEFAULT_LABEL").groupBy("DEFAULT_LABEL").agg(*sides).select("DEFAULT_LABEL", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(f"lo{i}").alias("whisker_lo"), F.col(f"hi{i}").alias("whisker_hi"), F.col(f"out{i}").alias("n_outliers"))
+        for i, c in enumerate(cols)])))
     r = lambda c: F.round(c, 4).alias(c)
-    return stats.select(*g, "n", r("min"), r("q1"), r("median"), r("q3"), r("max"),
-                        r("lower_fence"), r("upper_fence"), r("whisker_lo"), r("whisker_hi"),
-                        "n_outliers").orderBy(*g)
+    return boxes.join(cut, g).select(*g, "n", r("min"), r("q1"), r("median"), r("q3"), r("max"),
+                                     r("lower_fence"), r("upper_fence"), r("whisker_lo"), r("whisker_hi"),
+                                     "n_outliers").orderBy(*g)

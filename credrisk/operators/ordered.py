@@ -160,3 +160,66 @@ def quantile_columns(qdf: DataFrame, groups: list[str], names: dict[float, str])
     """Pivot the (groups, q, quantile) output to one column per quantile."""
     return qdf.groupBy(*groups).agg(
         *[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(n) for q, n in names.items()])
+
+
+STATS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+
+
+def wide_summary(df: DataFrame, cols: list[str], qs: dict[float, str], groups: list[str] | None = None,
+                 accuracy: int = 10_000, most: int = 200_000) -> DataFrame:
+    """count, mean, sample std, min, max and exact quantiles (linear interpolation) of many columns:
+    one row per group and column, in two scans of ``df`` that never stack its columns.
+
+    The first scan takes all moments and a sketch of every column.  A sketch has a proven rank error,
+    so the values strictly between its two marks around a quantile are a few ten-thousandths of the
+    rows; the second scan counts what lies below and on the marks and gathers what lies between them.
+    That is at most ``most`` values in all, known after the first scan; beyond it the quantiles
+    come from :func:`exact_quantiles`, which ranks them on many tasks.
+    """
+    cols, groups = list(cols), list(groups or [])
+    slack, number = 2.0 / accuracy, {i: F.col(c).cast("double") for i, c in enumerate(cols)}
+    marks = [min(1.0, max(0.0, q + side)) for q in qs for side in (-slack, slack)]
+    first = df.groupBy(*groups).agg(*[f(x).alias(f"{k}{i}") for i, x in number.items() for k, f in STATS.items()],
+                                    *[F.percentile_approx(x, marks, accuracy).alias(f"m{i}") for i, x in number.items()])
+    first = cut_lineage(first)  # one row per group
+    basic = first.select(*groups, F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), *[F.col(f"{k}{i}").alias(k) for k in STATS])
+                                                     for i, c in enumerate(cols)])))
+    between = first.agg(F.sum(sum(F.col(f"count{i}") for i in number))).first()[0] or 0
+    if between * 6 * slack * len(qs) > most:
+        stacked = df.select(*groups, F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), number[i].alias("value")) for i, c in enumerate(cols)])))
+        q = quantile_columns(exact_quantiles(stacked, [*groups, "variable"], "value", list(qs)), [*groups, "variable"], qs)
+        return basic.join(q, [*groups, "variable"], "left")
+    held = [F.col(f"m{i}") for i in number]
+    if groups:
+        placed = df.join(F.broadcast(first.select(*groups, *held)), groups)
+    else:
+        row = first.first()
+        placed = df.select("*", *[F.array(*[F.lit(float(v)) for v in row[f"m{i}"] or []]).cast("array<double>").alias(f"m{i}") for i in number])
+    sides = []
+    for i, x in number.items():
+        for j in range(len(qs)):
+            lo, hi = F.get(f"m{i}", F.lit(2 * j)), F.get(f"m{i}", F.lit(2 * j + 1))
+            sides += [F.count_if(x < lo).alias(f"b{i}_{j}"), F.max(F.when(x < lo, x)).alias(f"p{i}_{j}"), F.count_if(x == lo).alias(f"l{i}_{j}"),
+                      F.collect_list(F.when((x > lo) & (x < hi), x)).alias(f"v{i}_{j}"), F.count_if((x == hi) & (hi > lo)).alias(f"h{i}_{j}"),
+                      F.min(F.when(x > hi, x)).alias(f"x{i}_{j}"), F.first(lo).alias(f"lo{i}_{j}"), F.first(hi).alias(f"hi{i}_{j}"), F.count(x).alias(f"n{i}_{j}")]
+    second = placed.groupBy(*groups).agg(*sides)
+
+    def order_statistic(at: Column, i: int, j: int) -> Column:
+        below, on, inside, top = (F.col(f"{k}{i}_{j}") for k in "blvh")
+        size = F.size(inside)
+        return (F.when(at == below - 1, F.col(f"p{i}_{j}")).when((at >= below) & (at < below + on), F.col(f"lo{i}_{j}"))
+                .when((at >= below + on) & (at < below + on + size), F.get(F.array_sort(inside), (at - below - on).cast("int")))
+                .when((at >= below + on + size) & (at < below + on + size + top), F.col(f"hi{i}_{j}"))
+                .when(at == below + on + size + top, F.col(f"x{i}_{j}"))
+                .otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double")))
+
+    def quantile(i: int, j: int, q: float) -> Column:
+        pos = F.lit(float(q)) * (F.col(f"n{i}_{j}") - 1)
+        at = F.floor(pos).cast("long")
+        low = order_statistic(at, i, j)
+        high = F.when(pos > at, order_statistic(at + 1, i, j)).otherwise(low)
+        return F.when(F.col(f"n{i}_{j}") > 0, low + (pos - at) * (high - low))
+
+    found = second.select(*groups, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("variable"), *[quantile(i, j, q).alias(name) for j, (q, name) in enumerate(qs.items())]) for i, c in enumerate(cols)])))
+    return basic.join(found, [*groups, "variable"], "left")

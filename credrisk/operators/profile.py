@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.recode import default_label, pay_status_label
 from ..schema import BILL_COLS, TARGET
-from .ordered import exact_quantiles, quantile_columns
+from .ordered import wide_summary
 
 
 def kpi_summary(df: DataFrame, n_features: int) -> DataFrame:
@@ -43,20 +43,9 @@ def duplicate_ids(df: DataFrame, key: str = "ID") -> DataFrame:
 
 def numeric_summary(df: DataFrame, cols, places: int | None = 4) -> DataFrame:
     """count, mean, sample std, min, exact 25/50/75 % (linear), max per column,
-    one row per column, rounded to ``places`` (not at all with None).  The quantiles use the distributed exact plan of
-    :mod:`ordered` (no single-task percentile buffer)."""
-    stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])))
-    basic = stacked.groupBy("variable").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = quantile_columns(exact_quantiles(stacked, ["variable"], "value", [0.25, 0.5, 0.75]),
-                         ["variable"], {0.25: "p25", 0.5: "median", 0.75: "p75"})
-    out = basic.join(q, "variable", "left")
+    one row per column, rounded to ``places`` (not at all with None); two scans
+    (:func:`ordered.wide_summary`, no single-task percentile buffer)."""
+    out = wide_summary(df, cols, {0.25: "p25", 0.5: "median", 0.75: "p75"})
     if places is None:
         return out
     return out.select(
