@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -162,12 +162,17 @@ class Block:
     node: np.ndarray
 
     @classmethod
-    def of(cls, rows: list, fits: int) -> Block:
+    def of(cls, rows: list, fits: int = 0) -> Block:
         n = len(rows)
         return cls(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.uint8).reshape(n, -1),
                    np.array([r[2] for r in rows], dtype=np.float64), np.array([r[3] for r in rows], dtype=np.float32).reshape(n, -1).T.copy(),
                    np.zeros((fits, n)), np.zeros((fits, n), dtype=np.int16))
 
+    def for_fits(self, fits: int) -> Block:
+        """The same rows for ``fits`` fits that begin."""
+        n = len(self.ids)
+        return replace(self, margin=np.zeros((fits, n)), node=np.zeros((fits, n), dtype=np.int16))
+
     def histogram(self, k: int, growth_view: tuple[Fit, int, np.ndarray, int], bins: int) -> np.ndarray:
         """(2, open nodes, columns, bins) of fit ``k``: gradients and hessians of its drawn training rows."""
         fit, tree, columns, nodes = growth_view
@@ -243,12 +248,15 @@ def boost(rows: DataFrame, fits: list[Fit], max_bins: int = MAX_BINS, block_rows
     blocks, cores = -(-n // block_rows), max(1, context.defaultParallelism)
     groups = 1 if blocks >= cores else min(len(fits), -(-cores // blocks))
     if blocks == 1:
-        groups = len(fits)
+        groups = min(len(fits), 3 * cores)
     # the longest fits first, dealt out evenly
     order = sorted(range(len(fits)), key=lambda k: -fits[k].trees * fits[k].depth)
     dealt = [[k for i, k in enumerate(order) if i % groups == g] for g in range(groups)]
-    placed = binned(rows, cuts).map(lambda r: (r[0] % blocks, r)).groupByKey(blocks) if blocks > 1 else binned(rows, cuts).map(lambda r: (0, r)).groupByKey(1)
-    state = placed.flatMap(lambda kv: [((kv[0], g), (kv[0], g, Block.of(list(kv[1]), len(dealt[g])))) for g in range(groups)])
+    def dealt_out(item: tuple) -> Iterator[tuple]:
+        block = Block.of(list(item[1]))
+        return (((item[0], g), (item[0], g, block.for_fits(len(dealt[g])))) for g in range(groups))
+
+    state = binned(rows, cuts).map(lambda r: (r[0] % blocks, r)).groupByKey(blocks).flatMap(dealt_out)
     state = state.partitionBy(blocks * groups, lambda key: key[0] * groups + key[1]).values()
     if blocks == 1:
         return _grown_in_tasks(state, fits, dealt, n_features, bins), cuts

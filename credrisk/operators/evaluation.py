@@ -131,6 +131,23 @@ def pr_curve(pred: DataFrame, label: str = "label", score: str = "score",
     return body.unionByName(close)
 
 
+def thinned(curve: DataFrame, order: str, along: str, across: str, slices: int, by: list[str] | None = None) -> DataFrame:
+    """At most ``4 * slices`` + 4 points of a curve per group, in the same columns.
+
+    ``along`` runs from 0 to 1 without turning back in the sense of ``order`` (of ties any).  In each of
+    ``slices`` equal parts of it the first and the last point stay, and those of the smallest and largest
+    ``across``.  So every point that goes lies within 1 / ``slices`` of a kept one along the curve, and
+    across it between two kept ones.  One partial aggregate; no group of points is gathered.
+    """
+    by = list(by or [])
+    part = F.least(F.floor(F.col(along) * slices), F.lit(slices)).cast("int")
+    point = F.struct(*curve.columns)
+    kept = curve.groupBy(*by, part.alias("_part")).agg(
+        F.min_by(point, F.struct(order, across)).alias("a"), F.max_by(point, F.struct(order, across)).alias("b"),
+        F.min_by(point, F.struct(across, order)).alias("c"), F.max_by(point, F.struct(across, order)).alias("d"))
+    return kept.select(F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("p")).select("p.*")
+
+
 def log_loss(pred: DataFrame, label: str = "label", score: str = "score", places: int = 6) -> DataFrame:
     """Mean binary cross-entropy with p clipped to [1e-15, 1 − 1e-15]."""
     p = F.least(F.lit(1 - EPS), F.greatest(F.lit(EPS), F.col(score)))

@@ -18,16 +18,15 @@ from ..sources.clients import client_view
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SEARCHED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}  # need both searches: hours, so no sweep walks over them
 ORACLE: dict[str, str] = {}
 DOCS: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None, searched: bool = False):
+def register(name: str, sql: str | None = None):
     def deco(fn):
-        if name in QUERIES or name in SEARCHED:
+        if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        (SEARCHED if searched else QUERIES)[name] = fn
+        QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
         DOCS[name] = (fn.__doc__ or "").strip().splitlines()[0] if fn.__doc__ else ""
@@ -35,12 +34,19 @@ def register(name: str, sql: str | None = None, searched: bool = False):
     return deco
 
 
-_MATERIALISED: dict[tuple[str, ...], DataFrame] = {}
+_MATERIALISED: dict[tuple, DataFrame] = {}
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
-    """Names of the files that the client view is derived from."""
-    return tuple(f for t in ("customer", "orders", "lineitem") for f in sorted(table(spark, sf_dir, t).inputFiles()))
+def source_files(spark: SparkSession, sf_dir: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, size, modification time) of the files that the client view is derived from, so that
+    a file rewritten under its name counts as another one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in (f for t in ("customer", "orders", "lineitem") for f in sorted(table(spark, sf_dir, t).inputFiles())):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
 
 
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,16 +19,17 @@ from ..operators.leaderboard import comparison_rows, confusion_by_model, leaderb
 from ..operators.prep import preparation
 from ..operators.scoring import scorecard_score, with_tier
 from ..operators.smote import knn_lists, smote
-from ..schema import FEATURES, SMOTE_RATIO
+from ..schema import BILL_COLS, CAT_COLS, FEATURES, NUM_BASE_COLS, PAY_AMT_COLS, PAY_COLS, SMOTE_RATIO
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.clients import client_view
-from ..sources.io import REGISTRY, failed_models, write_leaderboard, write_results
+from ..sources.io import failed_models, publish_models, read_registry, write_leaderboard, write_results
 from ..sources.tables import table
 from ..streaming.scoring_stream import run_file_stream
 from . import oracle_sql as S
 from .catalog import featured, register, source_files
 from .evaluation_queries import CARDS, FT, SPLIT_CTE, _card_preds, _card_preds_sql, _div0, _split, score_sql
 from .oracle_sql import with_clients
+from .prep_queries import FT_SPLIT, TRAIN, YJ_APPLY, yj_ctes
 
 BY_NAME = {c.name: c for c in mdl.CONFIGS}
 _MADE: dict = {}
@@ -65,23 +66,66 @@ def _prepared(spark, d, kind: str):
     return fitted.transform(data).select("ID", "split", vector_to_array("features").alias("features"))
 
 
+def _slots(prepared):
+    """(ID, split, slot, value): the prepared vectors as rows, to six places."""
+    return prepared.select("ID", "split", F.posexplode("features").alias("slot", "value")).select(
+        "ID", "split", "slot", F.round("value", 6).alias("value"))
+
+
+def _matrix_sql(cat: str) -> str:
+    """One-hot slots of a category: its training levels in text order."""
+    return (f"list_transform((SELECT list(level ORDER BY level) FROM (SELECT DISTINCT CAST({cat} AS VARCHAR) AS level FROM trf)), "
+            f"lambda l: CAST(CAST(f.{cat} AS VARCHAR) = l AS DOUBLE))")
+
+
+def _linear_sql() -> tuple[str, list[str]]:
+    """The linear preparation from the twins of its parts, as one list per client."""
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in NUM_BASE_COLS)
+    parts = [f"y.yj__{c}" for c in BILL_COLS] + [f"round(ln(1 + CAST(f.{c} AS DOUBLE)), 6)" for c in PAY_AMT_COLS]
+    parts += [f"round((CAST(f.{c} AS DOUBLE) - m.m_{c}) / (CASE WHEN m.s_{c} = 0 THEN 1.0 ELSE m.s_{c} END), 6)" for c in NUM_BASE_COLS]
+    parts += [f"CAST(f.{c} AS DOUBLE)" for c in PAY_COLS]
+    hot = " || ".join(_matrix_sql(c) for c in CAT_COLS)
+    return (f"SELECT f.ID, f.split, [{', '.join(parts)}] || {hot} AS features FROM fts f JOIN yjv y USING (ID), numeric_stats m",
+            [FT, SPLIT_CTE, FT_SPLIT, TRAIN, *yj_ctes(), YJ_APPLY[1], f"yjv AS ({YJ_APPLY[0]})", f"numeric_stats AS (SELECT {stats} FROM trf)"])
+
+
+_lin = _linear_sql()
+_SLOTS_SQL = ("SELECT ID, split, CAST(i - 1 AS INTEGER) AS slot, features[i] AS value FROM "
+              "(SELECT *, unnest(range(1, len(features) + 1)) AS i FROM ({}))")
+
+
 @register("prep_linear")
 def q_prep_linear(spark, d):
     """Linear preparation (Yeo-Johnson, log1p, scaling, one-hot) fitted on train, all rows."""
     return _prepared(spark, d, "linear")
 
 
+@register("prep_linear_slots", with_clients(_SLOTS_SQL.format(_lin[0]), *_lin[1]))
+def q_prep_linear_slots(spark, d):
+    """The same, one row per client and slot of the vector."""
+    return _slots(_prepared(spark, d, "linear"))
+
+
 @register("prep_tree")
 def q_prep_tree(spark, d):
     """Tree preparation (one-hot + pass-through) fitted on train, all rows."""
     return _prepared(spark, d, "tree")
 
 
+@register("prep_tree_slots", with_clients(_SLOTS_SQL.format(
+    f"SELECT f.ID, f.split, {' || '.join(_matrix_sql(c) for c in CAT_COLS)} || "
+    f"[{', '.join(f'round(CAST(f.{c} AS DOUBLE), 6)' for c in FEATURES if c not in CAT_COLS)}] AS features FROM fts f"),
+    FT, SPLIT_CTE, FT_SPLIT, TRAIN))
+def q_prep_tree_slots(spark, d):
+    """The same, one row per client and slot of the vector."""
+    return _slots(_prepared(spark, d, "tree"))
+
+
 # --- training: one artifact per configuration ------------------------------------------------
 def trained(spark, d, name: str) -> dict:
-    """Fit one configuration and write its bundle into the shared folder: the pipeline, the
-    predictions of both splits, and its importances; the returned card names them.  Bundles
-    belong to the application, the source files and the settings; nothing stale is reused."""
+    """Fit one configuration and write its bundle into a fresh place in the shared folder: the
+    pipeline, the predictions of both splits, and its importances; the returned card names them.  Bundles
+    belong to the application, the source files (with sizes and times) and the settings."""
     cfg = BY_NAME[name]
     key = hashlib.md5(repr((cfg, *source_files(spark, d))).encode()).hexdigest()
 
@@ -92,7 +136,7 @@ def trained(spark, d, name: str) -> dict:
             model, best, _ = mdl.random_search(cfg, train)
         else:
             model = mdl.fit(cfg, train)
-        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundles/{key}"
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundles/{key}-{uuid.uuid4().hex}"
         model.write().overwrite().save(f"{base}/model")
         scored = mdl.with_probability(model.transform(data)).select(
             F.lit(cfg.name).alias("model"), F.lit(cfg.group).alias("group"), F.lit(cfg.threshold).alias("threshold"),
@@ -176,11 +220,14 @@ def _board(spark, cards):
     return leaderboard(board, confusion_by_model(preds))
 
 
-def results_of(spark, cards: list[dict], curve_points: bool = False):
-    """Results document of trained configurations: metrics, confusion matrix, importances, best
-    parameters; with ``curve_points`` also the curves as arrays (one entry per distinct score)."""
+CURVE_SLICES = 128
+
+
+def results_of(spark, cards: list[dict]):
+    """Results document of trained configurations: metrics, confusion matrix, curves thinned to
+    at most ``4 * CURVE_SLICES`` + 4 points, importances, best parameters."""
     preds = _all_predictions(spark, cards)
-    doc = results_document(preds, curve_points)
+    doc = results_document(preds, curve_points=True, slices=CURVE_SLICES)
     fi = _all_importances(spark, cards).groupBy("model").agg(  # at most 32 features per model
         F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("feature_importances"))
     best = spark.createDataFrame([(c["model"], c["best_params"]) for c in cards], "model string, best_params map<string,string>")
@@ -193,7 +240,7 @@ def q_results_untuned(spark, d):
     return _result_rows(spark, trained_all(spark, d, UNTUNED))
 
 
-@register("results_all", searched=True)
+@register("results_all")
 def q_results_all(spark, d):
     """Results document of all thirteen configurations, importances and best parameters as rows."""
     return _result_rows(spark, trained_all(spark, d))
@@ -208,13 +255,32 @@ def _result_rows(spark, cards):
     return doc.select("model", "auc", "f1", F.inline_outer(entries))
 
 
+@register("result_curves_untuned")
+def q_result_curves_untuned(spark, d):
+    """ROC and PR curves in the results document of the eleven configurations without a search, as rows."""
+    return _curve_rows(spark, trained_all(spark, d, UNTUNED))
+
+
+@register("result_curves_all")
+def q_result_curves_all(spark, d):
+    """ROC and PR curves in the results document of all thirteen configurations, as rows."""
+    return _curve_rows(spark, trained_all(spark, d))
+
+
+def _curve_rows(spark, cards):
+    curves = F.array(F.struct(F.lit("roc").alias("curve"), F.arrays_zip(F.col("fpr").alias("x"), F.col("tpr").alias("y")).alias("points")),
+                     F.struct(F.lit("pr").alias("curve"), F.arrays_zip(F.col("rec").alias("x"), F.col("prec").alias("y")).alias("points")))
+    rows = results_of(spark, cards).select("model", F.inline(curves)).select("model", "curve", F.posexplode("points").alias("point", "p"))
+    return rows.select("model", "curve", "point", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
 @register("top_importances_by_model")
 def q_top_importances_by_model(spark, d):
     """The 15 most important features of every model without a search."""
     return _top_importances(spark, trained_all(spark, d, UNTUNED))
 
 
-@register("top_importances_all", searched=True)
+@register("top_importances_all")
 def q_top_importances_all(spark, d):
     """The 15 most important features of all thirteen models."""
     return _top_importances(spark, trained_all(spark, d))
@@ -273,7 +339,7 @@ def _with_distances(lists):
 
 
 # --- persistence, registry, batch and stream scoring ---------------------------------------------
-def load_registry(spark, cards):
+def load_status(cards) -> list[tuple]:
     """Registry rows; a model whose directory cannot be loaded is kept with its error text."""
     out = []
     for c in cards:
@@ -282,7 +348,7 @@ def load_registry(spark, cards):
             out.append((c["model"], c["path"], c["features"], c["threshold"], "loaded", None))
         except Exception as e:  # noqa: BLE001 — the failure is the row's content
             out.append((c["model"], c["path"], c["features"], c["threshold"], "failed", f"{type(e).__name__}: {str(e)[:500]}"))
-    return spark.createDataFrame(out, REGISTRY)
+    return out
 
 
 @register("model_registry")
@@ -291,7 +357,7 @@ def q_model_registry(spark, d):
     return _reread_registry(spark, trained_all(spark, d, UNTUNED))
 
 
-@register("model_registry_all", searched=True)
+@register("model_registry_all")
 def q_model_registry_all(spark, d):
     """All thirteen bundles and their load status (one missing path included), written and reread."""
     return _reread_registry(spark, trained_all(spark, d))
@@ -299,9 +365,10 @@ def q_model_registry_all(spark, d):
 
 def _reread_registry(spark, cards):
     cards = [*cards, {**cards[0], "model": "Missing Model", "path": cards[0]["path"] + "-absent", "threshold": 0.5}]
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry/{uuid.uuid4().hex}"
-    load_registry(spark, cards).write.json(path)
-    return spark.read.schema(REGISTRY).json(path)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry/{uuid.uuid4().hex}"
+    publish_models(spark, root, [(c["model"], c["path"], c["features"], c["threshold"], "published", None) for c in cards])
+    publish_models(spark, root, load_status(cards))     # a later commit replaces the rows of an earlier one
+    return read_registry(spark, root)
 
 
 @register("failed_artifacts")
@@ -310,7 +377,7 @@ def q_failed_artifacts(spark, d):
     return failed_models(q_model_registry(spark, d)).select("model", "status", "error")
 
 
-@register("failed_artifacts_all", searched=True)
+@register("failed_artifacts_all")
 def q_failed_artifacts_all(spark, d):
     """Registry rows of all thirteen configurations whose bundle could not be loaded."""
     return failed_models(q_model_registry_all(spark, d)).select("model", "status", "error")
@@ -354,10 +421,11 @@ def _stream_source(spark, d) -> str:
 
 
 # --- results document ------------------------------------------------------------------------------
-def results_document(preds, curve_points: bool = False):
+def results_document(preds, curve_points: bool = False, slices: int | None = None):
     """One row per model: auc, f1, confusion matrix; with ``curve_points`` also the ROC and PR
-    curves as arrays, one entry per distinct score (bounded where scores are rounded).  The curves
-    themselves are the long tables of ``ev.roc_curve`` and ``ev.pr_curve``."""
+    curves as arrays, one entry per distinct score (bounded where scores are rounded), or with ``slices``
+    thinned to at most ``4 * slices`` + 4 points.  The curves themselves are the long tables of
+    ``ev.roc_curve`` and ``ev.pr_curve``."""
     test = preds.filter(F.col("split") == "test")
     auc = ev.roc_auc(test, by=["model"], places=6)
     cm = confusion_by_model(preds)
@@ -368,6 +436,10 @@ def results_document(preds, curve_points: bool = False):
         return doc
     roc = ev.roc_curve(test, by=["model"]).withColumn("_o", F.coalesce(-F.col("threshold"), F.lit(-2.0)))
     pr = ev.pr_curve(test, by=["model"]).withColumn("_o", F.coalesce(F.col("threshold"), F.lit(2.0)))
+    if slices:
+        # both rates only rise along the ROC curve, so their mean measures it; recall measures the other one
+        roc = ev.thinned(roc.withColumn("_u", (F.col("fpr") + F.col("tpr")) / 2), "_o", "_u", "tpr", slices, ["model"])
+        pr = ev.thinned(pr.withColumn("_u", 1 - F.col("recall")), "_o", "_u", "precision", slices, ["model"])
     roc_a = roc.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("_o", "fpr", "tpr"))).alias("_r"))
     pr_a = pr.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("_o", "precision", "recall"))).alias("_p"))
     return (doc.join(roc_a, "model").join(pr_a, "model")

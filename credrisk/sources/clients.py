@@ -14,6 +14,8 @@ the shuffle and never gathered as raw rows in one task.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,9 @@ def client_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_extendedprice", "l_discount", "l_returnflag")
 
     per_order = (
-        orders.withColumn("p", F.lit(OUTCOME_YEAR) - F.year("o_orderdate"))
-        .filter(F.col("p").between(0, N_PERIODS))
+        orders.filter((F.col("o_orderdate") >= F.lit(date(OUTCOME_YEAR - N_PERIODS, 1, 1)))   # a range that the scan can use
+                      & (F.col("o_orderdate") < F.lit(date(OUTCOME_YEAR + 1, 1, 1))))
+        .withColumn("p", F.lit(OUTCOME_YEAR) - F.year("o_orderdate"))
         .join(_order_amounts(lineitem), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .select(
             "o_custkey", "p",

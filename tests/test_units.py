@@ -249,20 +249,96 @@ def test_clients_csv_scan(spark, tmp_path):
     assert "GENDER" in df.columns and "DEFAULT" in df.columns and df.count() == 1
 
 
-def test_yeo_johnson_lambda_beyond_the_first_grid(spark):
-    from credrisk.operators.prep import yeo_johnson_lambdas
-    rng = np.random.default_rng(2)
-    x = np.log1p(np.maximum(0.05, 1 + 0.2 * rng.normal(size=800)) * 400) / 3  # left-skewed: a large lambda
-    df = spark.createDataFrame([(float(v),) for v in x], "a double")
-    got = {r["variable"]: r["lambda"] for r in yeo_johnson_lambdas(df, ["a"]).collect()}
+def highest_likelihood(x, lo, hi):
+    """λ of the largest Yeo-Johnson likelihood by golden-section search over plain arrays."""
+    from credrisk.operators.prep import yeo_johnson_values
+    log = np.sum(np.sign(x) * np.log1p(np.abs(x)))
 
     def llf(lam):
-        y = ((x + 1) ** lam - 1) / lam
-        return -len(x) / 2 * np.log(y.var()) + (lam - 1) * np.log1p(x).sum()
+        return -len(x) / 2 * np.log(np.var(yeo_johnson_values(x, lam))) + (lam - 1) * log
+    g = (5 ** 0.5 - 1) / 2
+    for _ in range(80):
+        left, right = hi - g * (hi - lo), lo + g * (hi - lo)
+        lo, hi = (left, hi) if llf(left) < llf(right) else (lo, right)
+    return (lo + hi) / 2
+
+
+def test_yeo_johnson_lambda_is_the_highest_likelihood(spark):
+    from credrisk.operators.prep import yeo_johnson_lambdas
+    rng = np.random.default_rng(2)
+    skewed = np.log1p(np.maximum(0.05, 1 + 0.2 * rng.normal(size=800)) * 400) / 3          # left-skewed: a large lambda
+    steep = 1 + 0.02 * rng.beta(9, 2, size=800)                                             # far beyond 60
+    columns = {"a": skewed, "b": rng.lognormal(3, 1, 800), "c": rng.normal(size=800) * 5, "d": -rng.lognormal(3, 1, 800), "e": steep}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())] + [(None,) * 5], "a double, b double, c double, d double, e double")
+    got = {r["variable"]: r["lambda"] for r in yeo_johnson_lambdas(df, list(columns)).collect()}
+    for c, x in columns.items():
+        assert got[c] == pytest.approx(highest_likelihood(x, -5, 400 if c == "e" else 40), abs=6e-4 if c == "e" else 6e-5), c
+    assert got["e"] > 60 and got["b"] < 0.3
+
+
+def test_yeo_johnson_lambda_without_an_answer(spark):
+    from credrisk.operators.prep import YeoJohnsonTransformer, yeo_johnson_lambdas
+    df = spark.createDataFrame([(5.0, None, 1.0, 1e6), (5.0, None, 1.0 + 1e-9, 1e6 + 1)], "same double, none double, near double, far double")
+    got = {r["variable"]: r["lambda"] for r in yeo_johnson_lambdas(df, df.columns).collect()}
+    assert set(got) == {"near", "far"} and all(np.isfinite(v) for v in got.values())  # a rising likelihood ends where doubles do
+    model = YeoJohnsonTransformer(inputCols=["same"], outputCols=["out"]).fit(df)
+    assert [r.out for r in model.transform(df).select("out").collect()] == [0.0, 0.0]
+
+
+def test_registry_survives_a_killed_writer(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from credrisk.sources import io
+    row = lambda name, path, status="loaded", error=None: (name, path, ["f"], 0.5, status, error)
+    root = str(tmp_path)
+    assert io.read_registry(spark, root).count() == 0
+    io.publish_models(spark, root, [row("a", "p1"), row("b", "p2")])
+    dying = io.read_registry(spark, root).withColumn("version", F.when(F.raise_error(F.lit("killed")).isNull(), 1))
+    with pytest.raises(PySparkException):   # the writer dies while it writes the rows of a commit
+        dying.write.json(f"{root}/manifest/9-dead")
+    half = tmp_path / "manifest" / "8-dead"  # ... or between its tasks' commits and its own
+    for place in (half / "_temporary" / "0" / "task_1", half):
+        place.mkdir(parents=True, exist_ok=True)
+        (place / "part-0.json").write_text('{"model": "a", "path": "half", "version": 99}\n{"model": "b", "pa')
+    assert {(r.model, r.path) for r in io.read_registry(spark, root).collect()} == {("a", "p1"), ("b", "p2")}
+    io.publish_models(spark, root, [row("a", "p3", "failed", "lost")])
+    io.publish_models(spark, root, [row("b", "old")], version=1)
+    assert {(r.model, r.path, r.error) for r in io.read_registry(spark, root).collect()} == {("a", "p3", "lost"), ("b", "p2", None)}
+    assert [r.model for r in io.failed_models(io.read_registry(spark, root)).collect()] == ["a"]
+
+
+def test_stream_scores_a_file_once_however_often_it_is_delivered(spark, tmp_path):
+    from credrisk.operators.scoring import scorecard_score
+    from credrisk.sources.clients import client_view
+    from credrisk.streaming.scoring_stream import run_file_stream, scoring_frame
+    raw = client_view(spark, "/root/testdata/sf0.001")
+    source, sink, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    first, second = raw.where("ID % 2 = 0"), raw.where("ID % 2 = 1")
+    first.write.mode("append").parquet(source)
+    first.write.mode("append").parquet(source)                      # delivered twice at once
+    run = lambda: run_file_stream(spark, source, scorecard_score, sink_dir=sink, checkpoint_dir=ckpt)
+    assert run().count() == first.count()
+    first.write.mode("append").parquet(source)                      # and again after the restart
+    second.write.mode("append").parquet(source)
+    got, want = run(), scoring_frame(raw, scorecard_score)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    changed = first.limit(1).withColumn("LIMIT_BAL", F.col("LIMIT_BAL") + 1)
+    changed.write.mode("append").parquet(source)                    # a changed record is another row
+    assert run().count() == want.count() + 1
+
+
+def test_a_source_file_rewritten_under_its_name_is_read_again(spark, tmp_path):
+    import shutil
+    from credrisk.plans.catalog import clients
+    for name in ("customer", "orders", "lineitem"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    before = clients(spark, str(tmp_path)).count()
+    assert clients(spark, str(tmp_path)) is clients(spark, str(tmp_path))
+    import pyarrow.parquet as pq
+    table = pq.read_table(tmp_path / "customer.parquet")
+    pq.write_table(table.slice(0, 40), tmp_path / "customer.parquet")
+    spark.catalog.clearCache()
+    assert before > 40 == clients(spark, str(tmp_path)).count()
 
-    grid = np.arange(0.5, 40, 0.0025)
-    best = grid[np.argmax([llf(v) for v in grid])]
-    assert best > 3.3 and abs(got["a"] - best) <= 0.0051
 
 
 def test_correlations_do_not_change_path_with_nulls(spark):
@@ -361,3 +437,25 @@ def test_corr_matrix_with_nulls_is_pairwise_complete(spark):
     want = pdf.corr()
     for (x, y), r in got.items():
         assert r == pytest.approx(want.loc[x, y], abs=1e-6)
+
+
+@pytest.mark.parametrize("slices", [5, 40])
+def test_thinned_curves_stay_near_the_exact_ones(spark, slices):
+    rng = np.random.default_rng(slices)
+    n = 4000
+    label = (rng.random(n) < 0.3).astype(int)
+    score = np.round(rng.normal(size=n) + label, 3)
+    pred = spark.createDataFrame([(m, int(y), float(s)) for m, sign in (("good", 1), ("bad", -1)) for y, s in zip(label, sign * score)], "model string, label int, score double")
+    roc = ev.roc_curve(pred, by=["model"]).withColumn("_o", F.coalesce(-F.col("threshold"), F.lit(-99.0))).withColumn("_u", (F.col("fpr") + F.col("tpr")) / 2)
+    pr = ev.pr_curve(pred, by=["model"]).withColumn("_o", F.coalesce(F.col("threshold"), F.lit(99.0))).withColumn("_u", 1 - F.col("recall"))
+    for curve, across in ((roc, "tpr"), (pr, "precision")):
+        whole, kept = curve.toPandas(), ev.thinned(curve, "_o", "_u", across, slices, ["model"]).toPandas()
+        assert set(kept.columns) == set(whole.columns)
+        for model, exact in whole.groupby("model"):
+            thin = kept[kept.model == model]
+            assert len(thin) <= 4 * slices + 4 < len(exact) and thin.merge(exact, on=list(thin.columns)).shape[0] == len(thin)
+            assert {exact._o.min(), exact._o.max()} <= set(thin._o)
+            for _, p in exact.iterrows():
+                near = thin[(thin._u - p._u).abs() <= 1 / slices]
+                assert near[across].min() <= p[across] <= near[across].max()
+    assert ev.thinned(roc.limit(0), "_o", "_u", "tpr", slices, ["model"]).count() == 0
