@@ -6,14 +6,16 @@ forest of projection trees with exact re-ranking inside the leaves.
 1. Minority rows collapse to *distinct* vectors with a multiplicity, so a vector
    repeated by a third of the rows is one row here.
 2. A bounded sample gives the principal axes and, per tree, median split points
-   along random directions weighted to those axes.  Levels deeper than the sample
-   can resolve split at the leaf's centroid, so the expected leaf size stays
-   constant however many vectors there are, and the model stays bounded.
-3. Every vector goes to one leaf per tree.  Each leaf is one small group: all
-   distances by a matrix product, the best k re-ranked on exact differences.
-4. The lists of a vector's leaves are merged to its k nearest.
+   along random directions weighted to those axes, as deep as it can resolve.
+3. Every vector goes to one node per tree.  Nodes that hold more than a leaf are split
+   further at medians of *all* their vectors: one aggregate per level gives the size and the
+   median of every open node of every tree, and its vectors move to the two halves.  So a leaf has the
+   same size however many vectors there are and however badly the sample fits them.
+4. Each leaf is one small group: all distances by a matrix product, the best k
+   re-ranked on exact differences.  A node that no direction splits is cut into pieces.
+5. The lists of a vector's leaves are merged to its k nearest.
 
-Work per vector is (trees x leaf size), independent of the number of vectors.
+Work per vector is (trees x leaf size) distances and one pass per level.
 
 Synthetic rows: n_new = floor(ratio·n_majority) − n_minority; minority rows
 take ⌊n_new / n_min⌋ copies, one more for the first n_new mod n_min rows in
@@ -41,6 +43,7 @@ TREES = 12
 LEAF_ROWS = 200
 SAMPLE_ROWS = 20_000
 SAMPLE_PER_LEAF = 8
+MAX_LEVELS = 48        # below the sampled ones; a median halves, so a node ends sooner unless its vectors coincide
 
 
 class InfeasibleRatio(ValueError):
@@ -48,38 +51,66 @@ class InfeasibleRatio(ValueError):
 
 
 def plant_forest(sample: np.ndarray, n_rows: int, trees: int, leaf_rows: int, seed: int) -> dict:
-    """Directions and split points of every tree, from a bounded sample."""
+    """Directions and median split points of every tree's top levels, from a bounded sample; principal axes."""
     rng = np.random.default_rng(seed)
     centred = sample - sample.mean(axis=0)
     _, spread, axes = np.linalg.svd(centred, full_matrices=False)
-    depth = max(0, math.ceil(math.log2(max(1.0, n_rows / leaf_rows))))
-    known = min(depth, max(0, int(math.log2(max(1, len(sample) / SAMPLE_PER_LEAF)))))
+    wanted = max(0, math.ceil(math.log2(max(1.0, n_rows / leaf_rows))))
+    depth = min(wanted, max(0, int(math.log2(max(1, len(sample) / SAMPLE_PER_LEAF)))))
     forest = []
-    for _ in range(trees if depth else 1):
+    for _ in range(trees if wanted else 1):
         directions = (rng.standard_normal((depth, len(spread))) * spread) @ axes
         groups, cuts = [np.arange(len(sample))], []
         for level in range(depth):
             projected = [sample[g] @ directions[level] for g in groups]
-            if level < known:
-                cut = np.array([np.median(p) if len(p) else 0.0 for p in projected])
-                groups = [part for g, p, c in zip(groups, projected, cut) for part in (g[p < c], g[p >= c])]
-            else:
-                cut = np.array([p.mean() if len(p) else 0.0 for p in projected])
+            cut = np.array([np.median(p) if len(p) else 0.0 for p in projected])
+            groups = [part for g, p, c in zip(groups, projected, cut) for part in (g[p < c], g[p >= c])]
             cuts.append(cut)
         forest.append((directions, cuts))
-    return {"forest": forest, "known": known}
+    return {"forest": forest, "spread": spread, "axes": axes}
 
 
 def leaves(x: np.ndarray, model: dict) -> np.ndarray:
-    """Leaf number of every row in every tree."""
-    out = np.zeros((len(x), len(model["forest"])), dtype=np.int64)
+    """Node of every row in every tree after the sampled levels: a one and a bit per level."""
+    out = np.ones((len(x), len(model["forest"])), dtype=np.int64)
     for t, (directions, cuts) in enumerate(model["forest"]):
-        base = np.zeros(len(x), dtype=np.int64)
-        for level, (direction, cut) in enumerate(zip(directions, cuts)):
-            right = x @ direction >= cut[base]
-            if level < model["known"]:
-                base = base * 2 + right
-            out[:, t] = out[:, t] * 2 + right
+        for direction, cut in zip(directions, cuts):
+            out[:, t] = out[:, t] * 2 + (x @ direction >= cut[out[:, t] - len(cut)])
+    return out
+
+
+def grown(placed: DataFrame, model: dict, leaf_rows: int, seed: int) -> DataFrame:
+    """(x, m, vid, tree, leaf, piece): nodes of ``placed`` split at their own medians until they are leaves."""
+    spread, axes = model["spread"], model["axes"]
+    least = 1e-3 * (spread.max() or 1.0)  # so that a direction also sees what the sample didn't
+    done = []
+    for level in range(MAX_LEVELS):
+        rng = np.random.default_rng((seed, level))
+        directions = (rng.standard_normal((len(model["forest"]), len(spread))) * spread) @ axes
+        directions += least * rng.standard_normal(directions.shape)
+
+        def project(batches: Iterator[pd.DataFrame], directions=directions) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield batch.assign(p=(np.stack(batch["x"].to_numpy()) * directions[batch["tree"].to_numpy()]).sum(axis=1))
+
+        sizes = cut_lineage(placed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")))
+        done.append(placed.join(sizes.where(F.col("n") <= leaf_rows).drop("n"), ["tree", "leaf"]).withColumn("piece", F.lit(0)))
+        large = sizes.where(F.col("n") > leaf_rows)
+        if not large.limit(1).count():
+            break
+        if level == MAX_LEVELS - 1:  # as good as equal vectors
+            done.append(placed.join(large, ["tree", "leaf"]).withColumn(
+                "piece", F.pmod(F.xxhash64("vid"), F.ceil(F.col("n") / leaf_rows)).cast("int")).drop("n"))
+            break
+        projected = cut_lineage(placed.join(large.drop("n"), ["tree", "leaf"]).select("x", "m", "vid", "tree", "leaf").mapInPandas(
+            project, "x array<double>, m long, vid long, tree int, leaf long, p double"))
+        cuts = projected.groupBy("tree", "leaf").agg(F.percentile_approx("p", 0.5, 1000).alias("cut"))
+        placed = cut_lineage(projected.join(cuts, ["tree", "leaf"]).select(
+            "x", "m", "vid", "tree", (F.col("leaf") * 2 + (F.col("p") > F.col("cut")).cast("long")).alias("leaf")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -111,7 +142,8 @@ def knn_lists(minority: DataFrame, k: int = SMOTE_K, seed: int = SEED, trees: in
     n = distinct.count()
     if n == 0:
         return distinct.select("x", F.array().cast("array<array<double>>").alias("nn"))
-    model = spark.sparkContext.broadcast(plant_forest(sample, n, trees, leaf_rows, seed))
+    planted = plant_forest(sample, n, trees, leaf_rows, seed)
+    model = spark.sparkContext.broadcast(planted)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,8 +159,8 @@ def knn_lists(minority: DataFrame, k: int = SMOTE_K, seed: int = SEED, trees: in
         return pd.DataFrame({"vid": np.repeat(ids, near.shape[1]), "d": dist.ravel(), "other": ids[flat], "m": copies[flat],
                              "y": [x[j] for j in flat]})
 
-    placed = distinct.mapInPandas(place, "x array<double>, m long, vid long, tree int, leaf long")
-    pairs = placed.groupBy("tree", "leaf").applyInPandas(rank, "vid long, d double, other long, m long, y array<double>")
+    placed = cut_lineage(distinct.mapInPandas(place, "x array<double>, m long, vid long, tree int, leaf long"))
+    pairs = grown(placed, planted, leaf_rows, seed).groupBy("tree", "leaf", "piece").applyInPandas(rank, "vid long, d double, other long, m long, y array<double>")
     # at most trees x k entries per vector: a bounded list
     best = pairs.groupBy("vid").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "other", "m", "y"))), 1, k).alias("best"))
     own = F.array_repeat(F.col("x"), F.least(F.col("m") - 1, F.lit(k)).cast("int"))

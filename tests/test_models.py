@@ -1,5 +1,6 @@
 """Model-side invariants: AUC floor, save → load identity, search, neighbour forest."""
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -119,13 +120,34 @@ def test_neighbour_forest_recall_over_several_leaves(spark):
     assert hits / 500 >= 0.95
 
 
-def test_neighbour_forest_work_per_row_does_not_grow():
-    largest = []
-    for n in (4000, 16_000, 64_000):
-        x = clustered(n)
-        model = sm.plant_forest(x[:1000], n, 2, 200, 1)
-        largest.append(np.bincount(sm.leaves(x, model)[:, 0]).mean())
-    assert max(largest) < 1.5 * 200
+def squares_per_row(spark, x, trees=2, leaf_rows=200, sample=1000):
+    """Sum of squared leaf sizes over the vectors: distances per vector and tree."""
+    planted = sm.plant_forest(x[:sample], len(x), trees, leaf_rows, 1)
+    at = sm.leaves(x, planted)
+    frame = spark.createDataFrame(pd.DataFrame({"x": list(x), "vid": np.arange(len(x))}), "x array<double>, vid long")
+    nodes = spark.createDataFrame(pd.DataFrame({"vid": np.tile(np.arange(len(x)), trees), "tree": np.repeat(np.arange(trees), len(x)), "leaf": at.T.ravel()}),
+                                  "vid long, tree int, leaf long")
+    placed = cut_lineage(frame.join(nodes, "vid").select("x", F.lit(1).cast("long").alias("m"), "vid", "tree", "leaf"))
+    leaf = sm.grown(placed, planted, leaf_rows, 1).groupBy("tree", "leaf", "piece").count().toPandas()["count"]
+    assert leaf.sum() == trees * len(x) and leaf.max() <= leaf_rows
+    return (leaf.astype(float) ** 2).sum() / leaf.sum()
+
+
+def test_neighbour_forest_work_per_row_does_not_grow(spark):
+    work = [squares_per_row(spark, clustered(n, seed=n)) for n in (4000, 32_000, 256_000)]
+    assert max(work) < 1.5 * min(work) and max(work) <= 200
+
+
+def test_neighbour_forest_cuts_vectors_that_the_sample_never_saw(spark):
+    far = np.zeros((6000, 20))
+    far[:, 3] = 100 + np.arange(6000) * 1e-7        # one corner of the space, none of it in the sample
+    assert squares_per_row(spark, np.concatenate([clustered(2000), far]), sample=500) <= 200
+
+
+def test_neighbour_forest_recall_with_a_small_sample(spark, monkeypatch):
+    monkeypatch.setattr(sm, "SAMPLE_ROWS", 200)
+    monkeypatch.setattr(sm, "LEAF_ROWS", 100)
+    test_neighbour_forest_recall_over_several_leaves(spark)
 
 
 def test_null_labels_are_refused(spark):
