@@ -5,7 +5,16 @@ every distinct vector is indexed by its leaf in each tree.  A query walks all tr
 through one priority queue ordered by the smallest margin on the path and visits the
 same number of leaves in that order; that number is calibrated: for a bounded
 sample of queries the true neighbours are found by brute force over all vectors, and
-the smallest number of visits that reaches the target recall is taken.  Leaf members
+the smallest number of visits that reaches the target recall is taken.
+
+With more vectors than the sample can resolve the trees grow on: one direction per tree and
+level, and one aggregate per level that gives the median of *all* vectors of every node.  These
+medians stay a table.  The queue goes on level by level: a node's smallest margin never falls
+below its parent's, so the first leaves of the queue descend from the first nodes of each level, and
+each level keeps as many nodes per query as leaves are visited.  There the number of visits is
+doubled until the trial queries reach the target.  So leaves have a constant size.
+
+Leaf members
 and visiting queries meet in a co-group, large leaves in several pieces; distances
 there are exact, and only the best few of each piece travel on.
 
@@ -68,13 +77,17 @@ class Forest:
 
     def visits(self, query: np.ndarray, limit: int) -> list[tuple[int, int]]:
         """The first ``limit`` (tree, leaf) that the shared priority queue gives up."""
+        return [at for at, _ in self.queue(query, limit)]
+
+    def queue(self, query: np.ndarray, limit: int) -> list[tuple[tuple[int, int], float]]:
+        """The same with the cost by which they came up."""
         margin = [[w @ query - c for w, c in zip(p, q, strict=True)] for p, q in zip(self.planes, self.cuts, strict=True)]
         queue = [(-np.inf, t, 0, 0) for t in range(len(self.planes))]
-        out: list[tuple[int, int]] = []
+        out: list[tuple[tuple[int, int], float]] = []
         while queue and len(out) < limit:
             cost, t, level, node = heapq.heappop(queue)
             if level == self.depth:
-                out.append((t, node))
+                out.append(((t, node), float(cost)))
                 continue
             m = float(margin[t][level][node])
             heapq.heappush(queue, (max(cost, m), t, level + 1, node * 2))
@@ -118,7 +131,7 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
     Edge cases: vectors that are null, zero or hold null or non-finite components, those
     whose length isn't the commonest, and rows without id take no part; repeated rows count
     once; equal vectors are at distance 0 of each other; with fewer than ``k`` other rows in the visited
-    leaves all of them are returned; an empty table gives no rows.
+    leaves all of them are returned; extra columns of any name are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(
@@ -137,8 +150,12 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
     total = classes.count()
     chosen = classes.orderBy(F.xxhash64("class"), "class").limit(max(1, min(sample_rows, sample_bytes // max(8, 8 * dim)))).select("v").collect()
     sample = np.array([r.v for r in chosen], dtype=np.float64).reshape(len(chosen), dim)
-    depth = max(0, min(int(np.log2(max(1, total / leaf_rows))), int(np.log2(max(1, len(sample) / 8)))))
+    wanted = int(np.log2(max(1, total / leaf_rows)))
+    depth = max(0, min(wanted, int(np.log2(max(1, len(sample) / 8)))))
     forest = Forest.fit(sample, trees, depth, seed)
+    if depth < wanted:
+        found = deep_search(classes, asked, forest, wanted - depth, k, target, calibration, piece_rows, seed)
+        return named_neighbours(found, classes, queries, asked, k)
     shared, key = spark.sparkContext.broadcast(forest), uuid.uuid4().hex
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +170,7 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
     sizes = {(r.tree, r.leaf): r["count"] for r in index.groupBy("tree", "leaf").count().collect()}
     pieces = {at: -(-n // piece_rows) for at, n in sizes.items()}
     trial = asked.orderBy(F.xxhash64("q"), "q").limit(calibration).collect()
-    visits = calibrated(classes, index, forest, [np.array(r.v) for r in trial], k, target)
+    visits = calibrated(classes, index, forest, trial, k, target)
     spread, spread_key = spark.sparkContext.broadcast((forest, pieces, visits)), uuid.uuid4().hex
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,6 +189,11 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
     cells = index.withColumn("piece", piece("tree", "leaf", F.expr("pmod(xxhash64(class), 1048576)"))).join(classes.select("class", "v"), "class")
     asking = asked.mapInPandas(walk, "tree int, leaf long, piece int, q long, v array<double>")
 
+    return named_neighbours(searched(cells, asking, k), classes, queries, asked, k)
+
+
+def searched(cells: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """(q, class, score): the best few of every cell for the queries that visit it, by exact distance."""
     def search(inside: pd.DataFrame, searching: pd.DataFrame) -> pd.DataFrame:
         out, ids = [], inside["class"].to_numpy()
         if len(inside) and len(searching):
@@ -182,7 +204,11 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
         return pd.concat(out) if out else pd.DataFrame({"q": [], "class": [], "score": []}).astype({"q": "int64", "class": "int64"})
 
     cell = ["tree", "leaf", "piece"]
-    found = cells.groupBy(*cell).cogroup(asking.groupBy(*cell)).applyInPandas(search, "q long, class long, score double")
+    return cells.groupBy(*cell).cogroup(asking.groupBy(*cell)).applyInPandas(search, "q long, class long, score double")
+
+
+def named_neighbours(found: DataFrame, classes: DataFrame, queries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The classes found for each distinct query vector, as ids for every query."""
     close = best(found.groupBy("q", "class").agg(F.min("score").alias("score")), "q", k + 1, "class")
     each = close.join(classes.select("class", "ids"), "class").select("q", "score", F.explode("ids").alias("id"))
     top = best(each, "q", k + 1, "id").select("q", "score", "id")
@@ -191,27 +217,87 @@ def neighbours(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colum
     return best(out, "query_id", k, "id").select("query_id", F.col("rank").cast("int"), "id", "score")
 
 
-def calibrated(classes: DataFrame, index: DataFrame, forest: Forest, queries: list[np.ndarray], k: int, target: float) -> int:
-    """The smallest number of leaf visits that finds ``target`` of the true neighbours of the trial queries."""
-    everything = len(forest.planes) << forest.depth
-    if not queries or everything == 1:
-        return everything
-    shared = classes.sparkSession.sparkContext.broadcast(queries)
+def deep_search(classes: DataFrame, asked: DataFrame, forest: Forest, levels: int, k: int, target: float,
+                calibration: int, piece_rows: int, seed: int) -> DataFrame:
+    """(q, class, score) found by trees that go ``levels`` below the sampled forest, split at medians of all vectors."""
+    spark = classes.sparkSession
+    dim = forest.planes[0][0].shape[1] if forest.depth else len(classes.first()["v"])
+    below = np.random.default_rng((seed, 1)).standard_normal((len(forest.planes), levels, dim))
+    shared, key = spark.sparkContext.broadcast((forest, below)), uuid.uuid4().hex
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f, w = per_worker(key, lambda: shared.value)
+        for batch in batches:
+            if len(batch):
+                v = matrix(batch["v"])
+                leaf = f.leaves(v)
+                for t in range(leaf.shape[1]):
+                    yield pd.DataFrame({"tree": t, "leaf": leaf[:, t], "class": batch["class"], "p": list(v @ w[t].T)})
+
+    node = ["tree", "leaf"]
+    index, cuts = materialise(classes.select("class", "v").mapInPandas(place, "tree int, leaf long, class long, p array<double>"), "leaves"), []
+    for level in range(levels):
+        p = F.col("p")[level]
+        cuts.append(materialise(index.groupBy(*node).agg(F.percentile_approx(p, 0.5, 1000).alias("cut")), "medians"))
+        index = materialise(index.join(cuts[-1], node).select("tree", (F.col("leaf") * 2 + (p >= F.col("cut")).cast("long")).alias("leaf"), "class", "p"), "leaves")
+
+    def visited(some: DataFrame, limit: int) -> DataFrame:
+        """(q, tree, leaf): the first ``limit`` leaves of every query's queue."""
+        def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            f, w = per_worker(key, lambda: shared.value)
+            for batch in batches:
+                for q, v in zip(batch["q"].tolist(), batch["v"], strict=True):
+                    first, v = f.queue(np.asarray(v), limit), np.asarray(v)
+                    yield pd.DataFrame({"q": q, "tree": [t for (t, _), _ in first], "leaf": [n for (_, n), _ in first],
+                                        "cost": [c for _, c in first], "p": [w[t] @ v for (t, _), _ in first]})
+
+        walk = some.select("q", "v").mapInPandas(begin, "q long, tree int, leaf long, cost double, p array<double>")
+        order = Window.partitionBy("q").orderBy("cost", "tree", "leaf")     # twice ``limit`` rows
+        for level, cut in enumerate(cuts):
+            margin = F.col("p")[level] - F.col("cut")
+            sides = F.array(F.struct((F.col("leaf") * 2).alias("leaf"), F.greatest("cost", margin).alias("cost")),
+                            F.struct((F.col("leaf") * 2 + 1).alias("leaf"), F.greatest("cost", -margin).alias("cost")))
+            walk = (walk.join(cut, node).select("q", "tree", "p", F.inline(sides)).withColumn("k", F.row_number().over(order))
+                    .where(F.col("k") <= limit).drop("k"))
+        return walk.select("q", "tree", "leaf")
+
+    trial = materialise(asked.orderBy(F.xxhash64("q"), "q").limit(calibration), "trial")
+    true = materialise(true_neighbours(classes, trial.collect(), k).join(index.select("tree", "leaf", "class"), "class"), "trial-neighbours")
+    wanted, limit = true.select("q", "class").distinct().count(), 8
+    while wanted and true.join(visited(trial, limit), ["q", *node]).select("q", "class").distinct().count() < target * wanted:
+        limit *= 2
+    sizes = materialise(index.groupBy(*node).agg(F.ceil(F.count(F.lit(1)) / piece_rows).cast("int").alias("pieces")), "leaf-sizes")
+    cells = index.select("tree", "leaf", "class").join(sizes, node).select(
+        *node, F.expr("cast(pmod(xxhash64(class), pieces) as int)").alias("piece"), "class").join(classes.select("class", "v"), "class")
+    asking = visited(asked, limit).join(sizes, node).select("q", *node, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")).join(asked, "q")
+    return searched(cells, asking, k)
+
+
+def true_neighbours(classes: DataFrame, queries: list, k: int) -> DataFrame:
+    """(q, class) of the nearest classes of a bounded list of queries (q, v), by brute force over all of them."""
+    shared = classes.sparkSession.sparkContext.broadcast([(r.q, np.array(r.v)) for r in queries])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 data, ids = matrix(batch["v"]), batch["class"].to_numpy()
-                for n, q in enumerate(shared.value):
-                    near, score = nearest(q, data, ids, k + 1)
-                    yield pd.DataFrame({"n": n, "class": near, "score": score})
+                for q, v in shared.value:
+                    near, score = nearest(v, data, ids, k + 1)
+                    yield pd.DataFrame({"q": q, "class": near, "score": score})
+
+    return best(classes.select("class", "v").mapInPandas(scan, "q long, class long, score double"), "q", k + 1, "class").select("q", "class")
 
-    true = best(classes.select("class", "v").mapInPandas(scan, "n int, class long, score double"), "n", k + 1, "class")
-    leaves = true.select("n", "class").join(index, "class").select("n", "class", "tree", "leaf").collect()
-    turn = [{at: i + 1 for i, at in enumerate(forest.visits(q, everything))} for q in queries]
+
+def calibrated(classes: DataFrame, index: DataFrame, forest: Forest, queries: list, k: int, target: float) -> int:
+    """The smallest number of leaf visits that finds ``target`` of the true neighbours of the trial queries."""
+    everything = len(forest.planes) << forest.depth
+    if not queries or everything == 1:
+        return everything
+    leaves = true_neighbours(classes, queries, k).join(index, "class").select("q", "class", "tree", "leaf").collect()
+    turn = {r.q: {at: i + 1 for i, at in enumerate(forest.visits(np.array(r.v), everything))} for r in queries}
     needed: dict[tuple[int, int], int] = {}
     for r in leaves:
-        at = turn[r.n][r.tree, r.leaf]
-        needed[r.n, r["class"]] = min(at, needed.get((r.n, r["class"]), at))
+        at = turn[r.q][r.tree, r.leaf]
+        needed[r.q, r["class"]] = min(at, needed.get((r.q, r["class"]), at))
     order = sorted(needed.values())
     return order[min(len(order) - 1, int(np.ceil(target * len(order))) - 1)]
