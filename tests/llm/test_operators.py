@@ -472,6 +472,23 @@ def test_neighbours(spark):
     assert ann.neighbours(frame.where("vec_id < 4"), "vec_id", "embedding", F.col("id") % 2 == 0).count() == 6
 
 
+@pytest.mark.parametrize("size, sample, piece", [(20, 64, 4096), (16, 8, 9)])
+def test_neighbours_below_the_sampled_levels(spark, size, sample, piece):
+    rng = np.random.default_rng(5)
+    data = rng.standard_normal((40, 16))[rng.integers(0, 40, 2000)] + 0.5 * rng.standard_normal((2000, 16))
+    data[50:90] = data[7]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(frame, "vec_id", "embedding", F.col("id") % 50 == 0, k=10, leaf_rows=size, sample_rows=sample, piece_rows=piece).collect()
+    hits = 0
+    for q in range(0, 2000, 50):
+        score = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((np.arange(2000), score)) if i != q][:10]
+        mine = sorted((r["rank"], r.id, r.score) for r in got if r.query_id == q)
+        assert [k for k, *_ in mine] == list(range(1, 11)) and all(s == pytest.approx(score[i], abs=1e-12) for _, i, s in mine)
+        hits += len({i for _, i, _ in mine} & set(order))
+    assert hits / 400 >= 0.9
+
+
 def test_neighbours_recall_on_embeddings(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").collect()
