@@ -2,9 +2,9 @@
 
 Rows are ordered inside each class by ``md5('<seed>:' || ID)``, a seeded
 random order that SQL engines reproduce.  The rank inside the class comes
-from :func:`running_sums` with the first three hex digits of the hash as the
-range bucket (4,096 ordered buckets per class, uniformly filled by
-construction), so the class-wide rank never needs a two-partition window.
+from :func:`running_sums` with the first hex digits of the hash as the range bucket
+(ordered, uniformly filled by construction; at least 4,096 per class and sixteen per shuffle
+partition), so the class-wide rank never needs a two-partition window.
 """
 
 from __future__ import annotations
@@ -20,11 +20,18 @@ def seeded_hash(key: str = "ID", seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def hash_bucket(df: DataFrame, hashed: str = "_h") -> Column:
+    """The first hex digits of a hash as a number: enough for sixteen buckets per shuffle partition."""
+    partitions, digits = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3
+    while 16 ** digits < 16 * partitions:
+        digits += 1
+    return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("int")
+
+
 def class_rank(df: DataFrame, label: str = TARGET, key: str = "ID", seed: int = SEED) -> DataFrame:
     """Add ``_h`` (seeded hash) and ``class_rank`` (1-based, in hash order, per class)."""
     h = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_one", F.lit(1).cast("long"))
-    bucket = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
-    ranked = running_sums(h, [("_h", True), (key, True)], ["_one"], groups=[label], bucket=bucket)
+    ranked = running_sums(h, [("_h", True), (key, True)], ["_one"], groups=[label], bucket=hash_bucket(h))
     return ranked.withColumnRenamed("cum__one", "class_rank").drop("before__one", "_one")
 
 

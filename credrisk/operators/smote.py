@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..schema import SEED, SMOTE_K
 from ..session import cut_lineage
 from .ordered import running_sums
-from .sampling import seeded_hash
+from .sampling import hash_bucket, seeded_hash
 
 TREES = 12
 LEAF_ROWS = 200
@@ -199,8 +199,7 @@ def synthetic_rows(minority: DataFrame, n_min: int, n_new: int, lists: DataFrame
     """(key of the origin, features, number): ``n_new`` new rows numbered from 1.  Fewer rows are the
     same rows up to a smaller number, so one table serves every ratio."""
     h = minority.withColumn("_h", seeded_hash(key, seed)).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_sums(h, [("_h", True), (key, True)], ["_one"],
-                          bucket=F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    ranked = running_sums(h, [("_h", True), (key, True)], ["_one"], bucket=hash_bucket(h))
     per, extra = divmod(n_new, n_min)
     copies = F.lit(per) + F.when(F.col("cum__one") <= extra, 1).otherwise(0)
     rows = (ranked.withColumn("x", vector_to_array("features"))
