@@ -278,22 +278,47 @@ def longest_previous_factor(rank: np.ndarray, lcp: np.ndarray, least: int) -> np
     return np.maximum(before, nearest_smaller(rank[::-1], np.append(0, back[1:]) if len(back) else back, least)[::-1])
 
 
-def covered_windows(data: bytes, place: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Which of the windows starting at ``place`` also start in a document with a smaller id."""
+def suffix_order(data: bytes, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows starting at ``place`` in the order of their text, and the common prefix of each with the one
+    before, in steps of 8 bytes up to ``length``.  Only windows that are still tied are compared further."""
     grams = words8(data, ">u8")
     offsets = sorted({*range(0, length - 7, 8), length - 8})
-    keys = [grams[place + o].astype(np.uint64) for o in offsets]
-    order = np.lexsort(keys[::-1])  # the suffix order of the windows
-    same = np.ones(len(order), dtype=bool)
-    lcp = np.zeros(len(order), dtype=np.int64)
-    for o, key in zip(offsets, keys, strict=True):
-        k = key[order]
-        same[1:] &= k[1:] == k[:-1]
-        lcp[same] = o + 8
-    lcp[:1] = 0
-    out = np.empty(len(order), dtype=bool)
-    out[order] = longest_previous_factor(doc[order], lcp, length) >= length
-    return out
+    key = grams[place].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    tied, lcp = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=np.int64)
+    tied[1:] = key[1:] == key[:-1]
+    lcp[tied] = 8
+    for o in offsets[1:]:
+        member = tied.copy()
+        member[:-1] |= tied[1:]
+        at = np.flatnonzero(member)
+        if not len(at):
+            break
+        inside = tied[at]
+        key = grams[place[order[at]] + o].astype(np.uint64)
+        again = np.lexsort((key, np.cumsum(~inside)))
+        order[at], key = order[at][again], key[again]
+        inside[1:] &= key[1:] == key[:-1]
+        tied[at] = inside
+        lcp[at[inside]] = o + 8
+    return order, lcp
+
+
+def covered_windows(data: bytes, place: np.ndarray, doc: np.ndarray, later: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the windows starting at ``place`` also start in a document smaller than ``doc``, and smaller than
+    ``later`` where that is not NEVER: there the window stands twice in the suffix order, as in two documents."""
+    order, lcp = suffix_order(data, place, length)
+    twice = later[order] < NEVER
+    first = np.arange(len(order)) + np.cumsum(twice) - twice
+    rank, common = np.empty((2, len(order) + int(twice.sum())), dtype=np.int64)
+    rank[first], common[first] = doc[order], lcp
+    rank[first[twice] + 1], common[first[twice] + 1] = later[order][twice], length
+    found = longest_previous_factor(rank, common, length) >= length
+    own, next_ = np.zeros((2, len(order)), dtype=bool)
+    own[order] = found[first]
+    next_[order[twice]] = found[first[twice] + 1]
+    return own, next_
 
 
 def pack_texts(doc: np.ndarray, key: np.ndarray, later: np.ndarray, size: np.ndarray, texts: bytes, follower: np.ndarray, follower_doc: np.ndarray) -> bytes:
@@ -325,13 +350,10 @@ def judged_windows(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     begin = np.cumsum(size + length - 1) - (size + length - 1)
     unit = np.repeat(np.arange(len(size)), size)
     step = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-    again = np.flatnonzero(later[unit] < NEVER)          # a class that later documents share stands here twice
-    place = begin[unit] + step
-    hit = covered_windows(b"".join(bodies), np.append(place, place[again]), np.append(doc[unit], later[unit][again]), length)
+    hits = covered_windows(b"".join(bodies), begin[unit] + step, doc[unit], later[unit], length)
     words = np.zeros((2, len(size)), dtype=np.uint32)
-    for k, (which, on) in enumerate(((np.arange(len(unit)), hit[:len(unit)]), (again, hit[len(unit):]))):
-        which = which[on]
-        np.bitwise_or.at(words[k], unit[which], np.uint32(1) << step[which].astype(np.uint32))
+    for k, on in enumerate(hits):
+        np.bitwise_or.at(words[k], unit[on], np.uint32(1) << step[on].astype(np.uint32))
     answers = words[1][of]
     payload = [own.tobytes() + next_.tobytes() + copies.tobytes() for own, next_, copies in zip(
         np.split(words[0], np.cumsum([len(c[0]) for c in columns])[:-1]), np.split(words[1], np.cumsum([len(c[0]) for c in columns])[:-1]),
