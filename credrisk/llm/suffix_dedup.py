@@ -393,7 +393,7 @@ def removed_runs(block: Block, classes: dict[str, np.ndarray], own: np.ndarray,
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50,
-                     block_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20, table_bytes: int = 24 << 20,
+                     block_bytes: int = 2 << 20, bucket_bytes: int = 10 << 20, table_bytes: int = 24 << 20,
                      heavy_units: int = 16, heavy_blocks: int = 16, hot_blocks: int = 1024) -> DataFrame:
     """``id``, ``n_bytes``, ``spans`` (maximal removed byte runs, end exclusive) and ``kept`` (binary)
     per input row; ids are integers, ``length`` is 32 to 55 bytes.  An anchor is hot that ``hot_blocks``
