@@ -19,6 +19,10 @@ group are spread over the buckets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,37 +193,61 @@ def wide_summary(df: DataFrame, cols: list[str], qs: dict[float, str], groups: l
         stacked = df.select(*groups, F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), number[i].alias("value")) for i, c in enumerate(cols)])))
         q = quantile_columns(exact_quantiles(stacked, [*groups, "variable"], "value", list(qs)), [*groups, "variable"], qs)
         return basic.join(q, [*groups, "variable"], "left")
-    held = [F.col(f"m{i}") for i in number]
-    if groups:
-        placed = df.join(F.broadcast(first.select(*groups, *held)), groups)
-    else:
-        row = first.first()
-        placed = df.select("*", *[F.array(*[F.lit(float(v)) for v in row[f"m{i}"] or []]).cast("array<double>").alias(f"m{i}") for i in number])
-    sides = []
-    for i, x in number.items():
-        for j in range(len(qs)):
-            lo, hi = F.get(f"m{i}", F.lit(2 * j)), F.get(f"m{i}", F.lit(2 * j + 1))
-            sides += [F.count_if(x < lo).alias(f"b{i}_{j}"), F.max(F.when(x < lo, x)).alias(f"p{i}_{j}"), F.count_if(x == lo).alias(f"l{i}_{j}"),
-                      F.collect_list(F.when((x > lo) & (x < hi), x)).alias(f"v{i}_{j}"), F.count_if((x == hi) & (hi > lo)).alias(f"h{i}_{j}"),
-                      F.min(F.when(x > hi, x)).alias(f"x{i}_{j}"), F.first(lo).alias(f"lo{i}_{j}"), F.first(hi).alias(f"hi{i}_{j}"), F.count(x).alias(f"n{i}_{j}")]
-    second = placed.groupBy(*groups).agg(*sides)
-
-    def order_statistic(at: Column, i: int, j: int) -> Column:
-        below, on, inside, top = (F.col(f"{k}{i}_{j}") for k in "blvh")
-        size = F.size(inside)
-        return (F.when(at == below - 1, F.col(f"p{i}_{j}")).when((at >= below) & (at < below + on), F.col(f"lo{i}_{j}"))
-                .when((at >= below + on) & (at < below + on + size), F.get(F.array_sort(inside), (at - below - on).cast("int")))
-                .when((at >= below + on + size) & (at < below + on + size + top), F.col(f"hi{i}_{j}"))
-                .when(at == below + on + size + top, F.col(f"x{i}_{j}"))
-                .otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double")))
-
-    def quantile(i: int, j: int, q: float) -> Column:
-        pos = F.lit(float(q)) * (F.col(f"n{i}_{j}") - 1)
-        at = F.floor(pos).cast("long")
-        low = order_statistic(at, i, j)
-        high = F.when(pos > at, order_statistic(at + 1, i, j)).otherwise(low)
-        return F.when(F.col(f"n{i}_{j}") > 0, low + (pos - at) * (high - low))
-
-    found = second.select(*groups, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("variable"), *[quantile(i, j, q).alias(name) for j, (q, name) in enumerate(qs.items())]) for i, c in enumerate(cols)])))
-    return basic.join(found, [*groups, "variable"], "left")
+    rows = first.select(*groups, *[c for i in number for c in (f"count{i}", f"m{i}")]).collect()     # one row per group
+    placed = {tuple(r[g] for g in groups): [(r[f"count{i}"], r[f"m{i}"] or []) for i in number] for r in rows}
+    schema = ", ".join([f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups] + ["variable string"] + [f"`{name}` double" for name in qs.values()])
+    sides = _around_marks(df, groups, cols, {key: [m for _, m in columns] for key, columns in placed.items()}, len(qs))
+    found = [(*key, c, *[_interpolated(n, q, marks[2 * j:2 * j + 2], sides.get((key, i, j))) if n else None for j, q in enumerate(qs)])
+             for key, columns in placed.items() for i, (c, (n, marks)) in enumerate(zip(cols, columns))]
+    return basic.join(F.broadcast(df.sparkSession.createDataFrame(found, schema)), [*groups, "variable"], "left")
+
+
+def _around_marks(df: DataFrame, groups: list[str], cols: list[str], marks: dict[tuple, list[list[float]]], n: int) -> dict[tuple, tuple]:
+    """(group, column, quantile) → values below the lower mark, the largest of them, values on it, the sorted values
+    between the marks, values on the upper mark, the smallest above it.  One row per task and entry, added up by Spark."""
+    keys = list(marks)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int, int], list] = {}
+        for batch in batches:
+            for k, key in enumerate(keys):
+                part = batch[np.logical_and.reduce([batch[g] == v for g, v in zip(groups, key)])] if groups else batch
+                for i, column in enumerate(marks[key]):
+                    x = part[f"c{i}"].to_numpy(dtype=float)
+                    x = x[~np.isnan(x)]
+                    for j in range(n if column else 0):
+                        lo, hi = column[2 * j], column[2 * j + 1]
+                        low, high = x < lo, x > hi
+                        t = total.setdefault((k, i, j), [0, -np.inf, 0, [], 0, np.inf])
+                        t[0] += int(low.sum())
+                        t[1] = max(t[1], x[low].max(initial=-np.inf))
+                        t[2] += int((x == lo).sum())
+                        t[3] += x[(x > lo) & (x < hi)].tolist()
+                        t[4] += int((x == hi).sum()) if hi > lo else 0
+                        t[5] = min(t[5], x[high].min(initial=np.inf))
+        yield pd.DataFrame([(*at, *t) for at, t in total.items()], columns=["k", "i", "j", "below", "prev", "low", "inside", "high", "next"])
+
+    taken = df.select(*groups, *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInPandas(
+        partial, "k int, i int, j int, below long, prev double, low long, inside array<double>, high long, next double")
+    added = taken.groupBy("k", "i", "j").agg(F.sum("below"), F.max("prev"), F.sum("low"), F.array_sort(F.flatten(F.collect_list("inside"))),
+                                             F.sum("high"), F.min("next"))
+    return {(keys[r[0]], r[1], r[2]): tuple(r[3:]) for r in added.collect()}
+
+
+def _interpolated(n: int, q: float, marks: list[float], around: tuple) -> float:
+    """The quantile of n values from what lies around the marks; raises if the marks do not hold it."""
+    below, before, low, inside, high, after = around
+    lo, hi = marks
+
+    def at(k: int) -> float:
+        if k == below - 1:
+            return before
+        for size, values in ((low, lo), (len(inside), inside), (high, hi), (1, after)):
+            if below <= k < below + size:
+                return values[k - below] if values is inside else values
+            k -= size
+        raise ValueError("quantile outside its bracket")
+    position = q * (n - 1)
+    k = int(position)
+    first = at(k)
+    return first if position == k else first + (position - k) * (at(k + 1) - first)

@@ -2,6 +2,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -459,3 +460,30 @@ def test_thinned_curves_stay_near_the_exact_ones(spark, slices):
                 near = thin[(thin._u - p._u).abs() <= 1 / slices]
                 assert near[across].min() <= p[across] <= near[across].max()
     assert ev.thinned(roc.limit(0), "_o", "_u", "tpr", slices, ["model"]).count() == 0
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_wide_summary_equals_plain_quantiles(spark, most):
+    from credrisk.operators.ordered import wide_summary
+    rng = np.random.default_rng(1)
+    n = 30_000
+    frame = pd.DataFrame({"g": rng.integers(0, 2, n), "ties": rng.integers(0, 4, n).astype(float), "normal": rng.normal(size=n),
+                          "mostly": np.where(rng.random(n) < 0.9, 0.0, rng.normal(size=n)), "some": np.where(rng.random(n) < 0.5, np.nan, rng.random(n))})
+    rows = [tuple(None if x != x else x for x in r) for r in frame.itertuples(index=False)] + [(7, 1.0, None, 2.0, None), (8, None, None, None, None)]
+    df = spark.createDataFrame([(int(r[0]), *r[1:]) for r in rows], "g int, ties double, normal double, mostly double, some double").repartition(5)
+    cols, qs = ["ties", "normal", "mostly", "some"], {0.0: "q0", 0.25: "q1", 0.5: "q2", 0.9: "q3", 1.0: "q4"}
+    plain = pd.DataFrame([(int(r[0]), *r[1:]) for r in rows], columns=["g", *cols]).astype({c: float for c in cols})
+    for groups in ([], ["g"]):
+        got = {(r["variable"], *(r[g] for g in groups)): r for r in wide_summary(df, cols, qs, groups, most=most).collect()}
+        parts = [((), plain)] if not groups else [((k,), p) for k, p in plain.groupby("g")]
+        assert len(got) == len(cols) * len(parts)
+        for key, part in parts:
+            for c in cols:
+                x, r = part[c].dropna(), got[(c, *key)]
+                assert r["count"] == len(x)
+                if len(x):
+                    assert [r[name] for name in qs.values()] == pytest.approx([x.quantile(q) for q in qs], abs=1e-12)
+                    assert (r["min"], r["max"]) == (x.min(), x.max()) and r["mean"] == pytest.approx(x.mean())
+                else:
+                    assert all(r[name] is None for name in ("mean", "min", *qs.values()))
+    assert wide_summary(df.limit(0), cols, qs, most=most).count() in (0, len(cols))
