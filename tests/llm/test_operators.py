@@ -7,7 +7,6 @@ import re
 import time
 import zlib
 
-import duckdb
 import numpy as np
 import pandas as pd
 import pytest
