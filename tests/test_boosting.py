@@ -115,3 +115,20 @@ def test_fewer_synthetic_rows_are_the_first_ones(spark):
     many = {(r.number, str(r.features)) for r in sm.synthetic_rows(minority, n, 2 * n + 7, lists).collect()}
     few = {(r.number, str(r.features)) for r in sm.synthetic_rows(minority, n, n - 3, lists).collect()}
     assert {k for k, _ in many} == set(range(1, 2 * n + 8)) and few == {(k, v) for k, v in many if k <= n - 3}
+
+
+def test_siblings_from_their_parent_and_rows_split_over_tasks(spark, rows, monkeypatch):
+    fits = [bo.Fit(1, trees=5, depth=4, rate=0.2, rows=0.7, columns=0.6), bo.Fit(2, trees=3, depth=3, rate=0.5)]
+    (plain, judged), _ = bo.boost(rows, fits)
+    drawn = bo.Drawn(np.arange(300), np.ones(300), np.ones(300), matrix()[0][:300, :1].T.astype(np.uint8))
+    first = drawn.histogram(np.zeros(300, dtype=np.int16), 1, 30)
+    monkeypatch.setattr(bo, "SIBLING_ROWS", 1)
+    node = (matrix()[0][:300, 0] > 20).astype(np.int16)
+    second = drawn.histogram(node, 2, 30, {"target": np.array([[0, 1]])})
+    assert (second.sum(axis=1) == first[:, 0]).all() and second[0, 1].sum() == node.sum()
+    # samples within four blocks grow in tasks although all rows together fill more
+    monkeypatch.setattr(bo, "_grown_by_level", None)
+    (same, judged_too), _ = bo.boost(rows, fits, block_rows=100)
+    assert (judged == judged_too).all()
+    for a, b in zip(plain, same, strict=True):
+        assert [(t.feature, t.last_bin, t.child) for t in a] == [(t.feature, t.last_bin, t.child) for t in b]
