@@ -132,3 +132,17 @@ def test_siblings_from_their_parent_and_rows_split_over_tasks(spark, rows, monke
     assert (judged == judged_too).all()
     for a, b in zip(plain, same, strict=True):
         assert [(t.feature, t.last_bin, t.child) for t in a] == [(t.feature, t.last_bin, t.child) for t in b]
+
+
+def test_gradients_and_hessians_add_up_in_one_walk_in_the_rows_order():
+    rng = np.random.default_rng(5)
+    rows, node = rng.integers(0, 30, (4, 500)).astype(np.uint8), rng.integers(0, 6, 500).astype(np.int16)
+    g, h = rng.normal(size=500), rng.random(500)
+    for at in (None, np.flatnonzero(rng.random(500) < 0.5)):
+        some = slice(None) if at is None else at
+        found = bo.gradient_sums(rows, node[some], (g + 1j * h)[some], 6, 30, at)
+        assert found.shape == (2, 6, 4, 30)
+        for c in range(4):
+            slot = node[some].astype(int) * 30 + rows[c][some]
+            for sums, values in zip(found, (g, h), strict=True):
+                assert (sums[:, c].ravel() == np.bincount(slot, weights=values[some], minlength=180)).all()
