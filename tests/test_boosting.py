@@ -146,3 +146,10 @@ def test_gradients_and_hessians_add_up_in_one_walk_in_the_rows_order():
             slot = node[some].astype(int) * 30 + rows[c][some]
             for sums, values in zip(found, (g, h), strict=True):
                 assert (sums[:, c].ravel() == np.bincount(slot, weights=values[some], minlength=180)).all()
+
+
+def test_neighbours_are_ranked_without_their_vectors(spark):
+    pairs = spark.createDataFrame([(1, 0.5, 2, 1), (1, 0.5, 2, 1), (1, 0.2, 3, 4), (1, 0.9, 4, 1), (2, 0.5, 1, 1)], "vid long, d double, other long, m long")
+    vectors = spark.createDataFrame([(i, [float(i), -1.0]) for i in range(1, 5)], "vid long, x array<double>")
+    found = {r.vid: [(b.m, b.y) for b in r.best] for r in sm.nearest_vectors(pairs, vectors, 2).collect()}
+    assert found == {1: [(4, [3.0, -1.0]), (1, [2.0, -1.0])], 2: [(1, [1.0, -1.0])]}
