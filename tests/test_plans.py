@@ -90,3 +90,37 @@ def test_no_registered_query_plans_a_nested_loop_join(spark, every_plan):
         plans = [plan(QUERIES[name](spark, SMOKE)), *every_plan]
         bad += [(name, p) for p in plans if "BroadcastNestedLoopJoin" in p or "CartesianProduct" in p]
     assert not bad, bad[0]
+
+
+def test_curves_of_fitted_models_are_whole(spark, tmp_path):
+    """They were thinned to 516 points at most."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from credrisk.plans import model_queries as mq
+    rng, cards, want = np.random.default_rng(4), [], {}
+    for model, digits in (("a", 9), ("b", 9), ("c", 1)):
+        score, split = rng.random(3000).round(digits), np.where(rng.random(3000) < 0.2, "train", "test")
+        frame = pd.DataFrame({"model": model, "group": "g", "threshold": 0.5, "ID": range(3000), "split": split,
+                              "label": (rng.random(3000) < score).astype(int), "score": score})
+        card = {"model": model, "best_params": None, **{k: str(tmp_path / f"{model}-{k}") for k in ("predictions", "importances")}}
+        spark.createDataFrame(frame).withColumn("label", F.col("label").cast("int")).repartition(3).write.parquet(card["predictions"])
+        spark.createDataFrame([("x", 1.0)], "feature string, importance double").write.parquet(card["importances"])
+        cards.append(card)
+        n = frame[frame.split == "test"].groupby("score").label.agg(["sum", "size"])
+        down = n[::-1].cumsum()
+        neg = down["size"] - down["sum"]
+        steps = list(zip(n["sum"][::-1], (n["size"] - n["sum"])[::-1]))
+        bends = [k for k in range(len(steps)) if k in (0, len(steps) - 1) or steps[k + 1] != steps[k]]
+        want[model, "roc"] = [(0.0, 0.0)] + [(neg.iloc[k] / neg.iloc[-1], down["sum"].iloc[k] / down["sum"].iloc[-1]) for k in bends]
+        want[model, "pr"] = [*zip((down["sum"] / down["sum"].iloc[-1])[::-1], (down["sum"] / down["size"])[::-1]), (0.0, 1.0)]
+    got = mq._curve_rows(spark, cards).toPandas().sort_values(["model", "curve", "point"])
+    assert list(got.columns) == ["model", "curve", "point", "x", "y"] and len(want["a", "pr"]) > 2000 and len(want["a", "roc"]) > 516
+    doc = {r.model: r for r in mq.results_of(spark, cards).collect()}
+    for (model, curve), points in want.items():
+        part = got[(got.model == model) & (got.curve == curve)]
+        assert part.point.tolist() == list(range(len(points)))
+        assert np.allclose(part[["x", "y"]], points, atol=1e-6)
+        r = doc[model]
+        assert [*zip(part.x, part.y)] == ([*zip(r.fpr, r.tpr)] if curve == "roc" else [*zip(r.rec, r.prec)])
