@@ -60,3 +60,26 @@ def test_forest_of_many_rows_grows_in_tasks_and_scores_like_mllibs(spark, rows,
 def test_rows_are_drawn_poisson_times():
     times = fo.drawn_times(np.arange(100_000, dtype=np.uint64), 3, 42)
     assert abs(times.mean() - 1) < 0.02 and abs(times.var() - 1) < 0.03 and (times != fo.drawn_times(np.arange(100_000, dtype=np.uint64), 4, 42)).any()
+
+
+def test_rows_of_a_level_come_some_at_a_time(monkeypatch):
+    x, y = matrix(900)
+    bins = np.stack([np.searchsorted(np.quantile(c, np.arange(1, 32) / 32), c) for c in x.T]).astype(np.uint8)
+    weight = np.random.default_rng(2).poisson(1, 900).astype(float)
+    whole = fo.grow_tree(bins, y.astype(np.int8), weight, 32, 30, np.random.default_rng(1))
+    drawn = np.flatnonzero(weight)
+    monkeypatch.setattr(fo, "ROWS_AT_ONCE", 7)
+    for other in (fo.grow_tree(bins, y.astype(np.int8), weight, 32, 30, np.random.default_rng(1)),
+                  fo.grow_tree(bins[:, drawn], y[drawn].astype(np.int8), weight[drawn], 32, 30, np.random.default_rng(1))):
+        assert all((whole[k] == other[k]).all() for k in whole)
+    assert (np.abs(fo.tree_shares(whole, bins[:, drawn]) - y[drawn]) < 0.5).mean() > 0.95
+
+
+def test_a_task_keeps_its_rows_in_a_file():
+    spool = fo.Spool()
+    for key in (3, 1, 2):
+        spool.add((key,), bytes([key] * key))
+    assert [(k, len(c), set(c)) for k, c in spool] == [((1,), 1, {1}), ((2,), 2, {2}), ((3,), 3, {3})]
+    a = fo.mapped((5, 2), np.uint8)
+    a[:] = 7
+    assert isinstance(a.base, np.memmap) and a.sum() == 70 and fo.mapped((0, 2), np.uint8).shape == (0, 2)
