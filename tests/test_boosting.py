@@ -153,3 +153,63 @@ def test_neighbours_are_ranked_without_their_vectors(spark):
     vectors = spark.createDataFrame([(i, [float(i), -1.0]) for i in range(1, 5)], "vid long, x array<double>")
     found = {r.vid: [(b.m, b.y) for b in r.best] for r in sm.nearest_vectors(pairs, vectors, 2).collect()}
     assert found == {1: [(4, [3.0, -1.0]), (1, [2.0, -1.0])], 2: [(1, [1.0, -1.0])]}
+
+
+def test_packed_columns_have_the_sums_of_a_walk_per_column(monkeypatch):
+    rng = np.random.default_rng(3)
+    widths = np.array([2, 2, 30, 11, 2, 30, 1, 5])
+    bins = np.stack([rng.integers(0, w, 20_000) for w in widths]).astype(np.uint8)
+    packs = bo.packed(widths)
+    assert sorted(c for p in packs for c in p) == list(range(8)) and len(packs) < 4 and all(np.prod(widths[p]) <= bo.PACK_CELLS for p in packs)
+    g, h = rng.normal(size=20_000), rng.random(20_000)
+    node = rng.integers(0, 2, 20_000).astype(np.int16)
+    drawn, plain = (bo.Drawn(np.arange(20_000), g, h, bins, widths=w) for w in (widths, None))
+    called = []
+    monkeypatch.setattr(bo, "packed_sums", lambda *a, f=bo.packed_sums: called.append(1) or f(*a))
+    for i, nodes in enumerate((1, 2)):
+        order = {"target": np.array([[0, 1]])} if i else None
+        own = node * i
+        assert np.allclose(drawn.histogram(own, nodes, 30, order), plain.histogram(own, nodes, 30, order), atol=1e-9)
+    gone = np.where(rng.random(20_000) < 0.1, -1, 0).astype(np.int16)
+    assert np.allclose(drawn.histogram(gone, 1, 30), plain.histogram(gone, 1, 30), atol=1e-9)
+    assert called and np.allclose(drawn.histogram(node, 64, 30), plain.histogram(node, 64, 30), atol=1e-9)
+
+
+def test_fits_of_one_sample_share_tasks():
+    fits = [bo.Fit(s, trees=t, depth=3) for s in (0, 1) for t in (50, 100, 300, 800, 50)]
+    hands = bo.hands_of(fits, 6)
+    assert sorted(k for h in hands for k in h) == list(range(10)) and 4 <= len(hands) < 10
+    work = [sum(fits[k].trees for k in h) for h in hands]
+    assert all(len({fits[k].sample for k in h}) == 1 for h in hands) and work == sorted(work, reverse=True) and max(work) == 800
+
+
+def test_samples_beyond_a_search_s_blocks_grow_in_tasks(rows, monkeypatch):
+    """300,000 rows took a Spark job per level before."""
+    monkeypatch.setattr(bo, "_grown_by_level", None)
+    assert bo.TASK_ROWS >= 2_000_000 > 4 * bo.BLOCK_ROWS
+    many = rows.selectExpr("explode(sequence(1, 800)) AS k", "*").selectExpr("id * 1000 + k AS id", "x", "label", "weights")
+    (forests, judged), cuts = bo.boost(many, [bo.Fit(0, trees=2, depth=2), bo.Fit(1, trees=1, depth=1)])
+    x, y = matrix()
+    want = plain_boosting(np.repeat(x, 800, axis=0), np.repeat(y, 800), np.ones(len(x) * 800), cuts, 2, 2, 0.3, 0.0)
+    nodes = bo.BoostedTreesModel.of(forests[0], cuts)
+    got = bo.margins(x, *[np.array(nodes.getOrDefault(p)) for p in (nodes.roots, nodes.feature, nodes.bound, nodes.child, nodes.value)])
+    assert np.allclose(got, want[::800], atol=1e-9) and judged[1].sum() > 0
+
+
+def test_boosted_trees_of_many_rows_are_mllibs(spark, monkeypatch, tmp_path):
+    cfg = next(c for c in mdl.CONFIGS if c.name == "Gradient Boosting")
+    x, y = matrix()
+    x[:, [1, 4]] = x[:, [1, 4]].round()   # every value is a bin of both
+    frame = spark.createDataFrame([(i, v.tolist(), int(y[i])) for i, v in enumerate(x)], "ID long, x array<double>, label int").select(
+        "ID", array_to_vector("x").alias("features"), "label")
+    small = {"maxIter": 12, "maxDepth": 3, "stepSize": 0.1}
+    plain = mdl.fit_rows(cfg, frame, small)
+    monkeypatch.setattr(mdl, "MLLIB_FOREST_ROWS", 100)
+    model = mdl.fit_rows(cfg, frame, small)
+    assert isinstance(model, bo.BoostedTreesModel) and not isinstance(plain, bo.BoostedTreesModel)
+    PipelineModel(stages=[model]).write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    a, b, c = ({r.ID: r.score for r in mdl.with_probability(m.transform(frame)).collect()} for m in (plain, model, again))
+    assert b == c and max(abs(a[k] - b[k]) for k in a) < 1e-9
+    assert model.featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), abs=1e-9)
+    assert again.stages[0].featureImportances == model.featureImportances
